@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import WORD, small_groups, stored
 
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BU
     return sized.join(taken, "row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
     """``text`` up to the end of its n-th word."""
 
