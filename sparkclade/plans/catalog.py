@@ -407,13 +407,13 @@ def mask_runs(spark, d):
     return recode.runs_of_mask(br.table(spark, d, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_size") <= 25).alias("keep")))
 
 
-CODONS = Z + ", c3 AS (SELECT tax, pos // 3 AS codon_pos, string_agg(ch, '' ORDER BY pos) AS codon FROM z GROUP BY 1, 2 HAVING count(*) = 3), code AS (SELECT codon, aa FROM (VALUES %s) t(codon, aa)) "
+CODONS = Z + ", c3 AS (SELECT tax, pos // 3 AS codon_pos, string_agg(ch, '' ORDER BY pos) AS codon FROM z GROUP BY 1, 2 HAVING count(*) = 3), code AS (SELECT codon, aa FROM (VALUES {codes}) t(codon, aa)) "
 
 
 def _codons_sql() -> str:
     from sparkclade.functions.genetic_code import plain_codons
 
-    return CODONS % ", ".join(f"('{c}', '{a}')" for c, a in plain_codons(1).items())
+    return CODONS.replace("{codes}", ", ".join(f"('{c}', '{a}')" for c, a in plain_codons(1).items()))
 
 
 @query(_codons_sql() + "SELECT tax, codon_pos AS pos, aa AS ch FROM c3 JOIN code USING (codon)")
