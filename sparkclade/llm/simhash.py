@@ -27,21 +27,42 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 VARIANTS_A_GROUP = 4_000_000
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Unsigned 64-bit SimHash of the ``width``-word shingles of ``text``, repeats included; 0 without words."""
-    words = (text or "").encode().translate(LOWER).split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(LOWER).split()
+
+
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words, in order; of all words if there are fewer."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     n, digest, joined = max(1, len(words) - width + 1), xxhash.xxh64_intdigest, b" ".join(words)
+    spans = zip(starts[:n].tolist(), (ends[min(width, len(words)) - 1 :][:n] - 1).tolist())
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are those set in over half of ``h``; 0 for none."""
     bits = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        k = min(n, at + (1 << 16))
-        spans = zip(starts[at:k].tolist(), (ends[min(width, len(words)) - 1 :][at:k] - 1).tolist())
-        h = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
-        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * bits > n).tolist())
+    for at in range(0, len(h), 1 << 16):
+        some = h[at : at + (1 << 16)].astype("<u8")
+        bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << i for i in np.flatnonzero(2 * bits > len(h)).tolist())
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Unsigned 64-bit SimHash of the ``width``-word shingles of ``text``, repeats included; 0 without words."""
+    return majority(shingle_hashes(words_of(text), width))
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of what ``h`` are hashes of, by the finaliser of SplitMix64."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64((seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -49,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).astype(np.int64)
+            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], run, "doc_id long, fp long")
@@ -152,12 +173,59 @@ def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` without the near-duplicates of another row: of each component the row of the smallest id stays.
+def similarity(a: str | None, b: str | None, width: int = 5) -> float:
+    """Share of common shingles among all of two texts; two texts without words are alike."""
+    x, y = ({*shingle_hashes(words_of(t), width).tolist()} for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_links(texts: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4, rounds: int = 4, narrow: int = 2) -> DataFrame:
+    """(a long, b long): links among different texts (id long, text), all verified to share ``least`` of their shingles.
+
+    Candidates are texts whose fingerprints over ``narrow``-word shingles, in any of ``rounds`` sets of hashes, are within
+    ``radius``.  Narrow shingles keep more of their bits when a word changes than wide ones do; the wide ones decide.
+    """
+
+    def run(batches):
+        for b in batches:
+            hs = [shingle_hashes(words_of(t), narrow) for t in b.column(1).to_pylist()]
+            cells = [pa.array(np.array([majority(mixed(h, k)) for h in hs], np.uint64).view(np.int64)) for k in range(rounds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cells], ["id", *(f"f{k}" for k in range(rounds))])
+
+    fps = stored(map_batches(texts, ["id", "text"], run, "id long, " + ", ".join(f"f{k} long" for k in range(rounds))), "narrow")
+    pairs = []
+    for k in range(rounds):
+        classes = stored(fps.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("id").alias("rep")), "classes")
+        own = fps.join(classes, fps[f"f{k}"] == classes.fp).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        of = lambda c: classes.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))  # noqa: E731, B023
+        across = ball_links(classes.select("fp"), radius).withColumnsRenamed({"a": "x", "b": "y"}).join(of("x"), "x").join(of("y"), "y")
+        pairs.append(own.union(across.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))))
+    asked = pairs[0]
+    for p in pairs[1:]:
+        asked = asked.union(p)
+    asked = stored(asked.distinct(), "candidates")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def verify(batches):
+        for b in batches:
+            ok = pa.array([similarity(x, y, width) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(ok)
+
+    return map_batches(asked.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "text_a", "text_b"], verify, "a long, b long")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` without near-duplicates: one row of each group of texts that links join, and so one of each repeated text.
 
-    Rows that repeat its id and text stay once; another text under the same id stays too.  Columns are those of ``docs``.
+    Links are those of ``similar_links``.  Rows are numbered as they come; the first row of a group stays, with all its
+    columns.  Null and empty texts are one text.
     """
-    found = simhash_near_duplicates(docs, id_col, text_col, width, radius)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # Equal texts: by two hashes of their own seeds, so that groups of copies meet as numbers, combined before the shuffle.
+    first = stored(numbered.groupBy(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")).agg(F.min("__row").alias("id")).select("id"), "first")
+    texts = stored(numbered.join(first, F.col("__row") == F.col("id"), "left_semi").select(F.col("__row").alias("id"), text.alias("text")), "texts")
+    roots = connected_components(similar_links(texts, width, least))
+    later = roots.where("node <> root").select(F.col("node").alias("id"))
+    stay = first.join(later, "id", "left_anti")
+    return numbered.join(stay, F.col("__row") == F.col("id"), "left_semi").drop("__row")
