@@ -97,7 +97,7 @@ def lpml(site_likes: DataFrame) -> DataFrame:
     return site_likes.groupBy("pos").agg((-F.log(F.avg(1 / F.col("like")))).alias("x")).agg(F.sum("x").alias("lpml"))
 
 
-def newton_raftery(samples: DataFrame, delta: float = 0.1, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
+def newton_raftery(samples: DataFrame, delta: float = 0.1, rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
     """(log_marginal): the marginal likelihood with a share ``delta`` from the prior, to a fixed point.
 
     Each round is one aggregation; only its value goes to the driver.
@@ -105,19 +105,27 @@ def newton_raftery(samples: DataFrame, delta: float = 0.1, rounds: int = 200, to
     x = samples.select("value").persist()
     row = x.agg(F.count("*"), F.max("value")).first()
     n, top = row[0], row[1]
-    # Work relative to the greatest value: r is exp(log p - top).
-    r = float(x.agg(F.avg(F.exp(F.col("value") - top))).first()[0])
-    for _ in range(rounds):
-        l = F.exp(F.col("value") - top)
+    # Work relative to the greatest value, on the log scale: u is the log of the estimate less the greatest.
+    l = F.exp(F.col("value") - top)
+
+    def after(u: float) -> float:
+        r = float(np.exp(u))
         w = delta * r + (1 - delta) * l
         a, b = x.agg(F.sum(l / w), F.sum(1 / w)).first()
-        new = (delta * n / (1 - delta) + a) / (delta * n / ((1 - delta) * r) + b)
-        if abs(new - r) <= tolerance * r:
-            r = new
+        return float(np.log(delta * n / (1 - delta) + a) - np.log(delta * n / ((1 - delta) * r) + b))
+
+    u = float(np.log(x.agg(F.avg(l)).first()[0]))
+    for _ in range(rounds):
+        # Steffensen's step: two rounds give the limit of a geometric approach.
+        one = after(u)
+        two = after(one)
+        bend = two - 2 * one + u
+        new = u - (one - u) ** 2 / bend if abs(bend) > 1e-14 else two
+        done, u = abs(new - u) <= tolerance, new
+        if done or abs(one - u) <= tolerance:
             break
-        r = new
     x.unpersist()
-    return samples.sparkSession.createDataFrame([(float(np.log(r) + top),)], "log_marginal double")
+    return samples.sparkSession.createDataFrame([(u + top,)], "log_marginal double")
 
 
 def acceptance(proposals: DataFrame) -> DataFrame:

@@ -127,15 +127,15 @@ def tree_probabilities(splits: DataFrame, n_tax: int) -> DataFrame:
 
 
 def track_splits(splits: DataFrame, order: DataFrame, tracked: DataFrame, window: int = 200, stride: int = 100) -> DataFrame:
-    """(split_key, window, frequency): how often each of ``tracked`` occurs in hopping windows of trees; full windows only.
+    """(split_key, hop, frequency): how often each of ``tracked`` occurs in hopping windows of trees; full windows only.
 
     ``order`` (tree_id, k) numbers the trees from 0.
     """
     n = order.agg((F.floor((F.max("k") + 1 - window) / stride) + 1).alias("windows"))
-    hops = order.crossJoin(F.broadcast(n)).withColumn("window", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("k") - window + 1) / stride)), F.floor(F.col("k") / stride)))).where("window < windows").select("tree_id", "window")
-    every = tracked.select("split_key").distinct().crossJoin(hops.select("window").distinct())
-    hit = splits.join(tracked.select("split_key").distinct(), "split_key", "left_semi").join(hops, "tree_id").groupBy("split_key", "window").agg(F.count("*").alias("n"))
-    return every.join(hit, ["split_key", "window"], "left").select("split_key", "window", (F.coalesce("n", F.lit(0)) / window).alias("frequency"))
+    hops = order.crossJoin(F.broadcast(n)).withColumn("hop", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("k") - window + 1) / stride)), F.floor(F.col("k") / stride)))).where("hop < windows").select("tree_id", "hop")
+    every = tracked.select("split_key").distinct().crossJoin(hops.select("hop").distinct())
+    hit = splits.join(tracked.select("split_key").distinct(), "split_key", "left_semi").join(hops, "tree_id").groupBy("split_key", "hop").agg(F.count("*").alias("n"))
+    return every.join(hit, ["split_key", "hop"], "left").select("split_key", "hop", (F.coalesce("n", F.lit(0)) / window).alias("frequency"))
 
 
 def incompatible(a: Column, b: Column, n_tax: int) -> Column:
@@ -250,7 +250,7 @@ def consensus(splits: DataFrame, taxa: list[str], least: float = 0.0) -> DataFra
         lengths = {k: x for k, x in zip(group["split_key"].tolist(), group["mean_br_len"].tolist()) if k in dict(kept) or bin(k).count("1") in (1, n - 1)}
         return pd.DataFrame({"newick": [newick_of_splits(kept, taxa, lengths)]})
 
-    return table.groupBy(F.lit(0)).applyInPandas(fold, "newick string")
+    return table.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, "newick string")
 
 
 def strict_consensus(splits: DataFrame, n_tax: int) -> DataFrame:

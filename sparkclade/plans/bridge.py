@@ -72,7 +72,7 @@ raw AS (
   FROM leafs, (SELECT unnest([1, 2, 4, 8]) AS size) GROUP BY tree_id, size, place // size),
 splits AS (
   SELECT tree_id, CASE WHEN raw_key % 2 = 1 THEN xor(raw_key, 33554431) ELSE raw_key END AS split_key,
-    min((1 + (bucket + tree_id) % 5) * 0.1) AS br_len
+    min((1 + (bucket + tree_id) % 5) * 0.1::DOUBLE) AS br_len
   FROM raw WHERE n_leaves < 24 GROUP BY 1, 2)"""
 
 

@@ -323,10 +323,10 @@ def neighbour_joining_tree(spark, d):
 
 def _zero(spark, d):
     """The plain alignment with sites from 0."""
-    return br.plain(spark, d).withColumn("pos", F.col("pos") - 1)
+    return br.plain(spark, d)
 
 
-Z = P + ", z AS (SELECT tax, pos - 1 AS pos, ch FROM plain) "
+Z = P + ", z AS (SELECT tax, pos, ch FROM plain) "
 
 
 @query(C + "SELECT tax, pos, translate(ch, 'agrctyswkmbdhvn', 'rrryyy---------') AS ch FROM chars")
@@ -604,16 +604,17 @@ def constraint_check(spark, d):
     return sp.consistent_trees(br.splits(spark, d), spark.createDataFrame([(12,), (48,)], "split_key long"))
 
 
-TRACK = f""", ord AS (SELECT tree_id, tree_id - 1 AS k FROM (SELECT DISTINCT tree_id FROM splits)), mx AS (SELECT (max(k) + 1 - 20) // 10 + 1 AS w FROM ord),
-hops AS (SELECT tree_id, w.window FROM ord, mx, (SELECT unnest(range(100000)) AS window) w WHERE w.window < mx.w AND k >= w.window * 10 AND k < w.window * 10 + 20),
-one AS (SELECT DISTINCT split_key FROM splits WHERE tree_id = 1 AND NOT {TRIV})
-SELECT o.split_key, h.window, round((SELECT count(*) FROM splits s JOIN hops h2 ON s.tree_id = h2.tree_id WHERE s.split_key = o.split_key AND h2.window = h.window) / 20.0, 6)::DOUBLE AS frequency FROM one o CROSS JOIN (SELECT DISTINCT window FROM hops) h"""
+TRACK = f""", ord AS (SELECT tree_id, tree_id AS k FROM (SELECT DISTINCT tree_id FROM splits)), mx AS (SELECT (max(k) + 1 - 20) // 10 + 1 AS w FROM ord),
+hops AS (SELECT tree_id, hop FROM ord, mx, (SELECT unnest(range(100000)) AS hop) h WHERE hop < mx.w AND k >= hop * 10 AND k < hop * 10 + 20),
+one AS (SELECT DISTINCT split_key FROM splits WHERE tree_id = 1 AND NOT {TRIV}),
+hit AS (SELECT split_key, hop, count(*) AS n FROM splits JOIN hops USING (tree_id) GROUP BY ALL)
+SELECT o.split_key, h.hop, round(coalesce(n, 0) / 20.0, 6)::DOUBLE AS frequency FROM one o CROSS JOIN (SELECT DISTINCT hop FROM hops) h LEFT JOIN hit ON hit.split_key = o.split_key AND hit.hop = h.hop"""
 
 
 @query(S + TRACK)
 def split_tracking(spark, d):
     s = br.splits(spark, d)
-    order = s.select("tree_id", (F.col("tree_id") - 1).alias("k")).distinct()
+    order = s.select("tree_id", F.col("tree_id").alias("k")).distinct()
     tracked = s.where(F.col("tree_id") == 1).where(~sp.is_trivial(F.col("split_key"), NTAX))
     return rounded(sp.track_splits(s, order, tracked, 20, 10), "frequency")
 
