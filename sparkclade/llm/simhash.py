@@ -223,9 +223,9 @@ def keep_one(docs: DataFrame, text_col: str = "text", width: int = 5, least: flo
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Equal texts: by two hashes of their own seeds, so that groups of copies meet as numbers, combined before the shuffle.
-    first = stored(numbered.groupBy(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")).agg(F.min("__row").alias("id")).select("id"), "first")
-    texts = stored(numbered.join(first, F.col("__row") == F.col("id"), "left_semi").select(F.col("__row").alias("id"), text.alias("text")), "texts")
+    first = stored(numbered.groupBy(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")).agg(F.min("__row").alias("__first")).select("__first"), "first")
+    texts = stored(numbered.join(first, F.col("__row") == F.col("__first"), "left_semi").select(F.col("__row").alias("id"), text.alias("text")), "texts")
     roots = connected_components(similar_links(texts, width, least))
-    later = roots.where("node <> root").select(F.col("node").alias("id"))
-    stay = first.join(later, "id", "left_anti")
-    return numbered.join(stay, F.col("__row") == F.col("id"), "left_semi").drop("__row")
+    later = roots.where("node <> root").select(F.col("node").alias("__first"))
+    stay = first.join(later, "__first", "left_anti")
+    return numbered.join(stay, F.col("__row") == F.col("__first"), "left_semi").drop("__row")
