@@ -120,7 +120,8 @@ def newton_raftery(samples: DataFrame, delta: float = 0.1, rounds: int = 50, tol
         one = after(u)
         two = after(one)
         bend = two - 2 * one + u
-        new = u - (one - u) ** 2 / bend if abs(bend) > 1e-14 else two
+        jump = (one - u) ** 2 / bend if abs(bend) > 1e-12 else 0.0
+        new = u - jump if 0 < abs(jump) < 10 * abs(one - u) else two
         done, u = abs(new - u) <= tolerance, new
         if done or abs(one - u) <= tolerance:
             break
