@@ -23,7 +23,7 @@ WORDS = re.compile(WORD)
 BUDGET_SHARE = 1.5
 MOST_EPOCHS = 2
 #: Documents sorted together; so many in the mean share a range of shuffle keys or of virtual time.
-ROWS_A_RANGE = 20_000
+ROWS_A_RANGE = 4_000
 
 
 def targets(sizes: list[int], weights: list[float], budget: float, most: float = MOST_EPOCHS) -> list[float]:
@@ -60,13 +60,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BU
     found = small_groups(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(4097).collect(), source_col)
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.size for r in found], [weights[i % len(weights)] for i in range(len(found))], share * sum(r.size for r in found))
-    table = spark.createDataFrame([(r.source, i, r.size, t, int(t)) for i, (r, t) in enumerate(zip(found, goal))], "source string, place int, source_size long, target double, whole long")
+    table = spark.createDataFrame([(r.source, i, r.size, t, int(t), max(1, r.n // ROWS_A_RANGE)) for i, (r, t) in enumerate(zip(found, goal))], "source string, place int, source_size long, target double, whole long, slots int")
     ranges = max(1, sum(r.n for r in found) // ROWS_A_RANGE)
     budget = sum(int(t) for t in goal)
 
     sized = rows.join(F.broadcast(table).withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     key = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    shuffled = sized.where("size > 0").withColumn("key", key).withColumn("slot", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32 * ranges).cast("int"))
+    shuffled = sized.where("size > 0").withColumn("key", key).withColumn("slot", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("slots")).cast("int"))
     ahead = shuffled.groupBy("place", "slot").agg(F.sum("size").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("place", "slot", "ahead")
     inside = F.sum("size").over(Window.partitionBy("place", "slot").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1))
     queued = shuffled.withColumn("inside", F.coalesce(inside, F.lit(0))).join(ahead, ["place", "slot"]).withColumn("begin", F.col("ahead") + F.col("inside"))
