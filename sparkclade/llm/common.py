@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -36,22 +37,46 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: the lineage ends there, so lost executors cost nothing."""
+#: Folders of ``stored`` that ``stage`` deletes when the next stage begins.
+_scratch: list[str] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: the lineage ends there, so lost executors cost nothing.
+
+    Within a pipeline the table goes when the next stage begins, unless ``keep`` is set.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sparkclade-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(f: Callable) -> Callable:
+    """A stage of a pipeline, whose result is written before the next stage is called: tables that earlier stages left go."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _scratch:
+            delete(spark, _scratch.pop())
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of ``stored`` frames that nothing will read again."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for df in frames:
         files = df.inputFiles()
         if files:
-            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(conf).delete(path, True)
+            delete(spark, files[0].rpartition("/")[0])
 
 
 def map_batches(df: DataFrame, columns: list[str], f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -52,6 +52,8 @@ class WordTokenizer(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.symbols, self.stems = self.tokenizer.model, byte_symbols(), {}
+        #: Whether ids fit 16 bits.
+        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
 
     def stem(self, run: str) -> bytes:
         if run not in self.stems:
@@ -131,7 +133,7 @@ class Stream:
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, n, part, before, ids): ids of each row; ``before`` counts its source's tokens in earlier rows of the part."""
+    """(doc_id, source, n, part, before, ids): ids of each row, in 16 bits each if they fit; ``before`` counts its source's tokens in earlier rows of the part."""
 
     def run(batches):
         tokenizer, part, seen = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), {}
@@ -143,6 +145,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
                     before.append(seen.get(s, 0))
                     seen[s] = before[-1] + len(x) // 4
                 cells = [b.column(0), pa.array(sources, pa.string()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64())]
+                if tokenizer.narrow:
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([*cells, pa.array(ids, pa.binary())], ["doc_id", "source", "n", "part", "before", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
@@ -164,6 +168,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, id_col: str =
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     number, stream = {r.source: i for i, r in enumerate(totals)}, Stream(np.array([r.n for r in totals], np.int64), window)
     ahead = parts.withColumn("ahead", F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("source", "part", F.coalesce("ahead", F.lit(0)).alias("ahead"))
+    # A row a source and part.  As a table its size is known: Spark broadcasts it only while it is small, and else shuffles.
+    ahead = stored(ahead, "ahead")
     placed = rows.join(ahead.withColumnRenamed("source", "__s").withColumnRenamed("part", "__p"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("part") == F.col("__p")))
 
     def run(batches):
@@ -206,7 +212,8 @@ def pieces(b: pa.RecordBatch, number: dict, stream: Stream) -> pa.RecordBatch:
     start, stop = np.maximum(begin, first[row]), np.minimum(end, first[row] + n[row])
     some = stop > start
     row, window, begin, place, start, stop = (x[some] for x in (row, window, begin, place, start, stop))
-    views, cut, upto = [memoryview(x) for x in b.column(4).to_pylist()], 4 * (start - first[row]), 4 * (stop - first[row])
+    wide = [x if len(x) == 4 * k else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, k in zip(b.column(4).to_pylist(), n.tolist())]
+    views, cut, upto = [memoryview(x) for x in wide], 4 * (start - first[row]), 4 * (stop - first[row])
     crc = [zlib.crc32(views[r][x:y]) for r, x, y in zip(row.tolist(), cut.tolist(), upto.tolist())]
     cells = [b.column(0).take(pa.array(row)), pa.array(start - first[row]), pa.array(stop - start), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(window), pa.array(place + start - begin), b.column(1).take(pa.array(row))]
     return pa.RecordBatch.from_arrays(cells, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
