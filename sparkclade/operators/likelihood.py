@@ -165,11 +165,10 @@ def log_likelihoods(trees: DataFrame, patterns: DataFrame, taxa: list[str], mode
         engine = Likelihood(right["pattern"].tolist(), right["n"].tolist(), taxa, models[part])
         return pd.DataFrame([(t, part, engine.log_like(parse_newick(x))) for t, x in zip(left["tree_id"], left["newick"])], columns=["tree_id", "part_id", "log_like"])
 
-    parts = patterns.select("part_id").distinct()
-    # A model a part: the table of parts is as small as the models that the closure carries.
-    asked = trees.select("tree_id", "newick").crossJoin(F.broadcast(parts))
+    # A model a part: the parts are those that the closure has models for.
+    asked = trees.select("tree_id", "newick", F.explode(F.array(*map(F.lit, sorted(models)))).alias("part"))
     kind = trees.schema["tree_id"].dataType.simpleString()
-    return asked.groupBy("part_id").cogroup(patterns.groupBy("part_id")).applyInPandas(of, f"tree_id {kind}, part_id int, log_like double")
+    return asked.groupBy("part").cogroup(patterns.groupBy("part_id")).applyInPandas(of, f"tree_id {kind}, part_id int, log_like double")
 
 
 def site_log_likelihoods(trees: DataFrame, patterns: DataFrame, taxa: list[str], model: Model) -> DataFrame:

@@ -94,3 +94,23 @@ samples AS (SELECT event_type AS run, event_id AS gen, value FROM events)"""
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run string, gen long, value double): every event as a sample of a run."""
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("gen"), "value")
+
+
+def taxa(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Names of the 25 taxa, in order."""
+    return [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+
+
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree_id long, newick string) of the splits, leaves by name."""
+    import pandas as pd
+
+    from sparkclade.operators.splits import newick_of_splits
+
+    names = taxa(spark, sf_dir)
+
+    def build(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        lengths = dict(zip(g["split_key"].tolist(), g["br_len"].tolist()))
+        return pd.DataFrame([(key[0], newick_of_splits([(k, None) for k in lengths], names, lengths))], columns=["tree_id", "newick"])
+
+    return splits(spark, sf_dir).groupBy("tree_id").applyInPandas(build, "tree_id long, newick string")

@@ -805,3 +805,152 @@ def acceptance_table(spark, d):
 def unrooted_tree_counts(spark, d):
     ns = spark.range(3, 13).withColumnRenamed("id", "n_tax")
     return ns.select("n_tax", F.aggregate(F.sequence(F.lit(1).cast("long"), 2 * F.col("n_tax") - 5, F.lit(2).cast("long")), F.lit(1).cast("long"), lambda a, x: a * x).alias("product"))
+
+
+# -- trees as trees: from the splits to Newick, to nodes, and back
+
+
+@query()
+def tree_newick(spark, d):
+    return br.trees(spark, d)
+
+
+@query(S + "SELECT tree_id, split_key, round(br_len, 6) AS br_len FROM splits")
+def splits_of_newick(spark, d):
+    """Round trip: the splits of the trees that the splits make."""
+    from sparkclade.sources.formats import splits_of
+
+    return rounded(splits_of(br.trees(spark, d), br.taxa(spark, d)).select("tree_id", "split_key", "br_len"), "br_len")
+
+
+def _nodes(spark, d):
+    from sparkclade.sources.formats import nodes_of
+
+    return nodes_of(br.trees(spark, d))
+
+
+@query(S + "SELECT tree_id, x.n_name AS a, y.n_name AS b, round(sum(br_len), 5) AS d FROM splits, nation x, nation y WHERE x.n_name < y.n_name AND (split_key >> x.n_nationkey) & 1 <> (split_key >> y.n_nationkey) & 1 GROUP BY ALL")
+def patristic(spark, d):
+    from sparkclade.operators.trees import patristic_distances
+
+    return rounded(patristic_distances(_nodes(spark, d)), "d", digits=5)
+
+
+@query(S + "SELECT tree_id, round(sum(br_len), 5) AS length FROM splits GROUP BY tree_id")
+def node_tree_length(spark, d):
+    from sparkclade.operators.trees import tree_length
+
+    return rounded(tree_length(_nodes(spark, d)), "length", digits=5)
+
+
+@query()
+def tree_shapes(spark, d):
+    from sparkclade.operators.trees import shapes
+
+    return shapes(_nodes(spark, d))
+
+
+@query()
+def ladder_order(spark, d):
+    from sparkclade.operators.trees import ladder_order as order
+
+    return order(_nodes(spark, d))
+
+
+@query()
+def leaf_names_above(spark, d):
+    from sparkclade.operators.trees import leaf_names
+
+    return leaf_names(_nodes(spark, d))
+
+
+@query("WITH t AS (SELECT DISTINCT s_suppkey AS tree_id FROM supplier) SELECT tree_id, true AS same FROM t")
+def check_tax_names(spark, d):
+    from sparkclade.operators.trees import same_taxa
+
+    return same_taxa(_nodes(spark, d), br.table(spark, d, "nation").select(F.col("n_name").alias("name")))
+
+
+@query()
+def random_spr(spark, d):
+    from sparkclade.operators.trees import map_trees
+    from sparkclade.operators.trees import random_spr as spr
+
+    return map_trees(br.trees(spark, d), spr, seed=1)
+
+
+@query(S + ", t AS (SELECT tree_id, x.n_name AS a, y.n_name AS b, sum(br_len) AS d FROM splits, nation x, nation y WHERE x.n_name < y.n_name AND (split_key >> x.n_nationkey) & 1 <> (split_key >> y.n_nationkey) & 1 GROUP BY ALL) SELECT tree_id, round(sum(d), 4) AS total FROM t GROUP BY tree_id")
+def reroot_keeps_paths(spark, d):
+    """Rerooting each tree at its last internal node changes no distance between leaves."""
+    from sparkclade.operators.trees import map_trees, patristic_distances, reroot
+    from sparkclade.sources.formats import nodes_of
+
+    moved = map_trees(br.trees(spark, d), lambda nodes, _: reroot(nodes, max(n.num for n in nodes if not n.is_leaf)))
+    return patristic_distances(nodes_of(moved)).groupBy("tree_id").agg(F.round(F.sum("d"), 4).alias("total"))
+
+
+@query(S + "SELECT tree_id, sum(CASE WHEN bit_count(split_key) BETWEEN 2 AND 23 THEN bit_count(split_key)::BIGINT * (25 - bit_count(split_key)::BIGINT) ELSE 0 END)::BIGINT AS pairs FROM splits GROUP BY tree_id")
+def split_pair_counts(spark, d):
+    """Pairs of leaves that internal splits part, a measure of what quartets a tree resolves."""
+    size = F.bit_count("split_key").cast("long")
+    return br.splits(spark, d).groupBy("tree_id").agg(F.sum(F.when(~sp.is_trivial(F.col("split_key"), NTAX), size * (NTAX - size)).otherwise(0)).alias("pairs"))
+
+
+@query()
+def topology_distance_matrix_phylip(spark, d):
+    from sparkclade.sources.writers import distances_phylip
+
+    t = sp.tree_distances(br.splits(spark, d))
+    half = t.select("i", "j", F.col("sd").cast("double").alias("d"))
+    own = t.select(F.explode(F.array("i", "j")).alias("i")).distinct()
+    full = half.union(half.select("j", "i", "d")).union(own.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d")))
+    return distances_phylip(full.withColumn("name_i", F.concat(F.lit("t"), F.col("i").cast("string"))), 0)
+
+
+# -- likelihood
+
+
+def _patterns(spark, d):
+    return sites.site_patterns(br.plain(spark, d)).select(F.lit(0).alias("part_id"), "pattern", "n")
+
+
+def _best_trees(spark, d):
+    """The first tree of each topology."""
+    first = sp.tree_probabilities(br.splits(spark, d), NTAX).select(F.col("first_tree").alias("tree_id"))
+    return br.trees(spark, d).join(first, "tree_id", "left_semi")
+
+
+@query()
+def tree_log_likelihoods(spark, d):
+    from sparkclade.operators.likelihood import Model, log_likelihoods
+
+    return rounded(log_likelihoods(br.trees(spark, d), _patterns(spark, d), br.taxa(spark, d), {0: Model()}), "log_like")
+
+
+@query()
+def kh_sh_tests(spark, d):
+    from sparkclade.operators.likelihood import Model, site_log_likelihoods
+
+    patterns = sites.site_patterns(br.plain(spark, d))
+    each = site_log_likelihoods(_best_trees(spark, d), patterns, br.taxa(spark, d), Model())
+    column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tax", "ch"))), lambda x: x["ch"]), "")
+    site = br.plain(spark, d).groupBy("pos").agg(column.alias("pattern"))
+    return rounded(dg.rell(site.join(each, "pattern").select("tree_id", "pos", "ln"), 100), "log_like", "kh", "sh")
+
+
+@query()
+def simulated_alignments(spark, d):
+    from sparkclade.operators.likelihood import Model, simulations
+
+    newick = br.trees(spark, d).where("tree_id = 1").first().newick
+    return simulations(spark, newick, Model(gamma_shape=0.5, n_categories=4), br.table(spark, d, "part").count(), 4)
+
+
+@query()
+def mcmc_samples(spark, d):
+    from sparkclade.operators.likelihood import Model, mcmc
+
+    newick = br.trees(spark, d).where("tree_id = 1").first().newick
+    # Patterns, not sites: what a sampler holds is bounded by the data of one analysis.
+    found = sites.site_patterns(br.plain(spark, d)).orderBy("first_pos").toPandas()
+    return mcmc(spark, found["pattern"].tolist(), found["n"].tolist(), br.taxa(spark, d), Model(), newick, runs=2, chains=2, generations=40, interval=10)
