@@ -179,24 +179,29 @@ def similarity(a: str | None, b: str | None, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def similar_links(texts: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4, rounds: int = 4, narrow: int = 2) -> DataFrame:
-    """(a long, b long): links among different texts (id long, text), all verified to share ``least`` of their shingles.
-
-    Candidates are texts whose fingerprints over ``narrow``-word shingles, in any of ``rounds`` sets of hashes, are within
-    ``radius``.  Narrow shingles keep more of their bits when a word changes than wide ones do; the wide ones decide.
-    """
+def narrow_fingerprints(texts: DataFrame, rounds: int = 4, narrow: int = 2) -> DataFrame:
+    """(id, x, y, f0, f1...) of (id long, text): two hashes of the text, and fingerprints over ``narrow``-word shingles."""
 
     def run(batches):
         for b in batches:
-            hs = [shingle_hashes(words_of(t), narrow) for t in b.column(1).to_pylist()]
+            hs = [shingle_hashes(words_of(t), narrow) for t in b.column(3).to_pylist()]
             cells = [pa.array(np.array([majority(mixed(h, k)) for h in hs], np.uint64).view(np.int64)) for k in range(rounds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cells], ["id", *(f"f{k}" for k in range(rounds))])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cells], ["id", "x", "y", *(f"f{k}" for k in range(rounds))])
+
+    hashed = texts.select("id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), "text")
+    return hashed.mapInArrow(run, "id long, x long, y long, " + ", ".join(f"f{k} long" for k in range(rounds)))
 
-    fps = stored(map_batches(texts, ["id", "text"], run, "id long, " + ", ".join(f"f{k} long" for k in range(rounds))), "narrow")
+
+def similar_links(texts: DataFrame, fps: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
+    """(a long, b long): links among ``texts`` (id long, text), all verified to share ``least`` of their shingles.
+
+    Candidates are texts whose fingerprints ``fps`` (id, f0, f1...), in any of the sets of hashes, are within ``radius``.
+    Narrow shingles keep more of their bits when a word changes than wide ones do; the wide ones decide.
+    """
     pairs = []
-    for k in range(rounds):
-        classes = stored(fps.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("id").alias("rep")), "classes")
-        own = fps.join(classes, fps[f"f{k}"] == classes.fp).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    for f in [c for c in fps.columns if c.startswith("f")]:
+        classes = stored(fps.groupBy(F.col(f).alias("fp")).agg(F.min("id").alias("rep")), "classes")
+        own = fps.join(classes, fps[f] == classes.fp).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
         of = lambda c: classes.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))  # noqa: E731, B023
         across = ball_links(classes.select("fp"), radius).withColumnsRenamed({"a": "x", "b": "y"}).join(of("x"), "x").join(of("y"), "y")
         pairs.append(own.union(across.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))))
@@ -204,7 +209,9 @@ def similar_links(texts: DataFrame, width: int = 5, least: float = 0.8, radius:
     for p in pairs[1:]:
         asked = asked.union(p)
     asked = stored(asked.distinct(), "candidates")
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    ids = stored(asked.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    some = stored(texts.join(ids, "id", "left_semi"), "texts")
+    side = lambda c: some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
     def verify(batches):
         for b in batches:
@@ -221,11 +228,12 @@ def keep_one(docs: DataFrame, text_col: str = "text", width: int = 5, least: flo
     columns.  Null and empty texts are one text.
     """
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # Equal texts: by two hashes of their own seeds, so that groups of copies meet as numbers, combined before the shuffle.
-    first = stored(numbered.groupBy(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")).agg(F.min("__row").alias("__first")).select("__first"), "first")
-    texts = stored(numbered.join(first, F.col("__row") == F.col("__first"), "left_semi").select(F.col("__row").alias("id"), text.alias("text")), "texts")
-    roots = connected_components(similar_links(texts, width, least))
-    later = roots.where("node <> root").select(F.col("node").alias("__first"))
-    stay = first.join(later, "__first", "left_anti")
+    texts = numbered.select(F.col("__row").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    fps = stored(narrow_fingerprints(texts), "narrow")
+    # Equal texts, by two hashes of their own seeds: groups of copies meet as numbers, combined before the shuffle.
+    first = stored(fps.groupBy("x", "y").agg(F.min("id").alias("id")).select("id"), "first")
+    fps = stored(fps.drop("x", "y").join(first, "id", "left_semi"), "narrow")
+    roots = connected_components(similar_links(texts, fps, width, least))
+    later = roots.where("node <> root").select(F.col("node").alias("id"))
+    stay = stored(first.join(later, "id", "left_anti").select(F.col("id").alias("__first")), "stay")
     return numbered.join(stay, F.col("__row") == F.col("__first"), "left_semi").drop("__row")

@@ -96,16 +96,17 @@ def test_pipeline_stages(spark):
     near[40] = "changed"
     texts = [*clean, " ".join(near), clean[1], "", None, "12 !!", "\n".join([clean[2], prose(30)])]
     docs = spark.createDataFrame([(i, t, "xx", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    one = cp.languages(spark, docs, "")
+    # As the pipeline does, each result is written before the next stage begins.
+    one = cp.stored(cp.languages(spark, docs, ""), "one", keep=True)
     kept = {r.doc_id for r in one.collect()}
     assert kept == {*range(42), 45}
-    two = cp.lines(spark, one, "")
+    two = cp.stored(cp.lines(spark, one, ""), "two", keep=True)
     rows = {r.doc_id: r.text for r in two.collect()}
     assert 41 not in rows and rows[45] == texts[45].split("\n")[1] and all(rows[i] == texts[i] for i in range(41))
-    three = cp.near_duplicates(spark, two, "")
+    three = cp.stored(cp.near_duplicates(spark, two, ""), "three", keep=True)
     ids = {r.doc_id for r in three.collect()}
     assert {*range(1, 40), 45} <= ids and len(ids & {0, 40}) == 1
-    four = cp.mixture(spark, three, "")
+    four = cp.stored(cp.mixture(spark, three, ""), "four", keep=True)
     assert {r.doc_id for r in four.collect()} <= ids
     for df in (one, two, three, four):
         assert df.columns == cp.COLUMNS
