@@ -210,7 +210,8 @@ def similar_links(texts: DataFrame, fps: DataFrame, width: int = 5, least: float
         asked = asked.union(p)
     asked = stored(asked.distinct(), "candidates")
     ids = stored(asked.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-    some = stored(texts.join(ids, "id", "left_semi"), "texts")
+    # These ids grow with the corpus, so they are never broadcast: one plan, in proportion to the input, at every size.
+    some = stored(texts.join(ids.hint("merge"), "id", "left_semi"), "texts")
     side = lambda c: some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
     def verify(batches):
@@ -236,4 +237,4 @@ def keep_one(docs: DataFrame, text_col: str = "text", width: int = 5, least: flo
     roots = connected_components(similar_links(texts, fps, width, least))
     later = roots.where("node <> root").select(F.col("node").alias("id"))
     stay = stored(first.join(later, "id", "left_anti").select(F.col("id").alias("__first")), "stay")
-    return numbered.join(stay, F.col("__row") == F.col("__first"), "left_semi").drop("__row")
+    return numbered.join(stay.hint("merge"), F.col("__row") == F.col("__first"), "left_semi").drop("__row")
