@@ -8,18 +8,13 @@ words fill evenly, are sorted on their own and follow one another.
 
 from __future__ import annotations
 
-import itertools
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .common import WORD, small_groups, stored
 
 WEIGHTS = (3, 1, 2)
-WORDS = re.compile(WORD)
+BLANK = r"[\x20\x09-\x0D]*"
 BUDGET_SHARE = 1.5
 MOST_EPOCHS = 2
 #: Documents sorted together; so many in the mean share a range of shuffle keys or of virtual time.
@@ -84,15 +79,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BU
     return sized.join(taken, "row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
-@F.pandas_udf(StringType())
-def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
+def first_words(text: Column, n: Column) -> Column:
     """``text`` up to the end of its n-th word."""
-
-    def cut(t: str, k: int) -> str:
-        end = next(itertools.islice(WORDS.finditer(t), k - 1, None)).end()
-        return t[:end]
-
-    return pd.Series([cut(t, k) for t, k in zip(text, n)], dtype=object)
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"{BLANK}{WORD}"), F.lit(0)), F.lit(1), n), "")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BUDGET_SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -100,7 +89,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     first words if it takes a part.  Columns are those of ``docs``."""
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
     taken = mix(rows, weights, share, id_col, text_col, source_col, "__row").where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    joined = rows.join(taken, "__row")
-    whole = joined.withColumn("__n", F.floor(F.col("__taken") / F.col("__size")).cast("int")).where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), "__n")))
-    part = joined.withColumn("__n", (F.col("__taken") % F.col("__size")).cast("int")).where("__n > 0").withColumn(text_col, first_words(F.col(text_col), F.col("__n")))
-    return whole.select(*docs.columns).union(part.select(*docs.columns))
+    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
+    often = rows.join(taken.hint("merge"), "__row").withColumn("__n", F.explode(F.sequence(F.lit(1), times)))
+    text = F.col(text_col).cast("string")
+    cut = F.when(F.col("__n") * F.col("__size") > F.col("__taken"), first_words(text, (F.col("__taken") % F.col("__size")).cast("int"))).otherwise(text)
+    return often.withColumn(text_col, cut).select(*docs.columns)
