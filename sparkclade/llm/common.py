@@ -84,6 +84,14 @@ def map_batches(df: DataFrame, columns: list[str], f: Callable[[Iterator[pa.Reco
     return df.select(*columns).mapInArrow(f, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Each batch in runs of ``rows``, so that few texts at a time are Python objects; Arrow's free memory goes back at the end."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def small_groups(rows: list, what: str) -> list:
     """``rows``, refused if there are more groups than the documented bound of a broadcast table."""
     if len(rows) > MAX_GROUPS:

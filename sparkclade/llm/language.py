@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import map_batches
+from .common import map_batches, slices
 
 PROFILE = 400
 ORDERS = (1, 2, 3)
@@ -24,7 +25,7 @@ MOST_LANGS = 256
 NONE = "und"
 NO_LETTERS = re.compile(r"[\W\d_]+")
 #: n-grams that a task gathers before it hands on their counts.
-GATHERED = 4_000_000
+GATHERED = 1_000_000
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -102,7 +103,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "gram", "n"])
             kept.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 code, n = np.unique(grams(text), return_counts=True)
                 kept.setdefault(lang, []).append((code, n))
@@ -128,13 +129,16 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
     """
 
     def run(batches):
-        for b in batches:
-            found = [profiles.predict(t) for t in b.column(0).to_pylist()]
-            cells = [*b.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cells, [*b.schema.names[1:], "lang_pred", "score"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+        for b in slices(batches):
+            found = [profiles.predict(t) for t in b.column(at).to_pylist()]
+            cells = [*b.columns[skip:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cells, [*b.schema.names[skip:], "lang_pred", "score"])
+
+    # A text that is kept anyway goes to Python once.
+    once = text_col in keep and docs.schema[text_col].dataType == StringType()
+    skip, at = (0, keep.index(text_col)) if once else (1, 0)
+    rows = docs.select(*[F.col(text_col).cast("string").alias("__text")][:skip], *keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[skip:])
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 

@@ -24,7 +24,7 @@ from .common import small_groups, stored
 
 SEPARATOR = 1
 #: Words whose ids a worker keeps, about 200 bytes each; emptied when full.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 #: Letters, then punctuation, each one pre-token: all that these vocabularies' normalizer does here is to lower the case.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 

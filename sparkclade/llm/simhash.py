@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_batches, stored
+from .common import forget, map_batches, slices, stored
 from .components import connected_components
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id long, fp long), a row for each row of ``docs``; fp is the fingerprint's bits as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
@@ -95,7 +95,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     weight = np.concatenate([np.full(len(m), sum(len(tail[j]) for j in range(half - k + 1)), np.int64) for k, m in above.items()])
 
     def spread(batches):
-        for b in batches:
+        for b in slices(batches, 4096):
             fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             keys = ((fp[:, None] ^ near[None, :]) >> np.uint64(64 - lead)).astype(np.int64)
             cells = pa.array(keys.ravel()), pa.array(np.repeat(fp, len(near)).view(np.int64)), pa.array(np.tile(weight, len(fp)))
@@ -118,9 +118,11 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
                     v, o = v[mine], o[mine]
                 variants.append(v)
                 owners.append(o)
-        v, o = np.concatenate(variants), np.concatenate(owners)
-        order = np.argsort(v)
-        v, o = v[order], o[order]
+        v = np.concatenate(variants)
+        del variants
+        order = np.argsort(v).astype(np.int32)
+        v, o = v[order], np.concatenate(owners)[order]
+        del order, owners
         same = np.flatnonzero(v[1:] == v[:-1])
         pairs = np.sort(np.stack([o[same], o[same + 1]], 1).astype(np.int64), axis=1)
         code = np.unique(pairs[:, 0] * len(fp) + pairs[:, 1])
@@ -183,7 +185,7 @@ def narrow_fingerprints(texts: DataFrame, rounds: int = 4, narrow: int = 2) -> D
     """(id, x, y, f0, f1...) of (id long, text): two hashes of the text, and fingerprints over ``narrow``-word shingles."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             hs = [shingle_hashes(words_of(t), narrow) for t in b.column(3).to_pylist()]
             cells = [pa.array(np.array([majority(mixed(h, k)) for h in hs], np.uint64).view(np.int64)) for k in range(rounds)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *cells], ["id", "x", "y", *(f"f{k}" for k in range(rounds))])
@@ -215,7 +217,7 @@ def similar_links(texts: DataFrame, fps: DataFrame, width: int = 5, least: float
     side = lambda c: some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
     def verify(batches):
-        for b in batches:
+        for b in slices(batches):
             ok = pa.array([similarity(x, y, width) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(ok)
 
