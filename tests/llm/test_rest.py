@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from sparkclade.llm import ann, mips, url_filter
 
@@ -66,6 +68,20 @@ def test_ann_recall(spark):
     assert [(r.query_id, r.vec_id) for r in ann.nearest(vectors(spark, x[:3])).collect()] == [(0, int(v)) for v in np.argsort(((x[1:3] - x[0]) ** 2).sum(1)) + 1]
 
 
+def test_ann_recall_without_clusters(spark, tmp_path):
+    x = np.random.default_rng(3).standard_normal((20_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), f"{tmp_path}/v.parquet")
+    found = {}
+    for r in ann.nearest(spark.read.parquet(f"{tmp_path}/v.parquet")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 100):
+        d = ((x.astype(float) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 200 and hit >= 0.9 * 2000
+
+
 def test_mips_is_exact(spark, monkeypatch):
     monkeypatch.setattr(mips, "ROWS_A_BLOCK", 300)
     monkeypatch.setattr(mips, "QUERIES_A_BLOCK", 7)
