@@ -9,6 +9,7 @@ connection without emitting pairs; the links are verified all the same.
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +26,8 @@ SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Variants that one task spells out at a time, about 16 bytes each.
 VARIANTS_A_GROUP = 4_000_000
+#: Cells in which shingles are counted to tell the common ones, a byte each.
+CELLS = 1 << 22
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,15 +59,6 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return majority(shingle_hashes(words_of(text), width))
 
 
-def mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    """Other hashes of what ``h`` are hashes of, by the finaliser of SplitMix64."""
-    with np.errstate(over="ignore"):
-        h = h + np.uint64((seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id long, fp long), a row for each row of ``docs``; fp is the fingerprint's bits as a signed long."""
 
@@ -181,36 +175,64 @@ def similarity(a: str | None, b: str | None, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def narrow_fingerprints(texts: DataFrame, rounds: int = 4, narrow: int = 2) -> DataFrame:
-    """(id, x, y, f0, f1...) of (id long, text): two hashes of the text, and fingerprints over ``narrow``-word shingles."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text), width))
+
+
+def commonness(texts: DataFrame, width: int) -> np.ndarray:
+    """For each of ``CELLS`` cells of shingle hashes: the bit length of how many of ``texts`` (id, text) have a shingle in it.
+
+    A task counts to 255 a cell.  What is counted only orders shingles, so neither that nor shared cells lose anything.
+    """
+    part = CELLS // 32
+
+    def count(batches):
+        seen = np.zeros(CELLS, np.uint8)
+        for b in slices(batches):
+            for t in b.column(0).to_pylist():
+                at = np.unique(shingle_set(t, width) % np.uint64(CELLS))
+                seen[at] += seen[at] < 255
+        held = [k for k in range(32) if seen[k * part : (k + 1) * part].any()]
+        cells = [seen[k * part : (k + 1) * part].tobytes() for k in held]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(cells, pa.binary())], ["part", "cells"])
+
+    def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(part, np.int64)
+        for cells in group["cells"]:
+            n += np.frombuffer(cells, np.uint8)
+        return pd.DataFrame({"part": [key[0]], "cells": [np.frexp(n)[1].astype(np.uint8).tobytes()]})
+
+    out = np.zeros(CELLS, np.uint8)
+    for r in map_batches(texts, ["text"], count, "part int, cells binary").groupBy("part").applyInPandas(total, "part int, cells binary").collect():
+        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(bytes(r["cells"]), np.uint8)
+    return out
+
+
+def prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(id, x, y, n, p) of (id long, text): two hashes of the text, how many shingles it has, and the rarest of them.
+
+    All shingles are ordered alike in every text.  A text of n shingles shares at least ``least`` * n of them with any
+    that is similar, so among its first n - ceil(least * n) + 1 and those of the other there is one in common: none is missed.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(commonness(texts, width))
 
     def run(batches):
+        common = shared.value
         for b in slices(batches):
-            hs = [shingle_hashes(words_of(t), narrow) for t in b.column(3).to_pylist()]
-            cells = [pa.array(np.array([majority(mixed(h, k)) for h in hs], np.uint64).view(np.int64)) for k in range(rounds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cells], ["id", "x", "y", *(f"f{k}" for k in range(rounds))])
+            n, p = [], []
+            for t in b.column(3).to_pylist():
+                h = shingle_set(t, width)
+                n.append(len(h))
+                first = h[np.lexsort((h, common[h % np.uint64(CELLS)]))][: len(h) - int(np.ceil(least * len(h) - 1e-6)) + 1]
+                p.append(first.view(np.int64) if len(h) else np.zeros(1, np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64()))], ["id", "x", "y", "n", "p"])
 
     hashed = texts.select("id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), "text")
-    return hashed.mapInArrow(run, "id long, x long, y long, " + ", ".join(f"f{k} long" for k in range(rounds)))
-
+    return hashed.mapInArrow(run, "id long, x long, y long, n int, p array<long>")
 
-def similar_links(texts: DataFrame, fps: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
-    """(a long, b long): links among ``texts`` (id long, text), all verified to share ``least`` of their shingles.
 
-    Candidates are texts whose fingerprints ``fps`` (id, f0, f1...), in any of the sets of hashes, are within ``radius``.
-    Narrow shingles keep more of their bits when a word changes than wide ones do; the wide ones decide.
-    """
-    pairs = []
-    for f in [c for c in fps.columns if c.startswith("f")]:
-        classes = stored(fps.groupBy(F.col(f).alias("fp")).agg(F.min("id").alias("rep")), "classes")
-        own = fps.join(classes, fps[f] == classes.fp).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        of = lambda c: classes.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))  # noqa: E731, B023
-        across = ball_links(classes.select("fp"), radius).withColumnsRenamed({"a": "x", "b": "y"}).join(of("x"), "x").join(of("y"), "y")
-        pairs.append(own.union(across.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))))
-    asked = pairs[0]
-    for p in pairs[1:]:
-        asked = asked.union(p)
-    asked = stored(asked.distinct(), "candidates")
+def verified(texts: DataFrame, asked: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of ``asked`` (a long, b long) whose ``texts`` (id long, text) share ``least`` of their shingles."""
     ids = stored(asked.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
     # These ids grow with the corpus, so they are never broadcast: one plan, in proportion to the input, at every size.
     some = stored(texts.join(ids.hint("merge"), "id", "left_semi"), "texts")
@@ -221,22 +243,61 @@ def similar_links(texts: DataFrame, fps: DataFrame, width: int = 5, least: float
             ok = pa.array([similarity(x, y, width) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(ok)
 
-    return map_batches(asked.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "text_a", "text_b"], verify, "a long, b long")
+    found = stored(map_batches(asked.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "text_a", "text_b"], verify, "a long, b long"), "links")
+    forget(texts.sparkSession, ids, some)
+    return found
+
+
+def similar_links(texts: DataFrame, sets: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(a long, b long), a < b: links among ``texts`` (id long, text), all verified to share ``least`` of their shingles.
+
+    ``sets``: (id, n, p) of ``prefixes``.  Texts with a shingle of ``p`` in common are a bucket.  In each round some texts
+    of a bucket represent it, and all others in it that no links join to them yet are verified against them.  The
+    representatives then leave the bucket, and the others meet new ones, four times as many each round, until links
+    join all that a bucket holds.  So any two similar texts are joined, whoever represented them, and a group of copies
+    is settled against one of them without meeting each other.
+    """
+    spark = texts.sparkSession
+    several = lambda rows, c="id": stored(rows.groupBy("h").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo < hi").select("h"), "held")
+    spread = sets.select("id", "n", F.posexplode("p").alias("pos", "h"))
+    rows = stored(spread.join(several(spread), "h").select("h", "id", "n", "pos", F.col("id").alias("root")), "buckets")
+    asked, links, many = [], [], 1
+    while not rows.isEmpty():
+        slot = F.pmod(F.xxhash64("id"), F.lit(many)).alias("slot")
+        # Written first, so that both sides of the join come by a shuffle of their own and Spark can split a hot bucket's rows.
+        reps = stored(rows.groupBy("h", slot).agg(F.min(F.struct("id", "n", "pos", "root")).alias("r")).select("h", "r.*").toDF("h", "r", "rn", "rpos", "rroot"), "reps")
+        alike = F.least("n", "rn") >= least * F.greatest("n", "rn") - 1e-6
+        # What both can share if this is the first shingle that they share; the pair meets at that one too.
+        reach = F.least(F.col("n") - F.col("pos"), F.col("rn") - F.col("rpos")) >= least / (1 + least) * (F.col("n") + F.col("rn")) - 1e-6
+        pairs = rows.join(reps, "h").where((F.col("root") != F.col("rroot")) & alike & reach).select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b")).distinct()
+        for earlier in asked:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        asked.append(stored(pairs, "candidates"))
+        links.append(verified(texts, asked[-1], width, least))
+        roots = stored(connected_components(functools.reduce(DataFrame.union, links)), "roots")
+        left = rows.drop("root").join(reps.select("h", F.col("r").alias("id")), ["h", "id"], "left_anti")
+        left = left.join(roots.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+        left = stored(left, "buckets")
+        forget(spark, rows, reps, roots)
+        rows, many = stored(left.join(several(left, "root"), "h").select(*left.columns), "buckets"), 4 * many
+        forget(spark, left)
+    forget(spark, *asked)
+    return functools.reduce(DataFrame.union, links, spark.createDataFrame([], "a long, b long"))
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without near-duplicates: one row of each group of texts that links join, and so one of each repeated text.
 
-    Links are those of ``similar_links``.  Rows are numbered as they come; the first row of a group stays, with all its
-    columns.  Null and empty texts are one text.
+    Links are those of ``similar_links``: no two texts that stay share ``least`` of their shingles.  Rows are numbered as
+    they come; the first row of a group stays, with all its columns.  Null and empty texts are one text.
     """
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     texts = numbered.select(F.col("__row").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    fps = stored(narrow_fingerprints(texts), "narrow")
+    sets = stored(prefixes(texts, width, least), "prefixes")
     # Equal texts, by two hashes of their own seeds: groups of copies meet as numbers, combined before the shuffle.
-    first = stored(fps.groupBy("x", "y").agg(F.min("id").alias("id")).select("id"), "first")
-    fps = stored(fps.drop("x", "y").join(first, "id", "left_semi"), "narrow")
-    roots = connected_components(similar_links(texts, fps, width, least))
+    first = stored(sets.groupBy("x", "y").agg(F.min("id").alias("id")).select("id"), "first")
+    sets = stored(sets.drop("x", "y").join(first, "id", "left_semi"), "prefixes")
+    roots = connected_components(similar_links(texts, sets, width, least))
     later = roots.where("node <> root").select(F.col("node").alias("id"))
     stay = stored(first.join(later, "id", "left_anti").select(F.col("id").alias("__first")), "stay")
     return numbered.join(stay.hint("merge"), F.col("__row") == F.col("__first"), "left_semi").drop("__row")

@@ -366,6 +366,36 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def edited(rng, words, n):
+    w = list(words)
+    for at in rng.sample(range(len(w)), n):
+        w[at] = prose(rng, 1) + "x"
+    return " ".join(w)
+
+
+def one_of_each(texts):
+    """The first of each group that pairs of similar texts join, by brute force."""
+    sets = [{*simhash.shingle_hashes(simhash.words_of(t), 5).tolist()} for t in texts]
+    group = [*range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return sorted({*group})
+
+
+def test_keep_one_in_dense_groups(spark):
+    """Hundreds of edited copies of few texts, many of which are not similar to each other or to the first ones."""
+    rng = random.Random(29)
+    texts = []
+    for _ in range(3):
+        base = prose(rng, 250).split()
+        some = [edited(rng, base, n).split() for n in (9, 9, 9, 12)]
+        texts += [edited(rng, base, rng.randint(5, 9)) for _ in range(40)] + [edited(rng, rng.choice(some), rng.randint(1, 4)) for _ in range(60)]
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts).coalesce(1)).collect()) == one_of_each(texts)
+
+
 def test_dense_balls(spark, monkeypatch):
     """Many fingerprints around a few, in salted groups."""
     monkeypatch.setattr(simhash, "VARIANTS_A_GROUP", 3000)
