@@ -396,6 +396,18 @@ def test_keep_one_in_dense_groups(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts).coalesce(1)).collect()) == one_of_each(texts)
 
 
+def test_keep_one_just_similar(spark):
+    """Pairs of different texts of 0.80 to 0.85: all are found."""
+    rng = random.Random(31)
+    texts = []
+    while len(texts) < 80:
+        a = prose(rng, 250)
+        b = edited(rng, a.split(), 5)
+        if 0.8 <= simhash.similarity(a, b) < 0.85:
+            texts += [a, b]
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts).coalesce(1)).collect()) == [*range(0, 80, 2)]
+
+
 def test_dense_balls(spark, monkeypatch):
     """Many fingerprints around a few, in salted groups."""
     monkeypatch.setattr(simhash, "VARIANTS_A_GROUP", 3000)
