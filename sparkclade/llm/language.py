@@ -7,7 +7,8 @@ lacks it.  The language of the least sum is predicted.
 
 from __future__ import annotations
 
-import re
+import functools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,21 +21,34 @@ from .common import map_batches, slices
 
 PROFILE = 400
 ORDERS = (1, 2, 3)
-#: Bound of the model that every task gets.
-MOST_LANGS = 256
+#: Bound of the model that every task gets: 12 bytes for each n-gram of a profile.
+MOST_LANGS = 16_384
 NONE = "und"
-NO_LETTERS = re.compile(r"[\W\d_]+")
 #: n-grams that a task gathers before it hands on their counts.
 GATHERED = 1_000_000
 
 
+@functools.cache
+def kinds() -> np.ndarray:
+    """Of each code point: 1 for a letter, 2 for a mark, which belongs to the letter before it, else 0."""
+    kind = np.zeros(0x110000, np.uint8)
+    kind[:0x20000] = [1 if c.isalpha() else 2 if unicodedata.category(c)[0] == "M" else 0 for c in map(chr, range(0x20000))]
+    # The next two planes hold ideographs alone.
+    kind[0x20000:0x40000] = 1
+    return kind
+
+
 def grams(text: str | None) -> np.ndarray:
     """All n-grams of the letters of ``text``, lower-cased, every other run one blank; three code points of 21 bits each."""
-    text = NO_LETTERS.sub(" ", (text or "").lower())
-    if not text.strip():
-        return np.zeros(0, np.int64)
-    code = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    code = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    kind = kinds()[code]
+    if (kind == 2).any():
+        before = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind)), 0))
+        kind = (kind != 0) & (kind[before] == 1)
+    code[kind == 0] = 32
     code = code[np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))]
+    if len(code) < 2:
+        return np.zeros(0, np.int64)
     out, gram = [code[code != 32]], code
     for n in ORDERS[1:]:
         gram = gram[:-1] << 21 | code[n - 1 :]
@@ -53,34 +67,37 @@ def ranked(gram: np.ndarray, most: int = PROFILE) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """Ranks of n-grams by language, over the union of all profiles."""
+    """Ranks of n-grams by language: each n-gram of ``codes`` has those from its ``start`` up to the next one's."""
 
     langs: list[str]
     codes: np.ndarray
-    ranks: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
 
     @staticmethod
     def of(rows: list[tuple[str, int, int]]) -> Profiles:
         langs = sorted({r[0] for r in rows})
-        codes = np.array(sorted({r[1] for r in rows}), np.int64)
-        ranks = np.full((len(codes) + 1, len(langs)), -1, np.int32)
-        for lang, code, rank in rows:
-            ranks[np.searchsorted(codes, code), langs.index(lang)] = rank
-        return Profiles(langs, codes, ranks)
+        number = {x: i for i, x in enumerate(langs)}
+        lang, code, rank = (np.array(x, np.int64) for x in ([number[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+        order = np.lexsort((lang, code))
+        codes, start = np.unique(code[order], return_index=True)
+        return Profiles(langs, codes, np.append(start, len(rows)), lang[order].astype(np.int32), rank[order].astype(np.int32))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and a score: how much nearer than the greatest distance the document is, shared among the languages."""
+        """The language of the least distance, and the score: 1 less that distance by the greatest there can be."""
         mine = ranked(grams(text))
         if not len(mine) or not self.langs:
             return NONE, 0.0
         at = np.searchsorted(self.codes, mine)
-        known = at < len(self.codes)
-        known[known] = self.codes[at[known]] == mine[known]
-        found = self.ranks[np.where(known, at, len(self.codes))]
-        away = np.where(found < 0, PROFILE, np.minimum(PROFILE, np.abs(found - np.arange(len(mine))[:, None]))).sum(0)
-        near = 1.0 - away / (PROFILE * len(mine))
+        at[at == len(self.codes)] = 0
+        place = np.flatnonzero(self.codes[at] == mine)
+        first, many = self.start[at[place]], self.start[at[place] + 1] - self.start[at[place]]
+        cell = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        # A profile's n-gram is out of place by less than its length, which is what a lacking one counts.
+        near = np.bincount(self.lang[cell], PROFILE - np.abs(self.rank[cell] - np.repeat(place, many)), len(self.langs)) / (PROFILE * len(mine))
         best = int(np.argmax(near))
-        return self.langs[best], float(min(1.0, max(0.0, near[best])))
+        return self.langs[best], float(min(1.0, near[best]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -115,8 +132,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = map_batches(rows, ["text", "lang"], count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Filtered by the row number itself, so that Spark keeps the first ranks of each partition before the exchange.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("rank", rank - 1).where(F.col("rank") < PROFILE).select("lang", "gram", "rank").limit(MOST_LANGS * PROFILE + 1).collect()
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "gram", (F.col("rank") - 1).alias("rank")).limit(MOST_LANGS * PROFILE + 1).collect()
     if len(top) > MOST_LANGS * PROFILE:
         raise ValueError(f"more than {MOST_LANGS} languages in {lang_col}")
     return Profiles.of([tuple(r) for r in top])
