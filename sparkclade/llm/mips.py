@@ -13,17 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import QUERY_STEP, matrix, usable
+from .common import stored
+from .vectors import QUERY_STEP, distinct_queries, matrix, usable
 
 #: The longest vectors, from which every query gets its first limit; rows in a block; queries in a block; bands of length.
-HEAD_ROWS, ROWS_A_BLOCK, QUERIES_A_BLOCK, MOST_BANDS = 2_000, 8_000, 1_000, 64
+HEAD_ROWS, ROWS_A_BLOCK, QUERIES_A_BLOCK, MOST_BANDS = 2_000, 8_000, 2_000, 64
 #: Rows scanned between two updates of the limits.
 STEP = 1_000
 SCALE = 1024
 
 
 def moments(rows: DataFrame) -> np.ndarray:
-    """Sum of the outer products of all vectors, from one small matrix a task."""
+    """Sum of the outer products of all vectors, from one small triangle a task."""
 
     def run(frames):
         total = None
@@ -31,18 +32,18 @@ def moments(rows: DataFrame) -> np.ndarray:
             x = matrix(f["v"])
             total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "m": total.ravel()})
+            i, j = np.triu_indices(len(total))
+            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "m": total[i, j]})
 
     found = rows.select("v").mapInPandas(run, "i int, j int, m double").groupBy("i", "j").agg(F.sum("m").alias("m")).toPandas()
     d = int(found["i"].max()) + 1
     out = np.zeros((d, d))
-    out[found["i"], found["j"]] = found["m"]
+    out[found["i"], found["j"]] = out[found["j"], found["i"]] = found["m"]
     return out
 
 
 def scan(q_id: np.ndarray, q: np.ndarray, r_id: np.ndarray, r: np.ndarray, limit: np.ndarray, turn: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's ``k`` best of the rows, and any others that reach its limit at first: (query_id, vec_id, score)."""
+    """Each query's ``k`` best of the rows, and any others that reach its limit at first: (query, its place in ``q``; query_id, vec_id, score)."""
     order = np.lexsort((r_id, -(r.astype(np.float64) ** 2).sum(1)))
     r_id, r = r_id[order], r[order]
     head = max(1, r.shape[1] // 4)
@@ -69,7 +70,7 @@ def scan(q_id: np.ndarray, q: np.ndarray, r_id: np.ndarray, r: np.ndarray, limit
         full = held.groupby("query")["score"].agg(["min", "size"])
         full = full[full["size"] == k]
         limit[full.index] = np.maximum(limit[full.index], full["min"])
-    return pd.DataFrame({"query_id": q_id[held["query"].to_numpy(np.int64)], "vec_id": held["vec_id"].to_numpy(), "score": held["score"].to_numpy()})
+    return pd.DataFrame({"query": held["query"].to_numpy(np.int64), "query_id": q_id[held["query"].to_numpy(np.int64)], "vec_id": held["vec_id"].to_numpy(), "score": held["score"].to_numpy()})
 
 
 def top_inner_products(table: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", query_step: int = QUERY_STEP) -> DataFrame:
@@ -78,32 +79,25 @@ def top_inner_products(table: DataFrame, k: int = 10, id_col: str = "vec_id", ve
     A component x counts as floor(1024 * x).  Queries are the rows whose id is divisible by ``query_step``, their
     candidates all rows of another id; ties go to the smaller id.  Vectors that are null, of an odd length or hold null
     or non-finite components take no part.  Products are exact as long as they fit a long.  Repeated rows are candidates
-    each.  An empty table gives an empty table.
+    each, and one query; vectors that differ under one id are a query each.  Extra columns are ignored; an empty table
+    gives an empty table.
     """
     spark = table.sparkSession
     rows = usable(table, id_col, vector_col, allow_zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE)))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    queries = rows.where(F.pmod("vec_id", F.lit(query_step)) == 0)
-    asked = queries.count()
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     head = rows.withColumn("length", length).orderBy(F.desc("length"), "vec_id").limit(HEAD_ROWS).toPandas()
     turn = np.linalg.eigh(moments(rows))[1][:, ::-1].copy()
     shared = spark.sparkContext.broadcast((head["vec_id"].to_numpy(), matrix(head["v"], np.int64), turn))
 
-    # Rows of like length share a band, so that blocks of short rows are skipped whole; a band is dealt out in blocks.
+    # Rows of like length share a band, so that bands of short rows are skipped whole; a band is dealt out in blocks.
     bands = min(MOST_BANDS, max(1, n // ROWS_A_BLOCK))
     edges = sorted(set(rows.select(length.alias("length")).approxQuantile("length", [i / bands for i in range(1, bands)], 0.005))) if bands > 1 else []
     band = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e > F.col("length"))) if edges else F.lit(0)
-    dealt = rows.withColumn("length", length).withColumn("band", band)
-    held = {r.band: r["count"] for r in dealt.groupBy("band").count().collect()}
-    blocks = [-(-held.get(i, 0) // ROWS_A_BLOCK) for i in range(len(edges) + 1)]
-    first, query_blocks = [sum(blocks[:i]) for i in range(len(blocks))], max(1, asked // QUERIES_A_BLOCK)
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("band") + 1)
-    dealt = dealt.withColumn("block", (pick(first) + F.pmod(F.xxhash64("vec_id"), pick(blocks))).cast("int"))
-    keys = ["block", "queries"]
-    left = dealt.withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select(*keys, "vec_id", "v")
+    dealt = stored(rows.withColumn("length", length).withColumn("band", band), "bands")
+    cut = dealt.groupBy("band").agg(F.max("length").alias("longest"), F.ceil(F.count("*") / ROWS_A_BLOCK).cast("int").alias("row_blocks"))
 
     def first_limits(frames):
         ids, head, _ = shared.value
@@ -117,14 +111,22 @@ def top_inner_products(table: DataFrame, k: int = 10, id_col: str = "vec_id", ve
                 least += [float(x) * (1 - 1e-9 * np.sign(x)) - 1 for x in own]
             yield f.assign(limit=np.maximum(np.array(least), -9e18).astype(np.float64))
 
-    limits = queries.mapInPandas(first_limits, "vec_id long, v array<long>, limit double")
-    right = limits.withColumn("queries", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(sum(blocks) - 1)))).select(*keys, "vec_id", "v", "limit")
+    limits = distinct_queries(rows, query_step).mapInPandas(first_limits, "query long, vec_id long, v array<long>, limit double").withColumn("length", length)
+    # A query goes to those bands alone whose longest row can reach its limit; bands are few and their table is small.
+    asking = stored(limits.join(F.broadcast(cut), F.sqrt(limits.length * F.col("longest")) * (1 + 1e-9) + 1 >= F.col("limit")).drop("length", "longest"), "asking")
+    cut = asking.groupBy("band").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).cast("int").alias("query_blocks"), F.first("row_blocks").alias("row_blocks"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
+    keys = ["band", "row_block", "query_block"]
+    left = dealt.join(F.broadcast(cut), "band").withColumn("row_block", mine("row_blocks")).withColumn("query_block", each("query_blocks")).select(*keys, "vec_id", "v")
+    right = asking.drop("row_blocks").join(F.broadcast(cut), "band").withColumn("query_block", mine("query_blocks")).withColumn("row_block", each("row_blocks")).select(*keys, "query", "vec_id", "v", "limit")
 
     def search(rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asking):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        return scan(asking["vec_id"].to_numpy(), matrix(asking["v"], np.int64), rows["vec_id"].to_numpy(), matrix(rows["v"], np.int64), asking["limit"].to_numpy(), shared.value[2], k)
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        found = scan(asking["vec_id"].to_numpy(), matrix(asking["v"], np.int64), rows["vec_id"].to_numpy(), matrix(rows["v"], np.int64), asking["limit"].to_numpy(), shared.value[2], k)
+        return found.assign(query=asking["query"].to_numpy()[found["query"]])
 
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,5 +26,11 @@ def usable(table: DataFrame, id_col: str, vector_col: str, allow_zero: bool) ->
     return rows.where(F.size("v") == (most[0].d if most else 0))
 
 
+def distinct_queries(rows: DataFrame, step: int) -> DataFrame:
+    """(query, vec_id, v): each different row whose id is divisible by ``step`` once, with a number of its own."""
+    some = rows.where(F.pmod("vec_id", F.lit(step)) == 0).dropDuplicates(["vec_id", "v"])
+    return some.select(F.xxhash64("vec_id", "v").alias("query"), "vec_id", "v")
+
+
 def matrix(column: pd.Series, dtype=np.float64) -> np.ndarray:
     return np.array(column.tolist(), dtype) if len(column) else np.zeros((0, 0), dtype)
