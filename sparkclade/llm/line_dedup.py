@@ -1,63 +1,98 @@
 """Line deduplication by winnowing over line hashes, with DataFrame functions only.
 
-A window is one line of at least ``min_chars`` characters, or two neighbouring lines that hold as many, one of them
-shorter.  Its fingerprint is the least line hash in it, so two equal windows always select the same line: a repeated run
-of lines cannot escape.  Fingerprints that occur once end there.  The others are joined on position: the match is
-extended from the selected line to both ends of its window, and windows that overlap make up the whole repeated run.
-All of a run's occurrences but the first, by document id and then line, are deleted.
+A run of lines is repeated if the same lines, blank ones aside, follow each other elsewhere.  A window is a shortest run,
+from a line on or up to one, that holds ``min_chars`` characters: one long line, or as many short ones as it takes.  Its
+fingerprint is the least line hash in it, its anchor, so equal windows always select the same line and no repeated run
+of ``min_chars`` characters, however short its lines, can escape.  Neighbouring windows mostly share an anchor, so the
+anchors are fewer than the lines.  Anchors that occur once end there.  At the others' positions the match is extended
+both ways, to the ends of each window that selected it, and compared as a whole; windows chain to the maximal repeated
+run, as each of its lines lies in a window within it.  All of a run's occurrences but the first, by document id and then
+line, are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 MIN_CHARS = 50
+BLANKS = " \t\r"
+
+
+def barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` worked out once a row: Spark would copy its expression into every lambda that reads it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def shortest(lines: Column, at: Column, min_chars: int, back: bool) -> Column:
+    """Lines from ``at`` (from 0) on, or ``back``wards, until they hold ``min_chars`` characters; null if there are too few.
+
+    Blank lines are none, so there are at most ``min_chars`` of them.
+    """
+
+    def steps(most: int) -> Column:
+        first = F.greatest(F.lit(0), at - (most - 1)) if back else at
+        part = F.slice(lines, first + 1, (at - first + 1) if back else F.lit(most))
+        part = F.reverse(part) if back else part
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+        more = lambda s, x: F.when(s.n >= min_chars, s).otherwise(F.struct((s.n + x.n).alias("n"), (s.k + 1).alias("k")))
+        return F.aggregate(part, start, more, lambda s: F.when(s.n >= min_chars, s.k))
+
+    # Most windows are short; only where eight lines do not reach are as many looked at as could be needed.
+    return F.when(F.get(lines, at).n >= min_chars, F.lit(1)).otherwise(F.coalesce(steps(8), steps(min_chars)))
 
 
 def windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, th, pos, lines, pick, ext): each window of ``docs`` (id, th, text), its fingerprint and the rest of it.
+    """(id, th, from, to, pick, at, ext): each window of ``docs`` (id, th, text).
 
-    pick: the least hash of its lines; ext: a hash, of its own seed, of the window and of the place of that line in it.
+    from, to: its first line and the one after its last, with the blank lines that follow it; pick: the least hash of
+    its lines, at: the place of that line; ext: a hash, of a seed of its own, of all its lines.
     """
-    trimmed = docs.select("id", "th", F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")).alias("all"))
-    two = F.arrays_zip(F.col("all").alias("line"), F.slice("all", 2, F.size("all")).alias("next"))
-    lines = trimmed.select("id", "th", F.posexplode(two).alias("pos", "two")).select("id", "th", "pos", F.col("two.line").alias("line"), F.col("two.next").alias("next"))
-    lines = lines.withColumns({"h": F.xxhash64("line"), "n": F.length("line")})
-    pair = F.concat_ws("\n", "line", "next")
-    single = F.struct(F.lit(1).alias("lines"), F.col("h").alias("pick"), F.xxhash64(F.lit(0), F.lit(1), "line").alias("ext"))
-    double = F.struct(F.lit(2).alias("lines"), F.least(F.col("h"), F.xxhash64("next")).alias("pick"), F.xxhash64((F.col("h") > F.xxhash64("next")).cast("int"), F.lit(2), pair).alias("ext"))
-    long_line, long_next = F.col("n") >= min_chars, F.length("next") >= min_chars
-    held = F.col("next").isNotNull() & ~(long_line & long_next) & (F.col("n") + F.length("next") >= min_chars)
-    return lines.select("id", "th", "pos", F.explode(F.filter(F.array(F.when(long_line, single), F.when(held, double)), lambda w: w.isNotNull())).alias("w")).select("id", "th", "pos", "w.*")
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
+    told = F.filter(F.transform(trimmed, lambda x, i: F.struct(i.alias("pos"), F.length(x).alias("n"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))), lambda x: x.n > 0)
+    lines = barrier(docs.select("id", "th", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("end"), "text"), "lines", told).drop("text").where(F.size("lines") > 0)
+    ends = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.array(F.struct(i.alias("a"), (i + shortest(F.col("lines"), i, min_chars, False) - 1).alias("z")), F.struct((i - shortest(F.col("lines"), i, min_chars, True) + 1).alias("a"), i.alias("z"))))
+    both = F.filter(F.array_distinct(F.flatten(ends)), lambda w: w.a.isNotNull() & w.z.isNotNull())
+    spans = lines.select("id", "th", "end", "lines", F.explode(both).alias("w"))
+    held = F.slice("lines", F.col("w.a") + 1, F.col("w.z") - F.col("w.a") + 1)
+    least = F.array_min(F.transform(held, lambda x: F.struct(x.h.alias("h"), x.pos.alias("pos"))))
+    return spans.select(
+        "id", "th", F.get("lines", F.col("w.a")).pos.alias("from"), F.coalesce(F.get("lines", F.col("w.z") + 1).pos, F.col("end")).alias("to"),
+        least.alias("least"), F.xxhash64(F.transform(held, lambda x: x.g)).alias("ext"),
+    ).select("id", "th", "from", "to", F.col("least.h").alias("pick"), F.col("least.pos").alias("at"), "ext")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """(id, th, pos): lines of the windows in ``found`` that occur earlier."""
-    picks = found.groupBy("pick", "ext").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.max(F.struct("id", "th", "pos")).alias("last")).where("first <> last").select("pick", "ext", "first")
-    # Written first, so that both sides of the join come by a shuffle of their own and Spark can split a hot window's rows.
-    picks = stored(picks, "picks")
-    later = found.join(picks, ["pick", "ext"]).where(F.struct("id", "th", "pos") != F.col("first"))
-    return later.select("id", "th", F.explode(F.sequence("pos", F.col("pos") + F.col("lines") - 1)).alias("pos"))
+    """(id, th, from, to): windows in ``found``, a stored table, that occur earlier."""
+    place = F.struct("id", "th", "at")
+    anchors = found.groupBy("pick").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("pick")
+    # Each table is written before it is joined, so that both sides come by a shuffle of their own and Spark can split a hot key's rows.
+    anchors = stored(anchors, "anchors")
+    met = stored(found.join(anchors, "pick", "left_semi"), "met")
+    place = F.struct("id", "th", "from")
+    firsts = stored(met.groupBy("pick", "ext").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("pick", "ext", "first"), "firsts")
+    forget(found.sparkSession, anchors, found)
+    return met.join(firsts, ["pick", "ext"]).where(place != F.col("first")).select("id", "th", "from", "to")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the later occurrences of repeated lines taken out of the text, and ``removed_lines`` (int) added.
+    """``docs`` with the later occurrences of repeated runs of lines taken out of the text, and ``removed_lines`` (int) added.
 
-    A line is deleted if it lies in a window that occurs earlier.  Lines are compared without blanks at either end.  The
-    lines that stay keep their order and their line ends; a text that loses nothing is returned as it is, one that
-    loses every line becomes empty.  A null or empty text has no window.  A null id comes first.  Rows alike in id and
-    text are one document: all of them get the same result.  All columns of ``docs`` stay.
+    A line is deleted if it lies in a run of lines of ``min_chars`` characters or more that occurs earlier, in this
+    document or another.  Lines are compared without blanks at either end, and blank lines are passed over; a deleted
+    line takes the blank lines after it along.  The lines that stay keep their order and their line ends; a text that
+    loses nothing is returned as it is, one that loses every line becomes empty.  A null or empty text has no line.  A
+    null id comes first.  Rows alike in id and text are one document: all of them get the same result.  All columns of
+    ``docs`` stay, whatever their names; an empty table gives an empty table.
     """
     own = [c for c in docs.columns if c != "removed_lines"]
     keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(text_col))
     found = stored(windows(keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string").alias("text")), min_chars), "windows")
-    gone = repeated(found).groupBy("id", "th").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"id": "__i", "th": "__t"})
+    gone = repeated(found).select("id", "th", F.explode(F.sequence("from", F.col("to") - 1)).alias("pos")).groupBy("id", "th").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"id": "__i", "th": "__t"})
     joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    joined = barrier(joined, "__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(text_col), "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_lines"))

@@ -102,24 +102,22 @@ SELECT doc_id, size, source, source_size, target,
 FROM queued
 """
 
-#: The windows, spelt out: a line of 50 characters, or two neighbours that hold as many with one of them shorter.
+#: By repeated runs: equal lines on one diagonal of two documents, island by island, the later one's lines deleted.
 OP4_SQL = r"""
-WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-one AS (SELECT doc_id, text, unnest(ls) AS raw, unnest(range(len(ls))) AS pos FROM split),
-lines AS (SELECT DISTINCT doc_id, text, pos, raw, regexp_replace(raw, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS l FROM one),
-near AS (SELECT *, lead(l) OVER (PARTITION BY doc_id, text ORDER BY pos) AS nx FROM lines),
-wins AS (
-  SELECT doc_id, text, pos, 1 AS n, l AS body FROM near WHERE length(l) >= 50
-  UNION ALL
-  SELECT doc_id, text, pos, 2, l || chr(10) || nx FROM near
-  WHERE nx IS NOT NULL AND NOT (length(l) >= 50 AND length(nx) >= 50) AND length(l) + length(nx) >= 50),
-nth AS (SELECT *, dense_rank() OVER (PARTITION BY n, body ORDER BY doc_id, text, pos) AS k FROM wins),
-gone AS (SELECT DISTINCT doc_id, text, unnest(range(pos, pos + n)) AS pos FROM nth WHERE k > 1),
-kept AS (
-  SELECT l.doc_id, l.text, string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS rest, count(g.pos) AS n
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.text = g.text AND l.pos = g.pos GROUP BY 1, 2)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.rest, '') END AS text, coalesce(k.n, 0)::INTEGER AS removed_lines
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS k, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+one AS (SELECT k, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs),
+told AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) AS i, coalesce(lead(pos) OVER (PARTITION BY k ORDER BY pos), 2000000000) AS upto
+  FROM (SELECT k, pos, trim(raw, chr(32) || chr(9) || chr(13)) AS l FROM one) WHERE l <> ''),
+same AS (
+  SELECT b.k, b.i, b.pos, b.upto, length(b.l) AS n, a.k AS k2, b.i - a.i AS diag FROM told a JOIN told b ON a.l = b.l AND (a.k, a.i) < (b.k, b.i)),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY k, k2, diag ORDER BY i) AS run FROM same),
+held AS (SELECT *, sum(n) OVER (PARTITION BY k, k2, diag, run) AS chars FROM island),
+gone AS (SELECT DISTINCT k, pos, upto FROM held WHERE chars >= 50),
+marked AS (SELECT o.k, o.pos, o.raw, g.k IS NOT NULL AS gone FROM one o LEFT JOIN gone g ON g.k = o.k AND o.pos >= g.pos AND o.pos < g.upto),
+kept AS (SELECT k, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS rest, count(*) FILTER (gone) AS n FROM marked GROUP BY k)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.rest, '') END AS text, coalesce(r.n, 0)::INTEGER AS removed_lines
+FROM documents d LEFT JOIN docs c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.text = d.text LEFT JOIN kept r ON r.k = c.k
 """
 
 
