@@ -179,22 +179,29 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text), width))
 
 
-def commonness(texts: DataFrame, width: int) -> np.ndarray:
-    """For each of ``CELLS`` cells of shingle hashes: the bit length of how many of ``texts`` (id, text) have a shingle in it.
+def marked(texts: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, x, y, fp) of (id long, text): two hashes and the fingerprint of each text; and how common shingles are.
 
-    A task counts to 255 a cell.  What is counted only orders shingles, so neither that nor shared cells lose anything.
+    The latter: for each of ``CELLS`` cells of shingle hashes, the bit length of how many texts have a shingle in it.  A
+    task counts to 255 a cell.  What is counted only orders shingles, so neither that nor shared cells lose anything.
     """
     part = CELLS // 32
+    names = ["id", "x", "y", "fp", "part", "cells"]
 
-    def count(batches):
+    def run(batches):
         seen = np.zeros(CELLS, np.uint8)
         for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                at = np.unique(shingle_set(t, width) % np.uint64(CELLS))
+            fps = []
+            for t in b.column(3).to_pylist():
+                h = shingle_hashes(words_of(t), width)
+                fps.append(majority(h))
+                at = np.unique(np.unique(h) % np.uint64(CELLS))
                 seen[at] += seen[at] < 255
+            none = pa.nulls(len(fps), pa.int32()), pa.nulls(len(fps), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(fps, np.uint64).view(np.int64)), *none], names)
         held = [k for k in range(32) if seen[k * part : (k + 1) * part].any()]
-        cells = [seen[k * part : (k + 1) * part].tobytes() for k in held]
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(cells, pa.binary())], ["part", "cells"])
+        cells = pa.array([seen[k * part : (k + 1) * part].tobytes() for k in held], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(held), pa.int64())] * 4, pa.array(held, pa.int32()), cells], names)
 
     def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         n = np.zeros(part, np.int64)
@@ -202,66 +209,90 @@ def commonness(texts: DataFrame, width: int) -> np.ndarray:
             n += np.frombuffer(cells, np.uint8)
         return pd.DataFrame({"part": [key[0]], "cells": [np.frexp(n)[1].astype(np.uint8).tobytes()]})
 
+    hashed = texts.select("id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), "text")
+    found = stored(hashed.mapInArrow(run, "id long, x long, y long, fp long, part int, cells binary"), "marks")
     out = np.zeros(CELLS, np.uint8)
-    for r in map_batches(texts, ["text"], count, "part int, cells binary").groupBy("part").applyInPandas(total, "part int, cells binary").collect():
+    for r in found.where("part is not null").groupBy("part").applyInPandas(total, "part int, cells binary").collect():
         out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(bytes(r["cells"]), np.uint8)
-    return out
+    return found.where("part is null").select("id", "x", "y", "fp"), out
 
 
-def prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(id, x, y, n, p) of (id long, text): two hashes of the text, how many shingles it has, and the rarest of them.
+def prefixes(texts: DataFrame, common: np.ndarray, width: int, least: float) -> DataFrame:
+    """(id, n, p) of (id long, text): how many shingles it has, and the rarest of them by ``common`` of ``marked``.
 
     All shingles are ordered alike in every text.  A text of n shingles shares at least ``least`` * n of them with any
     that is similar, so among its first n - ceil(least * n) + 1 and those of the other there is one in common: none is missed.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(commonness(texts, width))
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         common = shared.value
         for b in slices(batches):
             n, p = [], []
-            for t in b.column(3).to_pylist():
+            for t in b.column(1).to_pylist():
                 h = shingle_set(t, width)
                 n.append(len(h))
                 first = h[np.lexsort((h, common[h % np.uint64(CELLS)]))][: len(h) - int(np.ceil(least * len(h) - 1e-6)) + 1]
                 p.append(first.view(np.int64) if len(h) else np.zeros(1, np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64()))], ["id", "x", "y", "n", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64()))], ["id", "n", "p"])
+
+    return map_batches(texts, ["id", "text"], run, "id long, n int, p array<long>")
 
-    hashed = texts.select("id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), "text")
-    return hashed.mapInArrow(run, "id long, x long, y long, n int, p array<long>")
+
+def fingerprint_pairs(marks: DataFrame, radius: int) -> DataFrame:
+    """(a long, b long), a < b: pairs of ``marks`` (id, fp) to be verified, found by ball hashing.
+
+    Of the texts of one fingerprint the first is paired with the others, and with the first of fingerprints close by.
+    """
+    classes = stored(marks.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    near = ball_links(classes.select("fp"), radius)
+    of = lambda c: classes.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
+    across = near.join(of("a"), "a").join(of("b"), "b").select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
+    within = marks.join(classes, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return stored(across.union(within).distinct(), "pairs")
 
 
 def verified(texts: DataFrame, asked: DataFrame, width: int, least: float) -> DataFrame:
     """Those of ``asked`` (a long, b long) whose ``texts`` (id long, text) share ``least`` of their shingles."""
-    ids = stored(asked.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-    # These ids grow with the corpus, so they are never broadcast: one plan, in proportion to the input, at every size.
-    some = stored(texts.join(ids.hint("merge"), "id", "left_semi"), "texts")
-    side = lambda c: some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    # Pairs grow with the corpus, so they are never broadcast: one plan, in proportion to the input, at every size.
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
 
     def verify(batches):
         for b in slices(batches):
             ok = pa.array([similarity(x, y, width) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(ok)
 
-    found = stored(map_batches(asked.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "text_a", "text_b"], verify, "a long, b long"), "links")
-    forget(texts.sparkSession, ids, some)
-    return found
+    return stored(map_batches(asked.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "text_a", "text_b"], verify, "a long, b long"), "links")
 
 
-def similar_links(texts: DataFrame, sets: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def similar_links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(a long, b long), a < b: links among ``texts`` (id long, text), all verified to share ``least`` of their shingles.
 
-    ``sets``: (id, n, p) of ``prefixes``.  Texts with a shingle of ``p`` in common are a bucket.  In each round some texts
-    of a bucket represent it, and all others in it that no links join to them yet are verified against them.  The
-    representatives then leave the bucket, and the others meet new ones, four times as many each round, until links
-    join all that a bucket holds.  So any two similar texts are joined, whoever represented them, and a group of copies
-    is settled against one of them without meeting each other.
+    ``pairs``: of ``fingerprint_pairs``, verified first.  ``sets``: (id, n, p) of ``prefixes``, for those that fingerprints
+    miss.  Texts with a shingle of ``p`` in common are a bucket.  In each round some texts of a bucket represent it, and
+    all others in it that no links join to them yet are verified against them.  The representatives then leave the
+    bucket, and the others meet new ones, four times as many each round, until links join all that a bucket holds.  So
+    any two similar texts are joined, whoever represented them, and a group of copies is settled against one of them
+    without meeting each other.
     """
     spark = texts.sparkSession
     several = lambda rows, c="id": stored(rows.groupBy("h").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo < hi").select("h"), "held")
     spread = sets.select("id", "n", F.posexplode("p").alias("pos", "h"))
-    rows = stored(spread.join(several(spread), "h").select("h", "id", "n", "pos", F.col("id").alias("root")), "buckets")
-    asked, links, many = [], [], 1
+    met = stored(spread.join(several(spread), "h").select("h", "id", "n", "pos"), "buckets")
+    # The texts that meet any other are put aside once, all rounds read those alone.
+    ids = met.select("id").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
+    texts = stored(texts.join(ids.hint("merge"), "id", "left_semi"), "texts")
+    asked, links, many = [pairs], [verified(texts, pairs, width, least)], 1
+
+    def joined(rows: DataFrame) -> DataFrame:
+        """(h, id, n, pos, root): ``rows`` of buckets that links do not join whole yet."""
+        roots = stored(connected_components(functools.reduce(DataFrame.union, links)).withColumnRenamed("node", "id"), "roots")
+        now = stored(rows.join(roots, "id", "left").select("h", "id", "n", "pos", F.coalesce("root", "id").alias("root")), "buckets")
+        left = stored(now.join(several(now, "root"), "h").select("h", "id", "n", "pos", "root"), "buckets")
+        forget(spark, roots, now, rows)
+        return left
+
+    rows = joined(met)
     while not rows.isEmpty():
         slot = F.pmod(F.xxhash64("id"), F.lit(many)).alias("slot")
         # Written first, so that both sides of the join come by a shuffle of their own and Spark can split a hot bucket's rows.
@@ -269,35 +300,33 @@ def similar_links(texts: DataFrame, sets: DataFrame, width: int = 5, least: floa
         alike = F.least("n", "rn") >= least * F.greatest("n", "rn") - 1e-6
         # What both can share if this is the first shingle that they share; the pair meets at that one too.
         reach = F.least(F.col("n") - F.col("pos"), F.col("rn") - F.col("rpos")) >= least / (1 + least) * (F.col("n") + F.col("rn")) - 1e-6
-        pairs = rows.join(reps, "h").where((F.col("root") != F.col("rroot")) & alike & reach).select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b")).distinct()
+        new = rows.join(reps, "h").where((F.col("root") != F.col("rroot")) & alike & reach).select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b")).distinct()
         for earlier in asked:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        asked.append(stored(pairs, "candidates"))
+            new = new.join(earlier, ["a", "b"], "left_anti")
+        asked.append(stored(new, "candidates"))
         links.append(verified(texts, asked[-1], width, least))
-        roots = stored(connected_components(functools.reduce(DataFrame.union, links)), "roots")
-        left = rows.drop("root").join(reps.select("h", F.col("r").alias("id")), ["h", "id"], "left_anti")
-        left = left.join(roots.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
-        left = stored(left, "buckets")
-        forget(spark, rows, reps, roots)
-        rows, many = stored(left.join(several(left, "root"), "h").select(*left.columns), "buckets"), 4 * many
-        forget(spark, left)
-    forget(spark, *asked)
-    return functools.reduce(DataFrame.union, links, spark.createDataFrame([], "a long, b long"))
-
-
-def keep_one(docs: DataFrame, text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+        left = stored(rows.drop("root").join(reps.select("h", F.col("r").alias("id")), ["h", "id"], "left_anti").select("h", "id", "n", "pos"), "buckets")
+        forget(spark, rows, reps)
+        rows, many = joined(left), 4 * many
+    forget(spark, *asked, texts)
+    return functools.reduce(DataFrame.union, links)
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: one row of each group of texts that links join, and so one of each repeated text.
 
-    Links are those of ``similar_links``: no two texts that stay share ``least`` of their shingles.  Rows are numbered as
-    they come; the first row of a group stays, with all its columns.  Null and empty texts are one text.
+    Links are those of ``similar_links``: pairs that ball hashing finds and those that it misses, all verified; no two
+    texts that stay share ``least`` of their shingles.  Rows are numbered as they come; the first row of a group stays,
+    with all its columns.  Null and empty texts are one text; texts of equal words are alike.  Columns of ``docs`` may
+    have any names; an empty table gives an empty table.
     """
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     texts = numbered.select(F.col("__row").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sets = stored(prefixes(texts, width, least), "prefixes")
+    marks, common = marked(texts, width)
     # Equal texts, by two hashes of their own seeds: groups of copies meet as numbers, combined before the shuffle.
-    first = stored(sets.groupBy("x", "y").agg(F.min("id").alias("id")).select("id"), "first")
-    sets = stored(sets.drop("x", "y").join(first, "id", "left_semi"), "prefixes")
-    roots = connected_components(similar_links(texts, sets, width, least))
+    first = stored(marks.groupBy("x", "y").agg(F.min(F.struct("id", "fp")).alias("m")).select("m.id", "m.fp"), "first")
+    sets = stored(prefixes(texts, common, width, least).join(first.select("id"), "id", "left_semi"), "prefixes")
+    roots = connected_components(similar_links(texts, sets, fingerprint_pairs(first, radius), width, least))
     later = roots.where("node <> root").select(F.col("node").alias("id"))
-    stay = stored(first.join(later, "id", "left_anti").select(F.col("id").alias("__first")), "stay")
+    stay = stored(first.select("id").join(later, "id", "left_anti").select(F.col("id").alias("__first")), "stay")
     return numbered.join(stay.hint("merge"), F.col("__row") == F.col("__first"), "left_semi").drop("__row")
