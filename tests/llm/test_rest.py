@@ -1,5 +1,6 @@
 """URL filter, vector searches and the pipeline."""
 
+import os
 import random
 
 import numpy as np
@@ -113,17 +114,99 @@ def test_pipeline_stages(spark):
     texts = [*clean, " ".join(near), clean[1], "", None, "12 !!", "\n".join([clean[2], prose(30)])]
     docs = spark.createDataFrame([(i, t, "xx", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     # As the pipeline does, each result is written before the next stage begins.
-    one = cp.stored(cp.languages(spark, docs, ""), "one", keep=True)
+    one = cp.stored(cp.languages(spark, docs, ""), "one")
     kept = {r.doc_id for r in one.collect()}
     assert kept == {*range(42), 45}
-    two = cp.stored(cp.lines(spark, one, ""), "two", keep=True)
+    two = cp.stored(cp.lines(spark, one, ""), "two")
     rows = {r.doc_id: r.text for r in two.collect()}
     assert 41 not in rows and rows[45] == texts[45].split("\n")[1] and all(rows[i] == texts[i] for i in range(41))
-    three = cp.stored(cp.near_duplicates(spark, two, ""), "three", keep=True)
+    three = cp.stored(cp.near_duplicates(spark, two, ""), "three")
     ids = {r.doc_id for r in three.collect()}
     assert {*range(1, 40), 45} <= ids and len(ids & {0, 40}) == 1
-    four = cp.stored(cp.mixture(spark, three, ""), "four", keep=True)
+    four = cp.stored(cp.mixture(spark, three, ""), "four")
     assert {r.doc_id for r in four.collect()} <= ids
     for df in (one, two, three, four):
         assert df.columns == cp.COLUMNS
-    assert cp.packed(spark, four, "").agg({"length": "sum"}).first()[0] > 0
+    out = cp.packed(spark, four, "").collect()
+    assert out and all(len(r.ids) == r.length for r in out)
+
+
+def test_pipeline_on_empty_and_repeated_rows(spark):
+    import corpus_pipeline as cp
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(1, "some words in a row, " * 9, "en", "s", 189)] * 5, [(None, None, None, None, None), (2, "", None, None, 0)]):
+        docs = spark.createDataFrame(rows, shape)
+        for name, apply in cp.STAGES:
+            docs = cp.stored(apply(spark, docs, ""), name)
+            if name == "near_duplicates":
+                assert docs.count() == (1 if len(rows) == 5 else 0)
+
+
+def folders(path):
+    return sorted(os.listdir(path)) if os.path.isdir(path) else []
+
+
+def test_scopes(spark, tmp_path, monkeypatch):
+    """A lazy result outlives other queries' scopes; when a scope ends nothing is left of it."""
+    import corpus_pipeline as cp
+
+    from sparkclade.llm import common, line_dedup
+
+    docs = [(i, f"a line that many of these documents share, one after the other\n{i} and one of its own {i}", "en", f"s{i % 2}", 80) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    monkeypatch.setattr(common, "_application", {})
+    monkeypatch.setattr(common, "_staged", {})
+    lazy = line_dedup.line_dedup(spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text"))
+    before = folders(f"{tmp_path}/shared")
+    first = cp.run(spark, str(tmp_path))
+    assert folders(f"{tmp_path}/shared") == before
+    with common.scope(spark):
+        assert cp.run(spark, str(tmp_path)).count() == first.count() > 0
+        assert len(folders(f"{tmp_path}/shared")) == len(before) + 1
+    assert folders(f"{tmp_path}/shared") == before
+    for name, apply in cp.STAGES[:2] * 2:
+        apply(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").count()
+    # One folder of the stage called last on its own, beside that of this process.
+    assert len(folders(f"{tmp_path}/shared")) == len(before) + 1
+    assert lazy.agg({"removed_lines": "sum"}).first()[0] == 19 and first.count() > 0
+
+
+def test_repeated_queries(spark):
+    """A query row that occurs twice is one query; its neighbours come once."""
+    x = np.random.default_rng(5).standard_normal((300, 8)).astype(np.float32)
+    table = vectors(spark, x, [(0, [float(v) for v in x[0]], 1), (100, [1.0] * 8, 1), (7, [float(v) for v in x[7]], 2)])
+    for found in (ann.nearest(table), mips.top_inner_products(table)):
+        rows = found.collect()
+        assert sorted((r.query_id, r["rank"]) for r in rows) == sorted((q, k) for q in (0, 100, 100, 200) for k in range(1, 11))
+        zero = [r.vec_id for r in rows if r.query_id == 0]
+        assert len(set(zero)) == 10 - zero.count(7) // 2
+
+
+def test_ann_in_many_lists(spark, tmp_path, monkeypatch):
+    """Lists of a few rows each, as large tables have: probes are fitted on unseen rows, and recall holds."""
+    monkeypatch.setattr(ann, "ROWS_A_LIST", 20)
+    monkeypatch.setattr(ann.math, "isqrt", lambda n: n)
+    rng = np.random.default_rng(11)
+    x = (rng.standard_normal((300, 32))[rng.integers(0, 300, 30_000)] + 0.35 * rng.standard_normal((30_000, 32))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), f"{tmp_path}/v.parquet")
+    found = {}
+    for r in ann.nearest(spark.read.parquet(f"{tmp_path}/v.parquet")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 100):
+        d = ((x.astype(float) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert all(len(v) == 10 for v in found.values()) and hit >= 0.9 * 3000
+
+
+def test_ann_asks_again(spark, monkeypatch):
+    """A query whose probed lists hold too few candidates is asked of all lists."""
+    monkeypatch.setattr(ann, "ROWS_A_LIST", 2)
+    monkeypatch.setattr(ann, "LEAST_PROBED", 1)
+    monkeypatch.setattr(ann, "probes_needed", lambda x, c, k: 1)
+    x = np.random.default_rng(6).standard_normal((120, 4)).astype(np.float32)
+    rows = ann.nearest(vectors(spark, x)).collect()
+    assert sorted((r.query_id, r["rank"]) for r in rows) == [(q, k) for q in (0, 100) for k in range(1, 11)]
