@@ -1,112 +1,188 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background model of the same order, smoothing and vocabulary are counted over all documents.  The
-vocabulary is 64 classes of bytes, so a model has at most 64**4 n-grams whatever the corpus: that bounds the table that
-each task gets.  A document's score is the mean over its tokens of target loss less background loss.
+A target and a background model of the same order, smoothing and vocabulary: words, and the pairs of words that the
+corpus holds often enough.  Both are counted over all documents, so they grow with the corpus, and no task ever holds
+them whole.  Documents are dealt into chunks.  A chunk sends its different n-grams once, in sorted blocks by range of
+their code; the task of a range adds up what all chunks sent and returns the sums in the same order; the chunk then
+scores its documents.  So a frequent n-gram is a row a chunk, whatever it occurs, and nothing is joined a token.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
-
-SYMBOLS, ORDER = 64, 4
-#: Of an n-gram model's probability, what goes to the next lower order.
-BACKOFF = 0.2
-BLANK = 0
-
+#: A token is a run of letters and digits, or any other character that is not blank, in lower case.
+TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\x20\x09-\x0d]")
+#: A pair of words is in the shared vocabulary if the corpus holds it so often; the others back off to the word alone.
+MIN_SEEN = 100
+#: Tokens that the lower order weighs as prior: of a word its share among all, of a pair the word's probability.
+WORD_PRIOR, PAIR_PRIOR = 1e6, 1e3
+#: Bytes of text in a chunk; n-grams that a range adds up, repeats in other chunks included, 8 to 40 bytes each.
+CHUNK_BYTES, GRAMS_A_RANGE = 8_000_000, 4_000_000
+#: Codes of the end of a text, which is also the context of its first word, and of the sum over all words.
+END, EVERY = 13, 5
+MIX = 0x9E3779B97F4A7C15
 
-def classes() -> bytes:
-    """Each byte's class: blanks, the letters whatever their case, digits, punctuation, and bytes of other letters."""
-    kind = [0] * 256
-    for b in range(256):
-        c = chr(b)
-        if b >= 0x80:
-            kind[b] = 44 + b % 20
-        elif c.isalpha():
-            kind[b] = 1 + ord(c.lower()) - 97
-        elif c.isdigit():
-            kind[b] = 27
-        elif b > 32:
-            kind[b] = 28 + b % 16
-    return bytes(kind)
 
+class Types(dict):
+    """The different tokens of a chunk, numbered as they come, the end of a text first."""
 
-CLASSES = classes()
+    def __init__(self):
+        self.codes = [END]
 
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self.codes)
+        self.codes.append(xxhash.xxh64_intdigest(token) | 1)
+        return n
 
-def codes(text: str | None) -> np.ndarray:
-    """The n-gram that ends at each byte of ``text``; the text is preceded by blanks."""
-    c = np.frombuffer(bytes(ORDER - 1) + (text or "").encode().translate(CLASSES), np.uint8).astype(np.int32)
-    n = len(c) - ORDER + 1
-    out = np.zeros(n, np.int32)
-    for i in range(ORDER):
-        out = out * SYMBOLS + c[i : i + n]
-    return out
 
+class Chunk:
+    """The n-grams of some texts: ``keys``, different codes in order; ``word``, ``pair``, ``context``: each event's place among them.
 
-def loss(code: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Bits of the last symbol of each n-gram of ``code``, given those before it, under a model with counts ``n``."""
-    p = np.full(len(code), 1.0 / SYMBOLS)
-    for order in range(1, ORDER + 1):
-        tail = code % SYMBOLS**order
-        seen = np.bincount(tail, n, SYMBOLS**order)
-        context = seen.reshape(-1, SYMBOLS).sum(1)
-        whole = np.maximum(context[tail // SYMBOLS], 1)
-        own = np.where(context[tail // SYMBOLS] > 0, 1 - BACKOFF, 0.0)
-        p = own * seen[tail] / whole + (1 - own) * p
-    return -np.log2(p)
-
+    Each text's events are its words and its end; the end counts, but is not scored.
+    """
 
-def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score), a row for each row of ``docs``.
+    def __init__(self, texts: list[str | None]):
+        types, found = Types(), []
+        for t in texts:
+            found.append(np.fromiter(map(types.__getitem__, TOKEN.findall((t or "").lower().encode())), np.int64))
+        self.n = np.array([len(x) for x in found], np.int64)
+        now = np.concatenate([y for x in found for y in (x, [0])] or [np.zeros(0)]).astype(np.int64)
+        before = np.concatenate(([0], now[:-1]))[: len(now)]
+        code = np.array(types.codes, np.uint64)
+        pair, which = np.unique(before * len(code) + now, return_inverse=True)
+        a, b = code[pair // len(code)], code[pair % len(code)]
+        pair = (a * np.uint64(MIX) ^ (b + (a >> np.uint64(7)))) & ~np.uint64(1)
+        keys = np.concatenate((code, pair, [np.uint64(EVERY)])).astype(np.uint64)
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.word, self.context, self.pair, self.every = place[now], place[before], place[len(code) : -1][which], place[-1]
+        self.doc = np.repeat(np.arange(len(texts)), self.n + 1)
+
+    def counts(self, of: np.ndarray | None = None) -> np.ndarray:
+        """By key: how often it occurs in all texts, or in those where ``of`` is true."""
+        some = slice(None) if of is None else of[self.doc]
+        n = np.bincount(self.word[some], minlength=len(self.keys)) + np.bincount(self.pair[some], minlength=len(self.keys))
+        n[self.every] = (self.n + 1).sum() if of is None else (self.n + 1)[of].sum()
+        return n
+
+    def own(self, key: np.ndarray, some: np.ndarray, held: np.ndarray | None = None) -> np.ndarray:
+        """Of the events ``some``: how often their ``key`` is a ``held`` one (itself, by default) in the same text."""
+        m, held = len(self.keys), key if held is None else held
+        here = np.isin(self.doc, np.unique(self.doc[some])) if len(some) < len(self.doc) else np.ones(len(self.doc), bool)
+        code, n = np.unique(self.doc[here] * m + held[here], return_counts=True)
+        at = np.searchsorted(code, self.doc[some] * m + key[some])
+        at[at == len(code)] = 0
+        return np.where(code[at] == self.doc[some] * m + key[some], n[at], 0) if len(code) else np.zeros(len(some), np.int64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of ``x`` by significance, which the shuffle's compression makes small for sorted or small numbers."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def losses(chunk: Chunk, n: np.ndarray, t: np.ndarray, target: np.ndarray, min_seen: int) -> tuple[np.ndarray, ...]:
+    """By text: words, mean losses under target and background, and the share of its pairs that other texts hold."""
+    every = float(n[chunk.every])
+    vocabulary = n[chunk.pair] >= min_seen
+    shape = (chunk.word, chunk.context, chunk.pair)
+    at = np.flatnonzero(target[chunk.doc])
+    out = []
+    for totals, leave in ((t, True), (n, False)):
+        word, context, pair = (totals[x].astype(np.float64) for x in shape)
+        whole = np.full(len(word), float(totals[chunk.every]))
+        if leave and len(at):
+            # No text's own words are in the target model that scores it.
+            word[at] -= chunk.own(chunk.word, at)
+            context[at] -= chunk.own(chunk.context, at)
+            pair[at] -= chunk.own(chunk.pair, at)
+            whole[at] -= (chunk.n + 1)[chunk.doc[at]]
+        p = (word + WORD_PRIOR / every) / (whole + WORD_PRIOR)
+        p = np.where(vocabulary, (pair + PAIR_PRIOR * p) / (context + PAIR_PRIOR), p)
+        out.append(-np.log2(p))
+    # A pair more frequent than its text is long occurs elsewhere for certain, one that occurs once does not.
+    total = n[chunk.pair]
+    elsewhere = total > (chunk.n + 1)[chunk.doc]
+    ask = np.flatnonzero((total > 1) & ~elsewhere)
+    elsewhere[ask] = total[ask] > chunk.own(chunk.pair, ask)
+    scored = np.ones(len(chunk.doc), bool)
+    scored[np.cumsum(chunk.n + 1) - 1] = False
+    mean = lambda x: np.bincount(chunk.doc[scored], x[scored], len(chunk.n)) / np.maximum(chunk.n, 1)
+    return chunk.n, mean(out[0]), mean(out[1]), mean(elsewhere.astype(float))
+
+
+def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seen: int = MIN_SEEN) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score, seen_elsewhere), a row for each row of ``docs``.
 
     ``target_ids``: its first column holds the ids of the target documents; all documents are the background.  Losses
-    are bits a token, score is target_loss - background_loss: the lower, the more a document is like the target.  A text
-    that is null or empty has no token and null losses and score.  Repeated rows count each time; repeated or
-    null target ids once or not at all.  Without a target document the target model is uniform.
+    are bits a word, score is target_loss - background_loss: the lower, the more a document is like the target.  A target
+    document's own words are left out of the target model that scores it, so target and other documents are judged
+    alike.  seen_elsewhere: the share of its pairs of words that occur in other documents too, 1 for a copy.  A text
+    that is null or without words has no token and null losses, score and share.  Repeated rows count each time; repeated
+    or null target ids once or not at all.  Without a target document the target model is uniform.  Extra columns are
+    ignored; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("__target")).where("__target is not null").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # The target grows with the corpus, so it is never broadcast: one plan, in proportion to the input, at every size.
-    flagged = rows.join(ids.hint("merge"), rows.doc_id == ids["__target"], "left").select("text", F.col("__target").isNotNull().alias("target"))
-
-    def count(batches):
-        held = np.zeros((2, SYMBOLS**ORDER), np.int64)
-        for b in batches:
-            for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                code = codes(text)
-                np.add.at(held[1], code, 1)
-                if target:
-                    np.add.at(held[0], code, 1)
-        code = np.flatnonzero(held[1])
-        for at in range(0, len(code), 100_000):
-            some = code[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[0][some]), pa.array(held[1][some])], ["code", "target", "background"])
-
-    counts = map_batches(flagged, ["text", "target"], count, "code int, target long, background long")
-    table = counts.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    code = table.column("code").to_numpy()
-    model = (code, *(loss(code, table.column(c).to_numpy()).astype(np.float32) for c in ("target", "background")))
-    shared = spark.sparkContext.broadcast(model)
-
-    def score(batches):
-        code, *losses = shared.value
-        dense = np.zeros((2, SYMBOLS**ORDER), np.float32)
-        dense[0, code], dense[1, code] = losses
-        for b in batches:
-            got = []
-            for text in b.column(1).to_pylist():
-                own = codes(text)
-                got.append((len(own), *(dense[:, own].mean(1, dtype=np.float64).tolist() if len(own) else (None, None))))
-            n, t, g = zip(*got) if got else ((), (), ())
-            cells = [pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(g, pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cells], ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    scored = rows.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, ranges = size // CHUNK_BYTES + 1, size // 6 // GRAMS_A_RANGE + 1
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    # The target grows with the corpus, so it is never broadcast: its ids go to the chunks that hold them.
+    light = rows.select("doc_id", "chunk")
+    flags = light.join(ids.hint("merge"), light.doc_id == ids["__target"]).select(F.col("chunk").alias("in_chunk"), F.col("doc_id").alias("id")).distinct()
+
+    def read(table: pa.Table, target: np.ndarray) -> tuple[Chunk, np.ndarray]:
+        chunk = Chunk(table.column("text").to_pylist())
+        doc_id = table.column("doc_id")
+        return chunk, np.isin(doc_id.fill_null(0).to_numpy(), target) & doc_id.is_valid().to_numpy(zero_copy_only=False)
+
+    def cuts(keys: np.ndarray) -> np.ndarray:
+        of = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        return np.searchsorted(of, np.arange(ranges + 1).astype(np.uint64))
+
+    def send(table: pa.Table, target: pa.Table) -> pa.Table:
+        names = ["chunk", "range", "keys", "n", "t"]
+        if not table.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())], names)
+        chunk, flag = read(table, target.column("id").to_numpy())
+        n, t, cut = chunk.counts(), chunk.counts(flag), cuts(chunk.keys)
+        some = [(r, a, z) for r, (a, z) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if z > a]
+        blocks = [pa.array([planes(x[a:z]) for _, a, z in some], pa.binary()) for x in (chunk.keys, n, t)]
+        return pa.Table.from_arrays([pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64()), pa.array([r for r, _, _ in some], pa.int64()), *blocks], names)
+
+    def add(table: pa.Table) -> pa.Table:
+        held = {c: [unplaned(x.as_py()) for x in table.column(c)] for c in ("keys", "n", "t")}
+        _, which = np.unique(np.concatenate(held.pop("keys")), return_inverse=True)
+        ends = np.cumsum([0, *map(len, held["n"])])
+        sums = [np.bincount(which, np.concatenate(held.pop(c)).astype(np.float64)).astype(np.uint64)[which] for c in ("n", "t")]
+        blocks = [pa.array([planes(x[a:z]) for a, z in zip(ends, ends[1:])], pa.binary()) for x in sums]
+        return pa.Table.from_arrays([table.column("chunk"), table.column("range"), *blocks], ["chunk", "range", "n", "t"])
+
+    def score(table: pa.Table, told: pa.Table) -> pa.Table:
+        names = ["doc_id", "n_tokens", "target_loss", "background_loss", "seen_elsewhere"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        if not table.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+        target = told.filter(told.column("id").is_valid()).column("id").to_numpy()
+        told = told.filter(told.column("range").is_valid()).sort_by("range")
+        chunk, flag = read(table, target)
+        n, t = (np.concatenate([unplaned(x.as_py()) for x in told.column(c)]).astype(np.int64) for c in ("n", "t"))
+        cells = losses(chunk, n, t, flag, min_seen)
+        none = chunk.n == 0
+        return pa.Table.from_arrays([table.column("doc_id"), pa.array(cells[0]), *(pa.array(x, mask=none) for x in cells[1:])], names)
+
+    # One shuffle of the texts serves both sending and scoring.
+    sent = rows.groupBy("chunk").cogroup(flags.groupBy("in_chunk")).applyInArrow(send, "chunk long, range long, keys binary, n binary, t binary")
+    sums = sent.groupBy("range").applyInArrow(add, "chunk long, range long, n binary, t binary")
+    told = sums.withColumn("id", F.lit(None).cast("long")).unionByName(flags.select(F.col("in_chunk").alias("chunk"), F.lit(None).cast("long").alias("range"), F.lit(None).cast("binary").alias("n"), F.lit(None).cast("binary").alias("t"), "id"))
+    scored = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, seen_elsewhere double")
+    return scored.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"), "seen_elsewhere")

@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and planted cases; empty, null, repeated and odd rows."""
 
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkclade.llm import components, language, line_dedup, lm_scoring, mixing, packing, simhash, substring_dedup
 from sparkclade.llm.queries import tokenizer_path
@@ -384,34 +386,59 @@ def test_spans_by_brute_force():
 # -- language models
 
 
-def test_lm_score_by_hand(spark):
-    texts = ["aaab ", "abab", "zzzz", None, "", "aaab "]
-    docs, target = documents(spark, texts), spark.createDataFrame([(0,), (5,), (None,), (0,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_scoring.lm_score(docs, target).collect()}
-
-    def model(some):
-        n = Counter(tuple(lm_scoring.CLASSES[b] for b in (b"\0\0\0" + t.encode()))[i : i + 4] for t in some for i in range(len(t.encode())))
-
-        def loss(g):
-            p = 1 / 64
-            for k in range(1, 5):
-                seen = sum(c for x, c in n.items() if x[4 - k :] == g[4 - k :])
-                whole = sum(c for x, c in n.items() if x[4 - k : 3] == g[4 - k : 3])
-                p = 0.8 * seen / whole + 0.2 * p if whole else p
-            return -np.log2(p)
+def plain_scores(rows, target, min_seen):
+    """(n_tokens, target_loss, background_loss, seen_elsewhere) of each (id, text), counted anew for each."""
+    events = []
+    for d, t in rows:
+        w = re.findall(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]", (t or "").lower().encode())
+        events.append((d in target, [*zip([None, *w], [*w, None])]))
+    total = lambda some: (Counter(x for e in some for _, x in e), Counter(x for e in some for x in e), sum(map(len, some)))
+    background = total([e for _, e in events])
+    out = []
+    for k, (_, e) in enumerate(events):
+        others = total([x for i, (good, x) in enumerate(events) if good and i != k])
+        elsewhere = {x for i, (_, y) in enumerate(events) if i != k for x in y}
+        bits = [0.0, 0.0]
+        for m, (word, pair, n) in enumerate((others, background)):
+            for x in e[:-1]:
+                p = (word[x[1]] + 1e6 / background[2]) / (n + 1e6)
+                if background[1][x] >= min_seen:
+                    p = (pair[x] + 1e3 * p) / (word[x[0]] + 1e3)
+                bits[m] -= np.log2(p)
+        n = len(e) - 1
+        out.append((n, bits[0] / n, bits[1] / n, sum(x in elsewhere for x in e[:-1]) / n) if n else (0, None, None, None))
+    return out
 
-        return loss
 
-    models = model(["aaab ", "aaab "]), model([t for t in texts if t])
-    for d, t in enumerate(texts):
-        if not t:
-            assert got[d].n_tokens == 0 and got[d].score is None
-            continue
-        c = tuple(lm_scoring.CLASSES[b] for b in (b"\0\0\0" + t.encode()))
-        want = [np.mean([m(c[i : i + 4]) for i in range(len(t))]) for m in models]
-        assert abs(got[d].target_loss - want[0]) < 1e-5 and abs(got[d].background_loss - want[1]) < 1e-5 and abs(got[d].score - want[0] + want[1]) < 1e-5
-    assert got[0].score < got[1].score < got[2].score
-    assert lm_scoring.lm_score(docs.limit(0), target).count() == 0
+def test_lm_score_by_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 9000)
+    monkeypatch.setattr(lm_scoring, "GRAMS_A_RANGE", 700)
+    rng = random.Random(3)
+    pool = [prose(rng, 4) for _ in range(30)]
+    texts = [" ".join(rng.choice(pool) + rng.choice(["", ".", ", é"]) for _ in range(rng.randint(1, 30))) for _ in range(60)] + odd
+    ids = [*range(len(texts) - 2), 3, 3]
+    target = [3, 5, 8, 20, 21, 62, 9999]
+    got = lm_scoring.lm_score(documents(spark, texts, ids=ids), spark.createDataFrame([(i,) for i in [*target, None, 5]], "x long"), min_seen=4).collect()
+    want = sorted(((d, *x) for d, x in zip(ids, plain_scores([*zip(ids, texts)], {*target}, 4))), key=lambda r: (r[0], r[1], r[2] or 0))
+    got = sorted(got, key=lambda r: (r.doc_id, r.n_tokens, r.target_loss or 0))
+    for r, (d, n, t, b, e) in zip(got, want, strict=True):
+        assert (r.doc_id, r.n_tokens) == (d, n)
+        assert (r.score is r.seen_elsewhere is None) if n == 0 else np.allclose([r.target_loss, r.background_loss, r.score, r.seen_elsewhere], [t, b, t - b, e])
+    docs = documents(spark, texts)
+    assert lm_scoring.lm_score(docs.limit(0), spark.createDataFrame([(1,)], "x long")).count() == 0
+    assert lm_scoring.lm_score(docs, spark.createDataFrame([], "x long")).where("n_tokens > 0 and target_loss is null").count() == 0
+
+
+def test_lm_score_ranks_held_out_documents(spark):
+    """Trained on half of the good labels of sf0.1: the other labelled documents, good before bad."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("good", F.expr("quality = 1 and toxic = 0"))
+    half = labels.where("good and doc_id % 2 = 0").select("doc_id")
+    scores = lm_scoring.lm_score(spark.read.parquet(f"{folder}/documents.parquet"), half)
+    rows = scores.join(labels.where("not (good and doc_id % 2 = 0)"), "doc_id").where("score is not null").select("score", "good").toPandas()
+    rank = rows["score"].rank()
+    good, bad = rows["good"].sum(), (~rows["good"]).sum()
+    assert 1 - (rank[rows["good"]].sum() - good * (good + 1) / 2) / (good * bad) >= 0.94
 
 
 # -- simhash
