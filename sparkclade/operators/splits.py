@@ -6,7 +6,9 @@ Keys are longs for up to 62 taxa; all comparisons are equi joins on the key.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,15 +80,54 @@ def asdoss(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(d / F.sqrt(F.lit(2.0))).alias("asdoss"), F.max(d).alias("max_difference"), F.avg(d).alias("mean_difference"))
 
 
+#: Trees of a block; each two blocks are compared in a task of their own.
+TREES_A_BLOCK = 250
+
+
+def blocks_of_pairs(trees: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``trees`` (tree_id, ...) dealt to each two blocks of trees, as the one and as the other: (one, other, ...).
+
+    All pairs of trees meet by an equi join on the blocks, whatever their number; nothing is broadcast.
+    """
+    n = trees.agg((F.floor(F.approx_count_distinct("tree_id") / TREES_A_BLOCK) + 1).cast("int").alias("blocks"))
+    dealt = trees.crossJoin(F.broadcast(n)).withColumn("own", F.pmod(F.xxhash64("tree_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    names = ["one", "other", *keep]
+    return dealt.select("own", every, *keep).toDF(*names), dealt.select(every, "own", *keep).toDF(*names)
+
+
 def tree_pairs(splits: DataFrame) -> DataFrame:
-    """(i, j, common, wrf_common, bld_common): splits that two trees share, with the sums of length differences over them.
+    """(i, j, common, wrf, bld) of each two trees, i < j: splits that they share, with the sums of length differences over them.
 
-    Only shared splits meet in a join; what is in one tree alone follows from the trees' own totals.
+    What is in one tree alone follows from the trees' own totals.  A split that all trees have would be a key of as many
+    pairs as there are, so blocks of trees meet as matrices of lengths by tree and split.
     """
-    a = splits.select("split_key", F.col("tree_id").alias("i"), F.col("br_len").alias("x"))
-    b = splits.select("split_key", F.col("tree_id").alias("j"), F.col("br_len").alias("y"))
-    d = F.col("x") - F.col("y")
-    return a.join(b, "split_key").where("i < j").groupBy("i", "j").agg(F.count("*").alias("common"), F.sum(F.abs(d) - F.col("x") - F.col("y")).alias("wrf"), F.sum(d * d - F.col("x") * F.col("x") - F.col("y") * F.col("y")).alias("bld"))
+    left, right = blocks_of_pairs(splits, "tree_id", "split_key", "br_len")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        keys = np.intersect1d(a["split_key"], b["split_key"])
+        (ti, x, u), (tj, y, v) = (lengths_by_split(t, keys) for t in (a, b))
+        out = []
+        for k, tree in enumerate(ti.tolist()):
+            later = np.flatnonzero(tj > tree)
+            some = np.flatnonzero(u[k])
+            both = v[np.ix_(later, some)]
+            common = both.sum(1).astype(np.int64)
+            least = np.minimum(x[k, some], y[np.ix_(later, some)]) * both
+            out.append(pd.DataFrame({"i": tree, "j": tj[later], "common": common, "wrf": -2 * least.sum(1), "bld": -2 * (y[np.ix_(later, some)] * both) @ x[k, some]}))
+        return pd.concat(out) if out else pd.DataFrame({"i": ti, "j": ti, "common": ti, "wrf": ti * 0.0, "bld": ti * 0.0})
+
+    return left.groupBy("one", "other").cogroup(right.groupBy("one", "other")).applyInPandas(compare, "i long, j long, common long, wrf double, bld double")
+
+
+def lengths_by_split(block: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trees, and by tree and split of ``keys`` its length and whether the tree has it."""
+    trees = np.unique(block["tree_id"].to_numpy(np.int64))
+    block = block[block["split_key"].isin(keys)]
+    at = np.searchsorted(trees, block["tree_id"].to_numpy(np.int64)), np.searchsorted(keys, block["split_key"].to_numpy())
+    length, here = np.zeros((len(trees), len(keys))), np.zeros((len(trees), len(keys)), bool)
+    length[at], here[at] = block["br_len"].to_numpy(float), True
+    return trees, length, here
 
 
 def tree_distances(splits: DataFrame) -> DataFrame:
@@ -95,7 +136,7 @@ def tree_distances(splits: DataFrame) -> DataFrame:
     own = splits.groupBy("tree_id").agg(F.count("*").alias("n"), F.sum("br_len").alias("len"), F.sum(F.col("br_len") * F.col("br_len")).alias("sq"))
     a = own.select(F.col("tree_id").alias("i"), F.col("n").alias("ni"), F.col("len").alias("li"), F.col("sq").alias("si"))
     b = own.select(F.col("tree_id").alias("j"), F.col("n").alias("nj"), F.col("len").alias("lj"), F.col("sq").alias("sj"))
-    every = a.join(b, F.col("i") < F.col("j")).join(tree_pairs(splits), ["i", "j"], "left").na.fill(0, ["common"]).na.fill(0.0, ["wrf", "bld"])
+    every = tree_pairs(splits).join(a, "i").join(b, "j")
     return every.select(
         "i", "j", (F.col("ni") + F.col("nj") - 2 * F.col("common")).alias("sd"), (F.col("ni") - F.col("common")).alias("diffs_i"), (F.col("nj") - F.col("common")).alias("diffs_j"),
         (F.col("li") + F.col("lj") + F.col("wrf")).alias("wrf"), F.sqrt(F.greatest(F.lit(0.0), F.col("si") + F.col("sj") + F.col("bld"))).alias("bld"),
@@ -122,8 +163,10 @@ def topologies(splits: DataFrame, n_tax: int) -> DataFrame:
 
 def tree_probabilities(splits: DataFrame, n_tax: int) -> DataFrame:
     """(topology, n, p, first_tree): posterior of each topology."""
-    t = topologies(splits, n_tax).groupBy("topology").agg(F.count("*").alias("n"), F.min("tree_id").alias("first_tree"))
-    return t.select("topology", "n", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("p"), "first_tree")
+    trees = topologies(splits, n_tax)
+    t = trees.groupBy("topology").agg(F.count("*").alias("n"), F.min("tree_id").alias("first_tree"))
+    total = F.broadcast(trees.agg(F.count("*").alias("total")))
+    return t.crossJoin(total).select("topology", "n", (F.col("n") / F.col("total")).alias("p"), "first_tree")
 
 
 def track_splits(splits: DataFrame, order: DataFrame, tracked: DataFrame, window: int = 200, stride: int = 100) -> DataFrame:
@@ -144,13 +187,23 @@ def incompatible(a: Column, b: Column, n_tax: int) -> Column:
 
 
 def conflicts(splits: DataFrame, n_tax: int) -> DataFrame:
-    """(i, j, n): numbers of conflicting pairs of splits of each two trees; pairs of different splits are judged once."""
-    inner = splits.where(~is_trivial(F.col("split_key"), n_tax)).select("tree_id", "split_key")
-    kinds = inner.select("split_key").distinct()
-    a, b = kinds.select(F.col("split_key").alias("a")), kinds.select(F.col("split_key").alias("b"))
-    clash = a.join(b, incompatible(F.col("a"), F.col("b"), n_tax))
-    left, right = inner.select(F.col("tree_id").alias("i"), F.col("split_key").alias("a")), inner.select(F.col("tree_id").alias("j"), F.col("split_key").alias("b"))
-    return left.join(clash, "a").join(right, "b").where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"))
+    """(i, j, n): numbers of conflicting pairs of splits of each two trees, i < j.
+
+    Splits that conflict share a taxon: they meet at the lowest one.  Pairs of different topologies are counted once,
+    whatever the number of trees that have them.
+    """
+    trees = topologies(splits, n_tax).select("tree_id", F.xxhash64("topology").alias("t1"), F.xxhash64(F.lit(1), "topology").alias("t2"))
+    kinds = trees.groupBy("t1", "t2").agg(F.min("tree_id").alias("tree_id"))
+    inner = splits.where(~is_trivial(F.col("split_key"), n_tax)).join(kinds.select("tree_id"), "tree_id", "left_semi").select("tree_id", "split_key").distinct()
+    at = inner.select("split_key").distinct().withColumn("tax", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_tax - 1)), lambda i: F.getbit(F.col("split_key"), i) == 1)))
+    a, b = (at.select(F.col("split_key").alias(c), "tax") for c in "ab")
+    shared = F.col("a").bitwiseAND(F.col("b"))
+    clash = a.join(b, "tax").where((shared.bitwiseAND(F.expr("shiftleft(1L, tax)") - 1) == 0) & incompatible(F.col("a"), F.col("b"), n_tax)).select("a", "b")
+    left, right = inner.select(F.col("tree_id").alias("ki"), F.col("split_key").alias("a")), inner.select(F.col("tree_id").alias("kj"), F.col("split_key").alias("b"))
+    n = left.join(clash, "a").join(right, "b").groupBy("ki", "kj").agg(F.count("*").alias("n"))
+    named = trees.join(kinds.withColumnRenamed("tree_id", "kind"), ["t1", "t2"])
+    i, j = named.select(F.col("tree_id").alias("i"), F.col("kind").alias("ki")), named.select(F.col("tree_id").alias("j"), F.col("kind").alias("kj"))
+    return n.join(i, "ki").join(j, "kj").where("i < j").select("i", "j", "n")
 
 
 def mrp(splits: DataFrame, taxa: DataFrame, tree_taxa: DataFrame, n_tax: int) -> DataFrame:
@@ -239,11 +292,13 @@ def newick_of_splits(splits: list[tuple[int, float | None]], taxa: list[str], le
 def consensus(splits: DataFrame, taxa: list[str], least: float = 0.0) -> DataFrame:
     """(newick): majority rule with compatible splits added.
 
-    The fold over splits is sequential: splits below ``least`` are dropped first, then only the table of different
-    splits, not the trees, goes to one task.
+    The fold over splits is sequential, and of the splits of half the trees or more, which there are fewer of than taxa
+    all stay.  Of the others only those compatible with all of these go to the task of the fold.
     """
     n = len(taxa)
     table = split_table(splits).where(F.col("proportion") >= least)
+    half = F.broadcast(table.where(F.col("proportion") > 0.5).where(~is_trivial(F.col("split_key"), n)).select(F.col("split_key").alias("kept")))
+    table = table.join(half, incompatible(F.col("split_key"), F.col("kept"), n), "left_anti")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         kept = consensus_splits(list(zip(group["split_key"].tolist(), group["proportion"].tolist())), n, least)
@@ -261,21 +316,39 @@ def strict_consensus(splits: DataFrame, n_tax: int) -> DataFrame:
 def quartets(splits: DataFrame, n_tax: int) -> DataFrame:
     """(tree_id, a, b, c, d, topology): resolved quartets a < b < c < d; topology 1 is ab|cd, 2 ac|bd, 3 ad|bc.
 
-    Each different split is expanded once, whatever the number of trees; cost is of the fourth power in the taxa.
+    A tree's splits are laid over all quartets at once, those of one first taxon at a time; cost is of the fourth power
+    in the taxa.
+    """
+    inner = splits.where(~is_trivial(F.col("split_key"), n_tax)).select("tree_id", "split_key")
+
+    def expand(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        side = (np.unique(group["split_key"].to_numpy(np.int64))[:, None] >> np.arange(n_tax)) & 1
+        out = []
+        for first in range(n_tax - 3):
+            rest = np.array(list(combinations(range(first + 1, n_tax), 3)), np.int32)
+            topology = np.zeros(len(rest), np.int32)
+            for s in side == 1:
+                a, (b, c, d) = s[first], s[rest].T
+                for k, mate in enumerate((b, c, d), 1):
+                    # The first taxon and its mate on one side, the two others on the other.
+                    alone = (b == a).astype(int) + (c == a) + (d == a) == 1
+                    topology[alone & (mate == a)] = k
+            found = np.flatnonzero(topology)
+            out.append(pd.DataFrame({"a": first, "b": rest[found, 0], "c": rest[found, 1], "d": rest[found, 2], "topology": topology[found]}))
+        found = pd.concat(out)
+        return found.assign(tree_id=key[0])[["tree_id", "a", "b", "c", "d", "topology"]]
+
+    return inner.groupBy("tree_id").applyInPandas(expand, "tree_id long, a int, b int, c int, d int, topology int")
+
+
+def quartet_counts(splits: DataFrame, n_tax: int) -> DataFrame:
+    """(a, b, c, d, topology, n): in how many trees each quartet is resolved so.
+
+    Trees of one topology resolve the same quartets, so one of each is expanded and weighs as many as there are.
     """
-    kinds = splits.select("split_key").distinct().where(~is_trivial(F.col("split_key"), n_tax))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(n_tax - 1)), lambda i: F.getbit(F.col("split_key"), i))
-    side = kinds.withColumn("bits", bits)
-    four = side.withColumns({"ins": F.filter(F.sequence(F.lit(0), F.lit(n_tax - 1)), lambda i: F.get("bits", i) == 1), "outs": F.filter(F.sequence(F.lit(0), F.lit(n_tax - 1)), lambda i: F.get("bits", i) == 0)})
-    pairs = lambda col: F.filter(F.flatten(F.transform(col, lambda x: F.transform(F.col(col), lambda y: F.struct(x.alias("x"), y.alias("y"))))), lambda p: p["x"] < p["y"])
-    inner = four.select("split_key", F.explode(pairs("ins")).alias("p"), "outs").withColumn("o", F.explode(pairs("outs")))
-    x, y, u, v = F.col("p.x"), F.col("p.y"), F.col("o.x"), F.col("o.y")
-    four = F.array_sort(F.array(x, y, u, v))
-    mate = F.when(F.least(x, u) == x, y).otherwise(v)
-    found = inner.select("split_key", four.alias("t"), mate.alias("mate"))
-    found = found.select("split_key", *[F.get("t", i).alias(c) for i, c in enumerate("abcd")], F.array_position("t", F.col("mate")).alias("k"))
-    kinds4 = found.select("split_key", "a", "b", "c", "d", (F.col("k") - 1).cast("int").alias("topology"))
-    return splits.select("tree_id", "split_key").join(kinds4, "split_key").select("tree_id", "a", "b", "c", "d", "topology").distinct()
+    kinds = tree_probabilities(splits, n_tax).select(F.col("first_tree").alias("tree_id"), "n")
+    some = splits.join(kinds.select("tree_id"), "tree_id", "left_semi")
+    return quartets(some, n_tax).join(kinds, "tree_id").groupBy("a", "b", "c", "d", "topology").agg(F.sum("n").alias("n"))
 
 
 def quartet_distances(found: DataFrame) -> DataFrame:
@@ -287,10 +360,10 @@ def quartet_distances(found: DataFrame) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).join(met, ["i", "j"], "left").na.fill(0, ["same", "both"]).select("i", "j", (F.col("ni") + F.col("nj") - F.col("both") - F.col("same")).alias("different"))
 
 
-def leaf_stability(found: DataFrame) -> DataFrame:
-    """(tax, ls_max, ls_diff, ls_ent): means over the leaf's quartets of the greatest frequency of a topology, its lead
-    over the second, and one less their entropy by that of three equal ones."""
-    n = found.groupBy("a", "b", "c", "d", "topology").agg(F.count("*").alias("n")).groupBy("a", "b", "c", "d").agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
+def leaf_stability(counts: DataFrame) -> DataFrame:
+    """(tax, ls_max, ls_diff, ls_ent) of ``quartet_counts``: means over the leaf's quartets of the greatest frequency of a
+    topology, its lead over the second, and one less their entropy by that of three equal ones."""
+    n = counts.groupBy("a", "b", "c", "d").agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
     total = F.aggregate("ns", F.lit(0).cast("long"), lambda s, x: s + x)
     q = n.withColumn("ps", F.transform("ns", lambda x: x / total))
     ent = F.aggregate("ps", F.lit(0.0), lambda s, p: s - p * F.log(p))

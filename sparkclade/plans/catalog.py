@@ -702,7 +702,7 @@ quart AS (SELECT DISTINCT tree_id, a, b, c, d, topology FROM splits JOIN q USING
 
 @query(S + QSQL + "SELECT a, b, c, d, topology, count(*) AS n FROM quart GROUP BY ALL")
 def quartet_counts(spark, d):
-    return sp.quartets(br.splits(spark, d), NTAX).groupBy("a", "b", "c", "d", "topology").agg(F.count("*").alias("n"))
+    return sp.quartet_counts(br.splits(spark, d), NTAX)
 
 
 LS = QSQL + """, qn AS (SELECT a, b, c, d, topology, count(*) AS n FROM quart GROUP BY ALL), pn AS (SELECT a, b, c, d, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY a, b, c, d) AS p, row_number() OVER (PARTITION BY a, b, c, d ORDER BY n DESC) AS k FROM qn),
@@ -712,7 +712,7 @@ ls AS (SELECT tax, avg(mx) AS ls_max, avg(df) AS ls_diff, avg(en) AS ls_ent FROM
 
 @query(S + LS + "SELECT tax, round(ls_max, 6) AS ls_max, round(ls_diff, 6) AS ls_diff, round(ls_ent, 6) AS ls_ent FROM ls")
 def leaf_stability(spark, d):
-    return rounded(sp.leaf_stability(sp.quartets(br.splits(spark, d), NTAX)), "ls_max", "ls_diff", "ls_ent")
+    return rounded(sp.leaf_stability(sp.quartet_counts(br.splits(spark, d), NTAX)), "ls_max", "ls_diff", "ls_ent")
 
 
 # -- samples

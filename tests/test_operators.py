@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,7 +118,9 @@ def test_quartets_by_brute_force(spark):
     for i, j in d:
         a, b = ({w[1:] for w in want if w[0] == x} for x in (i, j))
         assert d[i, j] == sum(1 for w in a if w not in b)
-    ls = {r.tax: r for r in splits.leaf_stability(found).collect()}
+    counts = splits.quartet_counts(s, 7)
+    assert {tuple(r) for r in counts.collect()} == {(*k, n) for k, n in Counter(w[1:] for w in want).items()}
+    ls = {r.tax: r for r in splits.leaf_stability(counts).collect()}
     assert len(ls) == 7 and all(1 / 3 - 1e-9 <= r.ls_max <= 1 + 1e-9 for r in ls.values())
 
 
