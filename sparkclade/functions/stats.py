@@ -84,9 +84,9 @@ def gamma_inverse(p: float, a: float) -> float:
     return (low + high) / 2
 
 
-def tail_area(null: DataFrame, statistic: float, value: str = "value") -> DataFrame:
-    """(p, least, most): share of the null distribution at or above ``statistic``, and its range."""
-    return null.agg(F.avg((F.col(value) >= statistic).cast("int")).alias("p"), F.min(value).alias("least"), F.max(value).alias("most"))
+def tail_area(null: DataFrame, statistic: float, value: str = "value", *by: str) -> DataFrame:
+    """(by..., p, least, most): share of the null distribution at or above ``statistic``, and its range."""
+    return null.groupBy(*by).agg(F.avg((F.col(value) >= statistic).cast("int")).alias("p"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
 def students_t_statistic(values: DataFrame, mean: float = 0.0, value: str = "value") -> DataFrame:

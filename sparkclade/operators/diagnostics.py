@@ -32,7 +32,8 @@ def ess(x: np.ndarray) -> float:
                 break
             var += 2 * (before + now)
         before = now
-    return n * zero / var if var > 0 else float(n)
+    # Without variance there is no effective sample.
+    return n * zero / var if var > 0 else 0.0
 
 
 def effective_sample_size(samples: DataFrame, *by: str) -> DataFrame:

@@ -7,12 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkclade.functions.genetic_code import codon_table
+from sparkclade.functions.genetic_code import IUPAC, codon_table, plain_codons
 
 #: The six amino-acid groups of Dayhoff recoding.
 DAYHOFF = ("c", "stpag", "ndeq", "hrk", "milv", "fyw")
-#: IUPAC nucleotide codes and what they stand for.
-IUPAC = {"a": "a", "c": "c", "g": "g", "t": "t", "r": "ag", "y": "ct", "s": "cg", "w": "at", "k": "gt", "m": "ac", "b": "cgt", "d": "agt", "h": "act", "v": "acg", "n": "acgt"}
 COMPLEMENT = {k: next(c for c, s in IUPAC.items() if set(s) == {"acgt"[3 - "acgt".index(x)] for x in of}) for k, of in IUPAC.items()}
 
 
@@ -240,8 +238,81 @@ def propagate_match_chars(chars: DataFrame, match: str = ".") -> DataFrame:
 
 
 def rename_for_phylip(taxa: DataFrame, base: str = "s") -> DataFrame:
-    """(name, short): a dictionary of short names, by order of name."""
-    return taxa.select("name", F.concat(F.lit(base), (F.row_number().over(Window.orderBy("name")) - 1).cast("string")).alias("short"))
+    """(name, short): a dictionary of short names, by order of name; ranges of names are numbered on their own."""
+    ranged = taxa.select("name").repartitionByRange("name").sortWithinPartitions("name").withColumn("id", F.monotonically_increasing_id())
+    # The partition is in the upper bits of the id, and its rows are numbered in the lower 33.
+    part, row = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    ahead = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return ranged.withColumn("part", part).join(F.broadcast(ahead), "part").select("name", F.concat(F.lit(base), (F.col("ahead") + row).cast("string")).alias("short"))
+
+
+def duplicate_names(sequences: DataFrame) -> DataFrame:
+    """(name, n, first): names that several sequences (tax, name) have."""
+    return sequences.groupBy("name").agg(F.count("*").alias("n"), F.min("tax").alias("first")).where("n > 1")
+
+
+def site_slices(chars: DataFrame, sites: DataFrame) -> DataFrame:
+    """(pos, slice): the characters of all taxa, in order, at each of ``sites`` (pos)."""
+    some = chars.join(sites.select("pos").distinct(), "pos", "left_semi")
+    return some.groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tax", "ch"))), lambda x: x["ch"]), "").alias("slice"))
+
+
+def mrp_slices(matrix: DataFrame) -> DataFrame:
+    """(tree_id, split_key, slice): each column of a matrix representation as taxa with their characters, unknown ones left out."""
+    known = matrix.where("ch <> '?'").groupBy("tree_id", "split_key").agg(F.array_sort(F.collect_list(F.struct("tax", "ch"))).alias("x"))
+    return known.select("tree_id", "split_key", F.array_join(F.transform("x", lambda x: F.concat(x["tax"].cast("string"), F.lit("="), x["ch"])), " ").alias("slice"))
+
+
+#: Characters that sequences of a type may hold.
+VALID = {"dna": "acgtrywsmkbdhvnx?-", "protein": "acdefghiklmnpqrstvwybzxuo*?-"}
+
+
+def change_data_type(chars: DataFrame, to: str, symbols: str = "", equates: str = "") -> DataFrame:
+    """``chars`` as data of another type: dna, protein, or standard with the given symbols and equates.
+
+    A character that the type has not is an error of the job, which names it.
+    """
+    valid = symbols + equates + "?-" if to == "standard" else VALID[to]
+    ok = F.lit(valid).contains(F.col("ch")) & (F.length("ch") == 1)
+    checked = F.when(ok, F.col("ch")).otherwise(F.raise_error(F.concat(F.col("ch"), F.lit(f" is no character of {to} data"))))
+    return chars.withColumn("ch", checked)
+
+
+def pseudo_translate(chars: DataFrame, code: dict[str, str]) -> DataFrame:
+    """(tax, pos, ch): codons by any code; gaps stay gaps, codons that the code has not are an error of the job."""
+    table = chars.sparkSession.createDataFrame([("---", "-"), *code.items()], "codon string, aa string")
+    found = codons(chars).join(F.broadcast(table), "codon", "left")
+    checked = F.coalesce("aa", F.raise_error(F.concat(F.lit("the code has no codon "), F.col("codon"))).cast("string"))
+    return found.select("tax", F.col("codon_pos").alias("pos"), checked.alias("ch"))
+
+
+def code_of_23(table_id: int = 1) -> dict[str, str]:
+    """A code in which leucine, arginine and serine are two states each: a single change at the third position does not
+    lead from one to the other.  The states of the rarer codons are ``1``, ``2`` and ``3``."""
+    code = plain_codons(table_id)
+    out = dict(code)
+    for mark, aa in zip("123", "lrs"):
+        blocks: dict[str, list[str]] = {}
+        for codon, a in code.items():
+            if a == aa:
+                blocks.setdefault(codon[:2], []).append(codon)
+        most = max(blocks, key=lambda b: (len(blocks[b]), b))
+        out.update({c: mark for b, some in blocks.items() if b != most for c in some})
+    return out
+
+
+def recode_motifs(chars: DataFrame, converter: dict[str, str], positions: tuple[int, ...] | None = None) -> DataFrame:
+    """(tax, pos, ch): motifs of consecutive sites replaced by ``converter``, at ``positions`` of them (1 on) only if given.
+
+    Motifs that the converter has not stay; the length of all is that of the first.
+    """
+    size = len(next(iter(converter)))
+    table = chars.sparkSession.createDataFrame(list(converter.items()), "motif string, other string")
+    grouped = chars.groupBy("tax", F.floor(F.col("pos") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "ch"))).alias("x"))
+    found = grouped.withColumn("motif", F.array_join(F.transform("x", lambda x: x["ch"]), "")).join(F.broadcast(table), "motif", "left")
+    each = found.select("tax", "other", F.posexplode("x").alias("k", "x"))
+    hit = F.col("other").isNotNull() & (F.lit(True) if positions is None else (F.col("k") + 1).isin(*positions))
+    return each.select("tax", F.col("x.pos").alias("pos"), F.when(hit, F.substring(F.col("other"), F.col("k") + 1, F.lit(1))).otherwise(F.col("x.ch")).alias("ch"))
 
 
 def empty_alignment(taxa: DataFrame, length: int) -> DataFrame:

@@ -143,6 +143,10 @@ def tree_distances(splits: DataFrame) -> DataFrame:
     )
 
 
+def tree_lengths(splits: DataFrame) -> DataFrame:
+    return splits.groupBy("tree_id").agg(F.sum("br_len").alias("len"))
+
+
 def trees_with_split(splits: DataFrame, key: int) -> DataFrame:
     return splits.where(F.col("split_key") == key).select("tree_id").distinct()
 
@@ -230,8 +234,9 @@ def supertree_distances(splits: DataFrame, tree_masks: DataFrame, supertree: Dat
     return tree_masks.select("tree_id").join(one.groupBy("tree_id").agg(F.count("*").alias("sd")), "tree_id", "left").na.fill(0, ["sd"])
 
 
-def support_spqr(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame) -> DataFrame:
-    """(split_key, s, p, q, r): input trees that support, permit, conflict with or are irrelevant to each supertree split."""
+def judged_support(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame) -> DataFrame:
+    """(tree_id, split_key, kind): whether each input tree supports (s), permits (p), conflicts with (q) or is irrelevant
+    to (r) each supertree split."""
     inner = splits.join(tree_masks, "tree_id")
     pairs = tree_masks.crossJoin(F.broadcast(supertree.select("split_key")))
     cut = F.col("split_key").bitwiseAND(F.col("mask"))
@@ -243,9 +248,59 @@ def support_spqr(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame)
     same = (F.col("b") == F.col("inside")) | (F.col("b") == F.col("outside"))
     clash = (F.col("inside").bitwiseAND(F.col("b")) != 0) & (F.col("inside").bitwiseAND(other) != 0) & (F.col("outside").bitwiseAND(F.col("b")) != 0) & (F.col("outside").bitwiseAND(other) != 0)
     judged = met.groupBy("tree_id", "split_key").agg(F.max(same).alias("same"), F.max(clash).alias("clash"))
-    every = pairs.select("tree_id", "split_key").join(judged, ["tree_id", "split_key"], "left")
-    count = lambda c, n: F.count_if(c).alias(n)
-    return every.groupBy("split_key").agg(count(F.col("same"), "s"), count(~F.col("same") & ~F.col("clash"), "p"), count(~F.col("same") & F.col("clash"), "q"), count(F.col("same").isNull(), "r"))
+    kind = F.when(F.col("same").isNull(), "r").when(F.col("same"), "s").when(F.col("clash"), "q").otherwise("p")
+    return pairs.select("tree_id", "split_key").join(judged, ["tree_id", "split_key"], "left").select("tree_id", "split_key", kind.alias("kind"))
+
+
+def support_spqr(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame) -> DataFrame:
+    """(split_key, s, p, q, r): input trees that support, permit, conflict with or are irrelevant to each supertree split."""
+    return judged_support(splits, tree_masks, supertree).groupBy("split_key").agg(*[F.count_if(F.col("kind") == c).alias(c) for c in "spqr"])
+
+
+def weighted_support(judged: DataFrame) -> DataFrame:
+    """(split_key, ws, wp, wv, wv_plus, wv_minus) of ``judged_support``: a tree's support weighs one over the number of
+    splits that it supports, its permission likewise; conflicts weigh one each."""
+    many = judged.where("kind in ('s', 'p')").groupBy("tree_id", "kind").agg(F.count("*").alias("many"))
+    w = judged.join(many, ["tree_id", "kind"], "left")
+    of = lambda c: F.sum(F.when(F.col("kind") == c, 1 / F.col("many")).otherwise(0.0))
+    t = w.groupBy("split_key").agg(of("s").alias("ws"), of("p").alias("wp"), F.count_if(F.col("kind") == "q").alias("q"))
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    s, p, q = F.col("ws"), F.col("wp"), F.col("q")
+    return t.select("split_key", "ws", "wp", ratio(s - q, s + q).alias("wv"), ratio(s - q + p, s + q + p).alias("wv_plus"), ratio(s - q - p, s + q + p).alias("wv_minus"))
+
+
+def reverse_mrp(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits (tree_id, split_key) and taxa (tree_id, mask) of the trees that a matrix (tree_id, split_key, tax, ch) represents.
+
+    Columns are named by (tree_id, split_key); only their characters are read.
+    """
+    bit = F.expr("shiftleft(1L, cast(tax as int))")
+    columns = matrix.groupBy("tree_id", "split_key").agg(F.sum(F.when(F.col("ch") == "1", bit).otherwise(0)).alias("ones"), F.sum(F.when(F.col("ch") != "?", bit).otherwise(0)).alias("mask"))
+    # All columns of a tree have the same taxa.
+    masks = columns.groupBy("tree_id").agg(F.max("mask").alias("mask"), F.assert_true(F.min("mask") == F.max("mask"), "columns of one tree differ in taxa").alias("ok")).select("tree_id", "mask")
+    return columns.select("tree_id", F.col("ones").alias("split_key")).distinct(), masks
+
+
+def compatible_pairs(splits: DataFrame, n_tax: int) -> DataFrame:
+    """(i, j): trees, i < j, no split of which conflicts."""
+    left, right = blocks_of_pairs(splits.select("tree_id").distinct(), "tree_id")
+    every = left.withColumnRenamed("tree_id", "i").join(right.withColumnRenamed("tree_id", "j"), ["one", "other"]).where("i < j").select("i", "j")
+    return every.join(conflicts(splits, n_tax).select("i", "j"), ["i", "j"], "left_anti")
+
+
+def semi_strict(splits: DataFrame, n_tax: int) -> DataFrame:
+    """(split_key): internal splits of some tree that no tree contradicts."""
+    kinds = splits.where(~is_trivial(F.col("split_key"), n_tax)).select("split_key").distinct()
+    at = kinds.withColumn("tax", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_tax - 1)), lambda i: F.getbit(F.col("split_key"), i) == 1)))
+    a, b = (at.select(F.col("split_key").alias(c), "tax") for c in "ab")
+    clash = a.join(b, "tax").where(incompatible(F.col("a"), F.col("b"), n_tax)).select(F.col("a").alias("split_key")).distinct()
+    return kinds.join(clash, "split_key", "left_anti")
+
+
+def component_usage(used: DataFrame) -> DataFrame:
+    """(split_key, component, n, proportion): which model component the branches of each split have, of (split_key, component)."""
+    n = used.groupBy("split_key", "component").agg(F.count("*").alias("n"))
+    return n.withColumn("proportion", F.col("n") / F.sum("n").over(Window.partitionBy("split_key")))
 
 
 def support_indices(spqr: DataFrame) -> DataFrame:
@@ -372,6 +427,22 @@ def leaf_stability(counts: DataFrame) -> DataFrame:
     return each.groupBy("tax").agg(F.avg("mx").alias("ls_max"), F.avg("df").alias("ls_diff"), F.avg("en").alias("ls_ent"))
 
 
+def group_stability(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``leaf_stability`` within each group of ``groups`` (name, tax), by the quartets that lie in it: (name, tax, ls_...)."""
+    sizes = groups.groupBy("name").agg(F.collect_set("tax").alias("taxa"))
+    four = F.array("a", "b", "c", "d")
+    # Groups are few sets of taxa.
+    inside = counts.crossJoin(F.broadcast(sizes)).where(F.size(F.array_intersect(F.col("taxa"), four)) == 4)
+    names = [r["name"] for r in sizes.select("name").collect()]
+    parts = [leaf_stability(inside.where(F.col("name") == n)).select(F.lit(n).alias("name"), "tax", "ls_max", "ls_diff", "ls_ent") for n in sorted(names)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def support_csv(stability: DataFrame) -> DataFrame:
+    """(value): the table as lines of comma-separated values, to be written as text."""
+    return stability.select(F.to_csv(F.struct(*stability.columns)).alias("value"))
+
+
 def leaf_ranks(stability: DataFrame) -> DataFrame:
     """The table with dense ranks of the three measures, best first."""
     return stability.select("*", *[F.dense_rank().over(Window.orderBy(F.desc(F.round(c, 12)))).alias(f"{c}_rank") for c in ("ls_max", "ls_diff", "ls_ent")])

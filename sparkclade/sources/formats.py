@@ -248,11 +248,16 @@ def parse(text: str, path: str = "") -> Parsed:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): whole files; an alignment's end can change what its beginning means, so one is one row."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, tax_id, name, comment, data_type, seq) of all files at ``path``; sequences in lower case."""
+    return sequences_in(_files(spark, path))
+
+
+def sequences_in(files: DataFrame) -> DataFrame:
+    """(file, block, tax_id, name, comment, data_type, seq) of texts (file, value), read or literal; sequences in lower case."""
 
     def run(frames):
         import pandas as pd
@@ -267,10 +272,14 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
                     rows += [(file, block, k, name, comment, kind, seq.lower()) for k, (_, name, comment, seq) in enumerate(own)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEQUENCE.split(", ")])
 
-    return _files(spark, path).mapInPandas(run, SEQUENCE)
+    return files.select("file", "value").mapInPandas(run, SEQUENCE)
 
 
 def read_trees(spark: SparkSession, path: str, skip: int = 0, most: int | None = None) -> DataFrame:
+    return trees_in(_files(spark, path), skip, most)
+
+
+def trees_in(files: DataFrame, skip: int = 0, most: int | None = None) -> DataFrame:
     """(file, tree_id, name, weight, rooted, newick); of each file the trees after the first ``skip``, ``most`` at most."""
 
     def run(frames):
@@ -280,10 +289,14 @@ def read_trees(spark: SparkSession, path: str, skip: int = 0, most: int | None =
             rows = [(file, k, *t) for file, text in zip(f["file"], f["value"]) for k, t in enumerate(parse(text, file).trees) if k >= skip and (most is None or k < skip + most)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TREE.split(", ")])
 
-    return _files(spark, path).mapInPandas(run, TREE)
+    return files.select("file", "value").mapInPandas(run, TREE)
 
 
 def read_sets(spark: SparkSession, path: str) -> DataFrame:
+    return sets_in(_files(spark, path))
+
+
+def sets_in(files: DataFrame) -> DataFrame:
     """(file, kind, name, items) of NEXUS sets blocks."""
 
     def run(frames):
@@ -292,7 +305,7 @@ def read_sets(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             yield pd.DataFrame([(file, *s) for file, text in zip(f["file"], f["value"]) for s in parse(text, file).sets], columns=["file", "kind", "name", "items"])
 
-    return _files(spark, path).mapInPandas(run, "file string, kind string, name string, items string")
+    return files.select("file", "value").mapInPandas(run, "file string, kind string, name string, items string")
 
 
 def chars_of(sequences: DataFrame) -> DataFrame:
@@ -341,6 +354,10 @@ def splits_of(trees: DataFrame, taxa: list[str]) -> DataFrame:
 
 
 def read_distances(spark: SparkSession, path: str) -> DataFrame:
+    return distances_in(_files(spark, path))
+
+
+def distances_in(files: DataFrame) -> DataFrame:
     """(file, i, j, name_i, name_j, d) of square PHYLIP distance files."""
 
     def run(frames):
@@ -355,12 +372,23 @@ def read_distances(spark: SparkSession, path: str) -> DataFrame:
                 rows += [(file, i, j, table[i][0], table[j][0], float(table[i][1 + j])) for i in range(n) for j in range(n)]
             yield pd.DataFrame(rows, columns=["file", "i", "j", "name_i", "name_j", "d"])
 
-    return _files(spark, path).mapInPandas(run, "file string, i int, j int, name_i string, name_j string, d double")
+    return files.select("file", "value").mapInPandas(run, "file string, i int, j int, name_i string, name_j string, d double")
 
 
 def read_numbers(spark: SparkSession, path: str, column: int = 0, skip: int = 0) -> DataFrame:
     """(value): one column of white-space-separated text, after ``skip`` lines of each file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line")).where(F.col("k") >= skip).where(F.trim("line") != "")
+    return numbers_in(_files(spark, path), column, skip) if skip else numbers_of(spark.read.text(path), column)
+
+
+def numbers_in(files: DataFrame, column: int = 0, skip: int = 0) -> DataFrame:
+    """(value) of texts (file, value)."""
+    lines = files.select(F.posexplode(F.split("value", "\n")).alias("k", "value")).where(F.col("k") >= skip)
+    return numbers_of(lines.select("value"), column)
+
+
+def numbers_of(lines: DataFrame, column: int = 0) -> DataFrame:
+    """(value) of lines (value); blank ones are passed over."""
+    lines = lines.select(F.col("value").alias("line")).where(F.trim("line") != "")
     return lines.select(F.get(F.split(F.trim("line"), r"\s+"), F.lit(column)).cast("double").alias("value"))
 
 
@@ -373,9 +401,13 @@ def jplace_heat(placements: DataFrame) -> DataFrame:
 
 
 def read_jplace(spark: SparkSession, path: str) -> DataFrame:
+    return placements_in(_files(spark, path))
+
+
+def placements_in(files: DataFrame) -> DataFrame:
     """(query, edge, ratio) of jplace files, by their own list of fields."""
     schema = "struct<fields: array<string>, placements: array<struct<p: array<array<double>>, n: array<string>>>>"
-    doc = _files(spark, path).select("file", F.from_json("value", schema).alias("j"))
+    doc = files.select("file", F.from_json("value", schema).alias("j"))
     at = lambda n: F.array_position("j.fields", n).cast("int") - 1
     each = doc.select("file", at("edge_num").alias("e"), at("like_weight_ratio").alias("r"), F.posexplode("j.placements").alias("k", "placement"))
     rows = each.select(F.concat_ws(":", "file", F.col("k").cast("string")).alias("query"), "e", "r", F.explode("placement.p").alias("p"))

@@ -24,7 +24,7 @@ def running_split_counts(splits: DataFrame) -> DataFrame:
 
 
 def hopping_windows(samples: DataFrame, window: int = 200, stride: int = 100) -> DataFrame:
-    """(run, window, n, mean) by sample index: windows of ``window`` samples every ``stride``, also those not full yet."""
+    """(run, window, n, mean) by sample index: windows of ``window`` samples every ``stride``, once they are full."""
     first = F.greatest(F.lit(0), F.ceil((F.col("gen") - window + 1) / stride))
     hops = samples.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("gen") / stride))))
-    return hops.groupBy("run", "window").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return hops.groupBy("run", "window").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).where(F.col("n") == window)
