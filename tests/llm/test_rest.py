@@ -39,6 +39,34 @@ def test_url_filter_by_brute_force(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_literal_tokens():
+    typed = {r"(^|[^a-z0-9])casino([^a-z0-9]|$)": ("casino",), r"://ads[.]([^/?#]*[.])?(com|net|org)([:/?#]|$)": ("ads",), r"/wp-login/help([/?#]|$)": ("wp", "login", "help"), r"[?&]sessionid=[^&#]": ("sessionid",)}
+    for pattern, tokens in typed.items():
+        assert url_filter.literal_tokens(pattern) == tokens
+    # Runs that may go on, be lacking or be one of several are none.
+    for pattern in (r"casino", r"/casin[o0]/", r"/(a|b)/", r"/x*/", r"/(abc)?/", r"\bad\w", r"/ab\d/", r""):
+        assert url_filter.literal_tokens(pattern) == ()
+    assert url_filter.literal_tokens(r"\bad\b") == ("ad",) and url_filter.literal_tokens(r"^x-y/(q)/") == ("x", "y", "q")
+
+
+def test_rules_by_brute_force(spark):
+    """Random patterns on random URLs: the index loses no rule, whether or not it has a token."""
+    import re
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("ab1") for _ in range(rng.randint(1, 3)))
+    part = (lambda: f"/{word()}/", lambda: f"[./]{word()}[^a-z0-9]", lambda: word(), lambda: f"{word()}[a-z]?", lambda: f"(^|/){word()}(/|$)", lambda: rf"\b{word()}\b", lambda: f"({word()}|{word()})-")
+    rules = tuple(url_filter.PatternRule(rng.choice(["block", "allow"]), "".join(rng.choice(part)() for _ in range(rng.randint(1, 2)))) for _ in range(120))
+    urls = ["http://h.io/" + "".join(word() + rng.choice("/-.?a") for _ in range(rng.randint(1, 6))) for _ in range(200)] + ["http://h.io/" + "b" * 200_000 + "/ab/", None] + ["http://h.io/a/"] * 2
+    table = spark.createDataFrame([(r.verdict, r.pattern) for r in rules], "verdict string, pattern string")
+    rules = url_filter.read_rules(table)
+    rows = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), (), rules).collect()
+    assert any(not r.tokens for r in rules) and any(r.tokens for r in rules) and len(rows) == len(urls)
+    for r in rows:
+        fits = [(len(x.pattern), -i) for i, x in enumerate(rules) if re.search(x.pattern, (urls[r.page_id] or "").lower(), re.S)]
+        assert r.pattern == (rules[-max(fits)[1]].pattern if fits else None)
+
+
 def vectors(spark, x, extra=()):
     rows = [(i, [float(v) for v in row], 1) for i, row in enumerate(x)] + list(extra)
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, list int")

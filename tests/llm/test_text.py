@@ -264,6 +264,14 @@ def test_language_by_brute_force(spark):
     assert language.language_id(documents(spark, ["abc"]).limit(0)).count() == 0
 
 
+def test_language_of_held_out_documents(spark):
+    """Accuracy on the documents of sf0.01 that nothing was learnt from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.language_id(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null")
+    right, n = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert n > 100 and right >= 0.98
+
+
 # -- line dedup
 
 
@@ -373,6 +381,39 @@ def plain_spans(text, least):
     return {(i, j, b" ".join(x for w in words[i:j] for x in [*w, b"|"])) for i, j in out}
 
 
+def plain_substrings(rows, least):
+    """Each different span by its words; all sentences of every place of it but the first go."""
+    first, gone = {}, set()
+    for d, t in sorted({(d, t) for d, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        for i, j, words in plain_spans(t, least):
+            first.setdefault(words, []).append((d, t, i, j))
+    for places in first.values():
+        # As the operator has it: by id, null first, then a hash of the text, then place.
+        start = min({p[:3] for p in places}, key=lambda p: (p[0] is not None, p[0] or 0, text_hash(p[1]), p[2]))
+        gone |= {(d, t, k) for d, t, i, j in places if (d, t, i) != start for k in range(i, j)}
+    out = []
+    for d, t in rows:
+        parts = [t[a:b] for a, b in substring_dedup.sentences(t)] if t else []
+        out.append((d, "".join(p for k, p in enumerate(parts) if (d, t, k) not in gone) if t else t))
+    return out
+
+
+def text_hash(text):
+    """Spark's xxhash64 of a string."""
+    return xxhash.xxh64(text.encode(), 42).intdigest() - ((xxhash.xxh64(text.encode(), 42).intdigest() >> 63) << 64)
+
+
+def test_substring_dedup_by_brute_force(spark, odd):
+    """Overlapping spans, ties, repeated rows, null ids, spans within one document."""
+    rng = random.Random(14)
+    pool = [prose(rng, k).capitalize() + "." for k in (3, 8, 9, 12, 14, 20, 26, 55)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(60)] + odd
+    ids = [None if i % 17 == 3 else i // 2 for i in range(len(texts))]
+    rows = substring_dedup.substring_dedup(documents(spark, texts, ids=ids).repartition(5)).collect()
+    given = list(zip(ids, texts))
+    assert sorted((repr(r.doc_id), r.text or "") for r in rows) == sorted((repr(d), t or "") for d, t in plain_substrings(given, 25))
+
+
 def test_spans_by_brute_force():
     rng = random.Random(13)
     for _ in range(50):
