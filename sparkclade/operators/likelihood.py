@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkclade.functions.stats import gamma_inverse, gamma_q
+from sparkclade.functions.stats import gamma_inverse, gamma_q, lower_to_upper_triangle
 from sparkclade.sources.newick import Node, children, parse_newick, write_newick
 
 from .trees import nni
@@ -37,6 +37,25 @@ class Model:
     rescale: bool = True
 
 
+#: The order of amino acids in published rate matrices.
+AMINO_ACIDS = "arndcqeghilkmfpstwyv"
+
+
+def protein_model(text: str, **parameters) -> Model:
+    """A model of a rate file: the lower triangle of 190 exchange rates by rows, then 20 frequencies; text after these is left out."""
+    values = [float(x) for x in text.split()[:210]]
+    if len(values) < 210:
+        raise ValueError(f"190 rates and 20 frequencies are needed, not {len(values)} numbers")
+    composition = np.array(values[190:]) / sum(values[190:])
+    return Model(AMINO_ACIDS, (tuple(composition.tolist()),), (tuple(lower_to_upper_triangle(values[:190], 20)),), **parameters)
+
+
+def equal_rates(symbols: str = AMINO_ACIDS, **parameters) -> Model:
+    """All states alike in frequency and rate."""
+    n = len(symbols)
+    return Model(symbols, ((1.0 / n,) * n,), ((1.0,) * (n * (n - 1) // 2),), **parameters)
+
+
 def two_parameter(kappa: float) -> tuple[float, ...]:
     """Rates of a, c, g, t with transitions ``kappa`` times transversions."""
     return (1.0, kappa, 1.0, 1.0, kappa, 1.0)
@@ -155,31 +174,58 @@ class Likelihood:
         return float(self.weights @ logs) if np.isfinite(logs).all() else -1e99
 
 
+#: Trees and patterns that meet in a task: sums over patterns are taken in parts, so no task holds a whole data set.
+TREES_A_TASK, PATTERNS_A_TASK = 12, 20_000
+
+
+def dealt(trees: DataFrame, patterns: DataFrame, patterns_a_task: int | None = PATTERNS_A_TASK) -> tuple[DataFrame, DataFrame]:
+    """Trees (tree_id, newick) and patterns (part_id, pattern, n) in blocks, each of the ones with each of the others, by
+    (part, block, bucket); without a bound a part's patterns are one block."""
+    size = F.ceil(F.count("*") / patterns_a_task) if patterns_a_task else F.lit(1)
+    # A row a part, and a single row: what is broadcast does not grow with the data.
+    blocks = patterns.groupBy("part_id").agg(size.cast("int").alias("blocks")).select(F.col("part_id").alias("part"), "blocks")
+    buckets = trees.agg((F.floor(F.count("*") / TREES_A_TASK) + 1).cast("int").alias("buckets"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda by, c: F.pmod(F.xxhash64(by), F.col(c)).cast("int")
+    left = trees.select("tree_id", "newick").crossJoin(F.broadcast(buckets)).crossJoin(F.broadcast(blocks))
+    left = left.select("part", each("blocks").alias("block"), mine("tree_id", "buckets").alias("bucket"), "tree_id", "newick")
+    right = patterns.join(F.broadcast(blocks), F.col("part_id") == F.col("part")).crossJoin(F.broadcast(buckets))
+    right = right.select(F.col("part_id"), mine("pattern", "blocks").alias("of"), each("buckets").alias("to"), "pattern", "n")
+    return left, right
+
+
+def met(trees: DataFrame, patterns: DataFrame, f, schema: str, patterns_a_task: int | None = PATTERNS_A_TASK) -> DataFrame:
+    """``f`` (part, trees, patterns) on each block of trees with each block of patterns."""
+    left, right = dealt(trees, patterns, patterns_a_task)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return f(int(b["part_id"].iloc[0]), a, b) if len(a) and len(b) else pd.DataFrame({c: [] for c in names})
+
+    return left.groupBy("part", "block", "bucket").cogroup(right.groupBy("part_id", "of", "to")).applyInPandas(run, schema)
+
+
 def log_likelihoods(trees: DataFrame, patterns: DataFrame, taxa: list[str], models: dict[int, Model]) -> DataFrame:
-    """(tree_id, part_id, log_like) of trees (tree_id, newick) and patterns (part_id, pattern, n): a task a tree and part."""
+    """(tree_id, part_id, log_like) of trees (tree_id, newick) and patterns (part_id, pattern, n)."""
 
-    def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"tree_id": [], "part_id": [], "log_like": []})
-        part = int(right["part_id"].iloc[0])
+    def of(part: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         engine = Likelihood(right["pattern"].tolist(), right["n"].tolist(), taxa, models[part])
         return pd.DataFrame([(t, part, engine.log_like(parse_newick(x))) for t, x in zip(left["tree_id"], left["newick"])], columns=["tree_id", "part_id", "log_like"])
 
-    # A model a part: the parts are those that the closure has models for.
-    asked = trees.select("tree_id", "newick", F.explode(F.array(*map(F.lit, sorted(models)))).alias("part"))
     kind = trees.schema["tree_id"].dataType.simpleString()
-    return asked.groupBy("part").cogroup(patterns.groupBy("part_id")).applyInPandas(of, f"tree_id {kind}, part_id int, log_like double")
+    known = patterns.where(F.col("part_id").isin(*models))
+    return met(trees, known, of, f"tree_id {kind}, part_id int, log_like double").groupBy("tree_id", "part_id").agg(F.sum("log_like").alias("log_like"))
 
 
 def site_log_likelihoods(trees: DataFrame, patterns: DataFrame, taxa: list[str], model: Model) -> DataFrame:
     """(tree_id, pattern, ln) to be joined to sites."""
 
-    def of(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        engine = Likelihood(f["pattern"].tolist(), f["n"].tolist(), taxa, model)
-        return pd.DataFrame({"tree_id": key[0], "pattern": f["pattern"], "ln": engine.pattern_logs(parse_newick(f["newick"].iloc[0]))})
+    def of(_: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        engine = Likelihood(right["pattern"].tolist(), right["n"].tolist(), taxa, model)
+        return pd.concat([pd.DataFrame({"tree_id": t, "pattern": right["pattern"], "ln": engine.pattern_logs(parse_newick(x))}) for t, x in zip(left["tree_id"], left["newick"])])
 
     kind = trees.schema["tree_id"].dataType.simpleString()
-    return patterns.select("pattern", "n").crossJoin(F.broadcast(trees.select("tree_id", "newick"))).groupBy("tree_id").applyInPandas(of, f"tree_id {kind}, pattern string, ln double")
+    return met(trees, patterns.select(F.lit(0).alias("part_id"), "pattern", "n"), of, f"tree_id {kind}, pattern string, ln double")
 
 
 # -- optimisation
@@ -202,23 +248,84 @@ def golden(f, low: float, high: float, tolerance: float = 1e-7) -> float:
     return (low + high) / 2
 
 
+def newton_pass(engine: Likelihood, nodes: list[Node], steps: int = 10) -> None:
+    """Each branch's length in turn, from the root up, to the peak of the likelihood with all others held.
+
+    What lies above a branch and what lies on its other side are known when its turn comes, so the likelihood and its two
+    derivatives are products of three small matrices.
+    """
+    m, below = engine.model, children(nodes)
+    rates, weights = engine.rates, engine.weights
+    rate_scale = m.relative_rate / (1 - m.p_invariant)
+    name = lambda i: nodes[i].name if nodes[i].is_leaf else i
+    process = lambda i: engine.process(m.node_composition.get(name(i), 0), m.node_rates.get(name(i), 0))
+    long = lambda i: 0.1 if nodes[i].length is None else nodes[i].length
+    through = lambda i: np.array([process(i).p(long(i) * rate_scale * r) for r in rates])
+
+    def in_range(x: np.ndarray) -> np.ndarray:
+        top = x.max((0, 1), keepdims=True)
+        return x / np.where(top > 0, top, 1.0)
+
+    # Above: what the leaves above a node say of its state; by category, state and pattern, to a factor a pattern.
+    above: dict[int, np.ndarray] = {}
+    for n in reversed(nodes):
+        if n.is_leaf:
+            above[n.num] = np.repeat(engine.tips[n.name][None], len(rates), 0)
+        else:
+            above[n.num] = in_range(np.prod([through(c) @ above[c] for c in below[n.num]], 0))
+    logs = engine.pattern_logs(nodes)
+    pi = np.asarray(m.compositions[m.node_composition.get(0, 0)])
+    still = m.p_invariant * (pi @ engine.constant) if m.p_invariant else np.zeros(len(weights))
+    rest = {0: np.repeat(np.repeat(pi[None, :, None], len(rates), 0), len(weights), 2)}
+    for n in nodes:
+        here = {c: through(c) @ above[c] for c in below[n.num]}
+        for c in below[n.num]:
+            others = [here[x] for x in below[n.num] if x != c]
+            side = in_range(rest[n.num] * np.prod(others, 0)) if others else rest[n.num]
+            proc = process(c)
+            # The likelihood is a sum of exponentials of the length, a term a category and eigenvalue.
+            terms = np.einsum("ksp,se->kep", side, proc.left) * np.einsum("es,ksp->kep", proc.right, above[c])
+            speed = (proc.values[None, :] * rates[:, None] * rate_scale)[:, :, None]
+
+            def at(t: float, terms: np.ndarray = terms, speed: np.ndarray = speed) -> tuple[np.ndarray, ...]:
+                e = terms * np.exp(speed * t)
+                return e.sum((0, 1)), (e * speed).sum((0, 1)), (e * speed * speed).sum((0, 1))
+
+            t = min(max(long(c), LEN_MIN), LEN_MAX)
+            like = np.maximum(at(t)[0], 1e-300)
+            # Invariant sites add a share that no length changes, on the scale of these terms.
+            share = still * like / np.maximum(np.exp(logs) - still, 1e-300) if m.p_invariant else 0.0
+            value = lambda x: float(weights @ np.log(np.maximum(at(x)[0] + share, 1e-300)))
+            best = value(t)
+            for _ in range(steps):
+                like, first, second = at(t)
+                like = np.maximum(like + share, 1e-300)
+                slope = float(weights @ (first / like))
+                bend = float(weights @ (second / like - (first / like) ** 2))
+                step = -slope / bend if bend < 0 else np.sign(slope) * max(t, 0.01)
+                new = min(max(t + step, LEN_MIN), LEN_MAX)
+                while value(new) < best - 1e-12 and abs(new - t) > 1e-10:
+                    new = (new + t) / 2
+                gain, moved = value(new) - best, abs(new - t)
+                if gain > 0:
+                    t, best = new, best + gain
+                if gain <= 1e-10 or moved < 1e-9:
+                    break
+            nodes[c].length = t
+            if m.p_invariant:
+                logs = engine.pattern_logs(nodes)
+            here[c] = through(c) @ above[c]
+            rest[c] = in_range(np.einsum("ksx,ksp->kxp", through(c), side))
+
+
 def optimise(engine: Likelihood, nodes: list[Node], rounds: int = 20, tolerance: float = 1e-6) -> tuple[list[Node], Model, float]:
-    """Branch lengths, gamma shape and share of invariant sites, one after another in rounds, until nothing is gained."""
+    """Branch lengths by Newton's method, then gamma shape and share of invariant sites, in rounds until nothing is gained."""
     nodes = [replace(n) for n in nodes]
     best = engine.log_like(nodes)
     for _ in range(rounds):
         before = best
-        for n in nodes[1:]:
-            def at(x: float, n: Node = n) -> float:
-                n.length = float(np.exp(x))
-                return engine.log_like(nodes)
-
-            old = n.length
-            x = golden(at, np.log(LEN_MIN), np.log(LEN_MAX), 1e-5)
-            now = at(x)
-            if now < best:
-                n.length = old
-            best = max(best, now)
+        newton_pass(engine, nodes)
+        best = engine.log_like(nodes)
         if engine.model.gamma_shape is not None:
             def shaped(x: float) -> float:
                 engine.rates = discrete_gamma(float(np.exp(x)), engine.model.n_categories)
@@ -241,13 +348,17 @@ def optimise(engine: Likelihood, nodes: list[Node], rounds: int = 20, tolerance:
 def optimised(trees: DataFrame, patterns: DataFrame, taxa: list[str], model: Model) -> DataFrame:
     """(tree_id, newick, log_like): each tree with its best lengths, a task a tree."""
 
-    def of(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        engine = Likelihood(f["pattern"].tolist(), f["n"].tolist(), taxa, model)
-        nodes, _, best = optimise(engine, parse_newick(f["newick"].iloc[0]))
-        return pd.DataFrame([(key[0], write_newick(nodes), best)], columns=["tree_id", "newick", "log_like"])
+    def of(_: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for t, x in zip(left["tree_id"], left["newick"]):
+            engine = Likelihood(right["pattern"].tolist(), right["n"].tolist(), taxa, model)
+            nodes, _, best = optimise(engine, parse_newick(x))
+            rows.append((t, write_newick(nodes), best))
+        return pd.DataFrame(rows, columns=["tree_id", "newick", "log_like"])
 
     kind = trees.schema["tree_id"].dataType.simpleString()
-    return patterns.select("pattern", "n").crossJoin(F.broadcast(trees.select("tree_id", "newick"))).groupBy("tree_id").applyInPandas(of, f"tree_id {kind}, newick string, log_like double")
+    # A peak needs all patterns of an analysis at once.
+    return met(trees, patterns.select(F.lit(0).alias("part_id"), "pattern", "n"), of, f"tree_id {kind}, newick string, log_like double", None)
 
 
 # -- simulation
@@ -385,7 +496,7 @@ class Chain:
         self.tried: dict[tuple[str, bool], int] = {}
 
     def step(self) -> None:
-        moves = ["length"] * 6 + ["topology"] * 2 + ["composition", "rates"] + (["shape"] if self.engine.model.gamma_shape is not None else [])
+        moves = ["length"] * 6 + ["topology"] * 2 + ["composition", "rates"] + (["shape"] if self.engine.model.gamma_shape is not None else []) + (["invariant"] if self.engine.model.p_invariant else [])
         move = moves[self.rng.integers(len(moves))]
         nodes, engine, ln_prior, ln_proposal = [replace(n) for n in self.nodes], self.engine, 0.0, 0.0
         m = engine.model
@@ -402,6 +513,10 @@ class Chain:
             shape, ln_proposal = multiplied(m.gamma_shape, self.tuning.shape, 0.02, 300.0, self.rng)
             ln_prior = -(shape - m.gamma_shape)
             engine = Likelihood(*self.data, replace(m, gamma_shape=shape))
+        elif move == "invariant":
+            # A flat prior and a step that is as likely back: reflected at the ends.
+            p = abs(m.p_invariant + 0.1 * (self.rng.random() - 0.5))
+            engine = Likelihood(*self.data, replace(m, p_invariant=min(max(p, 1e-9), 0.999)))
         else:
             old = np.asarray(m.compositions[0] if move == "composition" else m.rates[0], float)
             old = old / old.sum()
@@ -443,6 +558,7 @@ def mcmc(spark, patterns: list[str], weights: list[float], taxa: list[str], mode
                         cold, m = own[0], own[0].engine.model
                         values = {f"comp_{s}": p for s, p in zip(m.symbols, m.compositions[0])} | {f"rate_{k}": x for k, x in enumerate(m.rates[0])}
                         values |= {"shape": m.gamma_shape} if m.gamma_shape is not None else {}
+                        values |= {"invariant": m.p_invariant} if m.p_invariant else {}
                         text = write_newick(cold.nodes)
                         rows += [(int(r), g, cold.log_like, text, k, float(x)) for k, x in values.items()]
                 yield pd.DataFrame(rows, columns=["run", "gen", "log_like", "newick", "name", "value"])

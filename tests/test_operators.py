@@ -197,3 +197,61 @@ def test_streaming_summary(spark, tmp_path):
     q = samples.running_summary(samples.read_samples(spark, str(tmp_path / "s"))).writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.run, r.n, r.mean) for r in spark.sql("select * from sums").collect()} == {("a", 2, 3.0), ("b", 1, 1.0)}
+
+
+def test_protein_models():
+    """Equal rates have a closed form; a rate file gives back what was written."""
+    from sparkclade.sources.writers import paml
+
+    d, m = 0.37, lk.equal_rates()
+    e = lk.Likelihood(["aa", "ar"], [1, 1], ["A", "B"], m)
+    same = 1 / 20 + 19 / 20 * math.exp(-20 / 19 * d)
+    assert np.allclose(e.pattern_logs(parse_newick(f"(A:{d},B:0.0);")), [math.log(same / 20), math.log((1 - same) / 19 / 20)])
+    rng = np.random.default_rng(1)
+    rates, pi = [round(float(x), 6) for x in rng.gamma(1, 1, 190)], [0.05] * 20
+    read = lk.protein_model("\n".join(paml(rates, pi)) + "\nA comment")
+    q = lk.rate_matrix(read.compositions[0], read.rates[0])
+    assert abs(q[3, 1] / q[7, 2] - rates[3 * 2 // 2 + 1] / rates[7 * 6 // 2 + 2]) < 1e-9
+
+
+def test_newton_lengths():
+    """Against the closed form of two sequences, and against a search along each branch in turn."""
+    m = lk.Model()
+    e = lk.Likelihood(["aa", "ac"], [80, 20], ["A", "B"], m)
+    nodes, _, _ = lk.optimise(e, parse_newick("(A:0.3,B:0.3);"))
+    assert abs(sum(n.length for n in nodes[1:]) + 0.75 * math.log(1 - 0.2 * 4 / 3)) < 1e-4
+    rng = np.random.default_rng(3)
+    seqs = lk.simulate(parse_newick("(A:0.1,B:0.3,(C:0.2,(D:0.1,E:0.4):0.15):0.1);"), lk.Model(gamma_shape=0.7, n_categories=4, p_invariant=0.2), 600, rng)
+    patterns, n = np.unique(["".join(x) for x in zip(*(seqs[t] for t in "ABCDE"))], return_counts=True)
+    for model in (m, lk.Model(gamma_shape=0.7, n_categories=4), lk.Model(gamma_shape=0.7, n_categories=4, p_invariant=0.2)):
+        e = lk.Likelihood(patterns.tolist(), n.tolist(), list("ABCDE"), model)
+        nodes = parse_newick("(A:0.1,B:0.1,(C:0.1,(D:0.1,E:0.1):0.1):0.1);")
+        before = e.log_like(nodes)
+        for _ in range(20):
+            lk.newton_pass(e, nodes)
+        best = e.log_like(nodes)
+        assert best > before
+        for node in nodes[1:]:
+            at = node.length
+            for other in (at * 0.98, at * 1.02, at + 1e-4):
+                node.length = max(other, 1e-8)
+                assert e.log_like(nodes) <= best + 1e-6
+            node.length = at
+
+
+def test_likelihood_in_blocks(spark, monkeypatch):
+    """Sums over blocks of patterns are those of the whole."""
+    rng = np.random.default_rng(4)
+    seqs = lk.simulate(parse_newick("(A:0.1,B:0.3,(C:0.2,D:0.1):0.1);"), lk.Model(), 300, rng)
+    patterns, n = np.unique(["".join(x) for x in zip(*(seqs[t] for t in "ABCD"))], return_counts=True)
+    rows = [(k, p, int(c)) for k in (0, 3) for p, c in zip(patterns.tolist(), n)]
+    trees = spark.createDataFrame([(i, f"(A:0.{i + 1},B:0.3,(C:0.2,D:0.1):0.1);") for i in range(5)], "tree_id long, newick string")
+    models = {0: lk.Model(), 3: lk.Model(rates=(lk.two_parameter(3.0),))}
+    monkeypatch.setattr(lk, "TREES_A_TASK", 2)
+    found = lk.met.__defaults__
+    monkeypatch.setattr(lk.met, "__defaults__", (7,))
+    got = {(r.tree_id, r.part_id): r.log_like for r in lk.log_likelihoods(trees, spark.createDataFrame(rows, "part_id int, pattern string, n long"), list("ABCD"), models).collect()}
+    assert found == (lk.PATTERNS_A_TASK,) and len(got) == 10
+    for (t, part), x in got.items():
+        e = lk.Likelihood(patterns.tolist(), n.tolist(), list("ABCD"), models[part])
+        assert abs(e.log_like(parse_newick(f"(A:0.{t + 1},B:0.3,(C:0.2,D:0.1):0.1);")) - x) < 1e-8
