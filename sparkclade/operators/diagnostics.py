@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .recode import numbered_sites
+
 MAX_LAG = 1000
 
 
@@ -16,34 +18,55 @@ def summarize(samples: DataFrame, *by: str, skip: int = 0) -> DataFrame:
     return kept.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
 
 
-def ess(x: np.ndarray) -> float:
-    """Effective sample size: variance over the sum of autocovariances, pairs of lags added while their sum is positive."""
-    n = len(x)
-    most, d = min(n // 3, MAX_LAG), x - x.mean()
-    if n == 0 or not most:
+def ess_of(gamma: np.ndarray, n: int) -> float:
+    """Effective sample size of ``n`` samples from autocovariances at lags 0 on: pairs of lags are added while their sum is positive."""
+    if not len(gamma):
         return float(n)
-    gamma = lambda k: float(d[: n - k] @ d[k:]) / (n - k)
-    zero = var = gamma(0)
-    before = zero
-    for k in range(1, most):
-        now = gamma(k)
-        if k % 2 == 0:
-            if before + now <= 0:
-                break
-            var += 2 * (before + now)
-        before = now
+    zero = var = gamma[0]
+    for k in range(2, len(gamma), 2):
+        if gamma[k - 1] + gamma[k] <= 0:
+            break
+        var += 2 * (gamma[k - 1] + gamma[k])
     # Without variance there is no effective sample.
-    return n * zero / var if var > 0 else 0.0
+    return float(n * zero / var) if var > 0 else 0.0
+
+
+def ess(x: np.ndarray) -> float:
+    n, d = len(x), x - x.mean()
+    return ess_of(np.array([d[: n - k] @ d[k:] / (n - k) for k in range(min(n // 3, MAX_LAG))]), n)
+
+
+#: Samples of a block; each has those of the next block that its lags reach.
+SAMPLES_A_BLOCK = 50_000
 
 
 def effective_sample_size(samples: DataFrame, *by: str) -> DataFrame:
-    """(by..., ess), a task a group, of one column; lags are at most 1,000."""
+    """(by..., ess); lags are at most 1,000.
 
-    def of(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, ess(g.sort_values("gen")["value"].to_numpy(float)))], columns=[*by, "ess"])
+    Python sees a block of samples at a time: sums of lagged products add up over blocks.
+    """
+    w = Window.partitionBy(*by)
+    x = samples.select(*by, "gen", "value").withColumns({"k": F.row_number().over(w.orderBy("gen")) - 1, "n": F.count("*").over(w), "d": F.col("value") - F.avg("value").over(w)})
+    own = F.floor(F.col("k") / SAMPLES_A_BLOCK)
+    reach = (F.col("k") % SAMPLES_A_BLOCK < MAX_LAG) & (own > 0)
+    dealt_ = x.withColumn("block", F.explode(F.when(reach, F.array(own - 1, own)).otherwise(F.array(own)))).select(*by, "block", "k", "n", "d")
+
+    def products(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g, n = g.sort_values("k"), int(g["n"].iloc[0])
+        d, most = g["d"].to_numpy(float), min(n // 3, MAX_LAG)
+        size = min(len(d), SAMPLES_A_BLOCK)
+        found = [float(d[: min(size, len(d) - lag)] @ d[lag : lag + min(size, len(d) - lag)]) if lag < len(d) else 0.0 for lag in range(most)]
+        return pd.DataFrame({**{c: [v] * max(most, 1) for c, v in zip(by, key)}, "n": n, "lag": range(max(most, 1)), "s": found or [0.0]})
 
     kinds = "".join(f"{c} {samples.schema[c].dataType.simpleString()}, " for c in by)
-    return samples.select(*by, "gen", "value").groupBy(*by).applyInPandas(of, f"{kinds}ess double")
+    lags = dealt_.groupBy(*by, "block").applyInPandas(products, f"{kinds}n long, lag int, s double").groupBy(*by, "n", "lag").agg(F.sum("s").alias("s"))
+
+    def fold(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g, n = g.sort_values("lag"), int(g["n"].iloc[0])
+        gamma = g["s"].to_numpy(float) / (n - g["lag"].to_numpy())
+        return pd.DataFrame([(*key, ess_of(gamma[: min(n // 3, MAX_LAG)], n))], columns=[*by, "ess"])
+
+    return lags.groupBy(*by).applyInPandas(fold, f"{kinds}ess double")
 
 
 def autocovariances(samples: DataFrame, most: int, *by: str) -> DataFrame:
@@ -143,9 +166,10 @@ def rell(site_log_likes: DataFrame, replicates: int = 1000, seed: int = 1) -> Da
     """
     spark = site_log_likes.sparkSession
     trees = site_log_likes.groupBy("tree_id").agg(F.sum("ln").alias("log_like"))
-    sites = site_log_likes.select("pos").distinct().withColumn("k", F.row_number().over(Window.orderBy("pos")) - 1)
+    sites = numbered_sites(site_log_likes).withColumnRenamed("new_pos", "k")
     n = sites.count()
-    draws = spark.range(replicates).withColumnRenamed("id", "rep").crossJoin(sites.select("k")).select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "k"), F.lit(n)).cast("int").alias("k"))
+    # The replicates are a parameter, and so is their number.
+    draws = sites.select("k").crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "rep"))).select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "k"), F.lit(n)).cast("int").alias("k"))
     weights = draws.groupBy("rep", "k").agg(F.count("*").alias("w")).join(sites, "k")
     boot = weights.join(site_log_likes, "pos").groupBy("rep", "tree_id").agg(F.sum(F.col("w") * F.col("ln")).alias("x"))
     centred = boot.withColumn("c", F.col("x") - F.avg("x").over(Window.partitionBy("tree_id")))

@@ -14,15 +14,18 @@ DAYHOFF = ("c", "stpag", "ndeq", "hrk", "milv", "fyw")
 COMPLEMENT = {k: next(c for c, s in IUPAC.items() if set(s) == {"acgt"[3 - "acgt".index(x)] for x in of}) for k, of in IUPAC.items()}
 
 
-def renumbered(chars: DataFrame) -> DataFrame:
-    """Sites numbered 0 on in order, without gaps in the numbers; the site table, one row a site, is what is sorted."""
+def numbered_sites(chars: DataFrame) -> DataFrame:
+    """(pos, new_pos): sites numbered 0 on in order; ranges of sites are ranked on their own and offset by the sites before them."""
     sites = chars.select("pos").distinct()
-    # Ranges of sites are ranked on their own and offset by the sites before them.
     bucket = F.floor(F.col("pos") / 1024)
     n = sites.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = sites.withColumn("bucket", bucket).withColumn("own", F.row_number().over(Window.partitionBy("bucket").orderBy("pos"))).join(n, "bucket")
-    new = rank.select("pos", (F.col("ahead") + F.col("own") - 1).alias("new_pos"))
-    return chars.join(new, "pos").select("tax", F.col("new_pos").alias("pos"), "ch")
+    return rank.select("pos", (F.col("ahead") + F.col("own") - 1).alias("new_pos"))
+
+
+def renumbered(chars: DataFrame) -> DataFrame:
+    """Sites numbered 0 on in order, without gaps in the numbers; the site table, one row a site, is what is sorted."""
+    return chars.join(numbered_sites(chars), "pos").select("tax", F.col("new_pos").alias("pos"), "ch")
 
 
 def subset_by_mask(chars: DataFrame, mask: DataFrame, inverse: bool = False) -> DataFrame:

@@ -255,3 +255,16 @@ def test_likelihood_in_blocks(spark, monkeypatch):
     for (t, part), x in got.items():
         e = lk.Likelihood(patterns.tolist(), n.tolist(), list("ABCD"), models[part])
         assert abs(e.log_like(parse_newick(f"(A:0.{t + 1},B:0.3,(C:0.2,D:0.1):0.1);")) - x) < 1e-8
+
+
+def test_ess_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(diagnostics, "SAMPLES_A_BLOCK", 500)
+    monkeypatch.setattr(diagnostics, "MAX_LAG", 300)
+    rng, rows = np.random.default_rng(5), []
+    for run, n in (("a", 1700), ("b", 40), ("c", 2), ("d", 900)):
+        x = np.cumsum(rng.standard_normal(n)) * (run != "d")
+        rows += [(run, i * 10, float(v)) for i, v in enumerate(x)]
+    got = {r.run: r.ess for r in diagnostics.effective_sample_size(spark.createDataFrame(rows, "run string, gen long, value double"), "run").collect()}
+    for run in "abcd":
+        assert abs(got[run] - diagnostics.ess(np.array([v for r, _, v in rows if r == run]))) < 1e-6
+    assert got["d"] == 0.0
