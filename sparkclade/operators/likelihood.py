@@ -532,20 +532,59 @@ class Chain:
             self.nodes, self.engine, self.log_like = nodes, engine, now
 
 
-def mcmc(spark, patterns: list[str], weights: list[float], taxa: list[str], model: Model, newick: str, runs: int = 2, chains: int = 4, generations: int = 1000, interval: int = 10, heat: float = 0.2, seed: int = 1) -> DataFrame:
+def last_samples(samples: DataFrame) -> dict[int, tuple[int, str, dict[str, float]]]:
+    """By run: the last generation, its tree and its parameters; a row a run and parameter."""
+    top = samples.groupBy("run").agg(F.max("gen").alias("gen"))
+    out: dict[int, tuple[int, str, dict[str, float]]] = {}
+    for r in samples.join(top, ["run", "gen"]).select("run", "gen", "newick", "name", "value").collect():
+        out.setdefault(r.run, (r.gen, r.newick, {}))[2][r.name] = r.value
+    return out
+
+
+def with_values(model: Model, values: dict[str, float]) -> Model:
+    """The model with parameters by the names that samples give them."""
+    if not values:
+        return model
+    pi = np.array([values[f"comp_{s}"] for s in model.symbols])
+    rates = tuple(values[f"rate_{k}"] for k in range(len(model.rates[0])))
+    return replace(
+        model, compositions=(tuple((pi / pi.sum()).tolist()), *model.compositions[1:]), rates=(rates, *model.rates[1:]),
+        gamma_shape=values.get("shape", model.gamma_shape), p_invariant=values.get("invariant", model.p_invariant),
+    )
+
+
+def posterior_predictive(samples: DataFrame, model: Model, n_sites: int, seed: int = 1) -> DataFrame:
+    """(run, gen, x_squared): the composition statistic of data simulated under each sample of ``mcmc``, a task some samples."""
+
+    def of(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        run, gen = key
+        own = with_values(model, dict(zip(f["name"], f["value"])))
+        seqs = simulate(parse_newick(f["newick"].iloc[0]), own, n_sites, np.random.default_rng([seed, int(run), int(gen)]))
+        n = np.array([[s.count(c) for c in own.symbols] for s in seqs.values()], float)
+        e = n.mean(0)
+        return pd.DataFrame({"run": [run], "gen": [gen], "x_squared": [float((((n - e) ** 2)[:, e > 0] / e[e > 0]).sum())]})
+
+    return samples.groupBy("run", "gen").applyInPandas(of, "run long, gen long, x_squared double")
+
+
+def mcmc(spark, patterns: list[str], weights: list[float], taxa: list[str], model: Model, newick: str, runs: int = 2, chains: int = 4, generations: int = 1000, interval: int = 10, heat: float = 0.2, seed: int = 1, resume: DataFrame | None = None) -> DataFrame:
     """(run, gen, log_like, newick, name, value): samples of the cold chain, one row a parameter; a task a run.
 
-    Heated chains and their exchanges live in the task.  A run's random numbers depend on seed and run only, so a lost
-    executor repeats it exactly.
+    Heated chains and their exchanges live in the task.  A run's random numbers depend on seed, run and first generation
+    only, so a lost executor repeats it exactly.  ``resume``: samples of earlier generations; every run goes on from its
+    last one, all its chains from there.
     """
+    last = last_samples(resume) if resume is not None else {}
 
     def run(frames):
         for f in frames:
             for r in f["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                own = [Chain(patterns, weights, taxa, model, parse_newick(newick), rng, heat * k) for k in range(chains)]
+                first, text, values = last.get(int(r), (0, newick, {}))
+                rng = np.random.default_rng([seed, int(r), first] if first else [seed, int(r)])
+                start = with_values(model, values)
+                own = [Chain(patterns, weights, taxa, start, parse_newick(text), rng, heat * k) for k in range(chains)]
                 rows = []
-                for g in range(1, generations + 1):
+                for g in range(first + 1, first + generations + 1):
                     for c in own:
                         c.step()
                     if chains > 1:

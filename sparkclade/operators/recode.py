@@ -249,6 +249,13 @@ def rename_for_phylip(taxa: DataFrame, base: str = "s") -> DataFrame:
     return ranged.withColumn("part", part).join(F.broadcast(ahead), "part").select("name", F.concat(F.lit(base), (F.col("ahead") + row).cast("string")).alias("short"))
 
 
+def alignment_of(sequences: DataFrame) -> DataFrame:
+    """(tax, pos, ch) of (tax, seq); sequences of different lengths are an error of the job."""
+    n = sequences.agg(F.max(F.length("seq")).alias("width"))
+    same = F.when(F.length("seq") == F.col("width"), F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("sequence "), F.col("tax").cast("string"), F.lit(" is of another length"))))
+    return sequences.crossJoin(F.broadcast(n)).select("tax", F.posexplode(F.split(same, "")).alias("pos", "ch")).where("ch <> ''").select("tax", F.col("pos").cast("long").alias("pos"), "ch")
+
+
 def duplicate_names(sequences: DataFrame) -> DataFrame:
     """(name, n, first): names that several sequences (tax, name) have."""
     return sequences.groupBy("name").agg(F.count("*").alias("n"), F.min("tax").alias("first")).where("n > 1")

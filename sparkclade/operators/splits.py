@@ -74,6 +74,27 @@ def compare_tables(a: DataFrame, b: DataFrame, n_tax: int, least: float = 0.1, b
     return t.where(reach)
 
 
+def compare_runs(splits: DataFrame, n_tax: int, least: float = 0.1) -> DataFrame:
+    """(run_a, run_b, asdoss, max_difference, mean_difference) of each two runs of (run, tree_id, split_key): over internal
+    splits that either run has in ``least`` of its trees."""
+    total = splits.groupBy("run").agg(F.count_distinct("tree_id").alias("trees"))
+    p = splits.where(~is_trivial(F.col("split_key"), n_tax)).groupBy("run", "split_key").agg(F.count("*").alias("n")).join(F.broadcast(total), "run").select("run", "split_key", (F.col("n") / F.col("trees")).alias("p"))
+    # Runs are few: each split is told for all of them, 0 where it is absent.
+    runs = F.broadcast(total.select("run"))
+    every = p.select("split_key").distinct().crossJoin(runs).join(p, ["run", "split_key"], "left").na.fill(0.0, ["p"])
+    a, b = every.select(F.col("run").alias("run_a"), "split_key", F.col("p").alias("p1")), every.select(F.col("run").alias("run_b"), "split_key", F.col("p").alias("p2"))
+    met = a.join(b, "split_key").where((F.col("run_a") < F.col("run_b")) & (F.greatest("p1", "p2") >= least))
+    d = F.abs(F.col("p1") - F.col("p2"))
+    return met.groupBy("run_a", "run_b").agg(F.avg(d / F.sqrt(F.lit(2.0))).alias("asdoss"), F.max(d).alias("max_difference"), F.avg(d).alias("mean_difference"))
+
+
+def same_trees(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(tree_id, same): whether the trees of one number have the same splits, of the same lengths."""
+    met = a.select("tree_id", "split_key", F.col("br_len").alias("x"), F.lit(1).alias("ina")).join(b.select("tree_id", "split_key", F.col("br_len").alias("y"), F.lit(1).alias("inb")), ["tree_id", "split_key"], "full")
+    ok = F.col("ina").isNotNull() & F.col("inb").isNotNull() & ((F.abs(F.col("x") - F.col("y")) <= tolerance) | (F.col("x").isNull() & F.col("y").isNull()))
+    return met.groupBy("tree_id").agg(F.min(F.coalesce(ok, F.lit(False))).alias("same"))
+
+
 def asdoss(pairs: DataFrame) -> DataFrame:
     """(asdoss, max_difference, mean_difference) of compared splits: the sample deviation of two is their difference by root 2."""
     d = F.abs(F.col("p1") - F.col("p2"))
@@ -448,8 +469,9 @@ def leaf_ranks(stability: DataFrame) -> DataFrame:
     return stability.select("*", *[F.dense_rank().over(Window.orderBy(F.desc(F.round(c, 12)))).alias(f"{c}_rank") for c in ("ls_max", "ls_diff", "ls_ent")])
 
 
-def spa_log_like(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame, q: float) -> DataFrame:
-    """(tree_id, log_like): probability q, shared, for the splits of the cut supertree, 1 - q, shared, for all others that there could be."""
+def spa_counts(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame) -> DataFrame:
+    """(tree_id, hits, misses, st, every): of each input tree the splits that the supertree cut to its taxa has and has not,
+    how many that has, and how many there could be."""
     low = F.col("mask").bitwiseAND(-F.col("mask"))
     cut = lambda k: F.when((k.bitwiseAND(F.col("mask"))).bitwiseAND(low) != 0, k.bitwiseAND(F.col("mask")).bitwiseXOR(F.col("mask"))).otherwise(k.bitwiseAND(F.col("mask")))
     some = (F.bit_count("key") > 1) & (F.bit_count("key") < F.bit_count("mask") - 1)
@@ -458,10 +480,24 @@ def spa_log_like(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame,
     hit = own.join(pruned.withColumn("hit", F.lit(1)), ["tree_id", "key"], "left").groupBy("tree_id").agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
     have = pruned.groupBy("tree_id").agg(F.count("*").alias("st"))
     n = F.bit_count("mask")
-    s = F.pow(F.lit(2.0), n - 1) - (n + 1)
-    st = F.coalesce("st", F.lit(0))
-    miss = F.when(st == 0, 1 / s).otherwise((1 - q) / (s - st))
-    return tree_masks.join(hit, "tree_id", "left").join(have, "tree_id", "left").select("tree_id", (F.coalesce("hits", F.lit(0)) * F.log(F.lit(q) / F.greatest(st, F.lit(1))) + F.coalesce("misses", F.lit(0)) * F.log(miss)).alias("log_like"))
+    every = tree_masks.join(hit, "tree_id", "left").join(have, "tree_id", "left").na.fill(0, ["hits", "misses", "st"])
+    return every.select("tree_id", "hits", "misses", "st", (F.pow(F.lit(2.0), n - 1) - (n + 1)).alias("every"))
+
+
+def spa_log_like(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame, q: float) -> DataFrame:
+    """(tree_id, log_like): probability q, shared, for the splits of the cut supertree, 1 - q, shared, for all others that there could be."""
+    c = spa_counts(splits, tree_masks, supertree)
+    miss = F.when(F.col("st") == 0, 1 / F.col("every")).otherwise((1 - q) / (F.col("every") - F.col("st")))
+    return c.select("tree_id", (F.col("hits") * F.log(F.lit(q) / F.greatest("st", F.lit(1))) + F.col("misses") * F.log(miss)).alias("log_like"))
+
+
+def spa_best(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame) -> DataFrame:
+    """(q, log_like): the q of the greatest likelihood over all input trees, which is the share of hits, and that likelihood."""
+    c = spa_counts(splits, tree_masks, supertree).where("st > 0")
+    t = c.agg(F.sum("hits").alias("h"), F.sum("misses").alias("m"), F.sum(F.col("hits") * F.log("st") + F.col("misses") * F.log(F.col("every") - F.col("st"))).alias("shared"))
+    q = F.col("h") / (F.col("h") + F.col("m"))
+    term = lambda n, p: F.when(n > 0, n * F.log(p)).otherwise(0.0)
+    return t.select(q.alias("q"), (term(F.col("h"), q) + term(F.col("m"), 1 - q) - F.col("shared")).alias("log_like"))
 
 
 def rf_log_like(distances: DataFrame, beta: float) -> DataFrame:

@@ -101,6 +101,16 @@ def map_trees(trees: DataFrame, f: Callable[[list[Node], random.Random], list[No
     return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {kind}, newick string")
 
 
+def input_trees(trees: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """Trees as a supertree's input: each without a random ``share`` of its leaves, three at least staying."""
+
+    def cut(nodes: list[Node], rng: random.Random) -> list[Node]:
+        names = sorted(n.name for n in nodes if n.is_leaf)
+        return remove_leaves(nodes, set(rng.sample(names, min(int(share * len(names)), max(0, len(names) - 3)))))
+
+    return map_trees(trees, cut, seed)
+
+
 def find(nodes: list[Node], name: str) -> int:
     return next(n.num for n in nodes if n.name == name)
 

@@ -301,3 +301,41 @@ def node_table(spark, d):
 @query(S + CLADES + "SELECT c.tree_id, c.num, count(*) AS nodes FROM cl c JOIN cl b ON b.tree_id = c.tree_id AND b.k & c.k = b.k GROUP BY 1, 2 UNION ALL SELECT DISTINCT tree_id, 1, 1 FROM cl UNION ALL SELECT tree_id, 0, count(*) + 2 FROM cl GROUP BY tree_id")
 def subtree_sizes(spark, d):
     return tr.descendants(_nodes(spark, d)).groupBy("tree_id", "num").agg(F.count("*").alias("nodes"))
+
+
+@query(S + f""", r AS (SELECT tree_id % 3 AS run, * FROM splits), t AS (SELECT run, count(DISTINCT tree_id) AS trees FROM r GROUP BY run), p AS (SELECT run, split_key, count(*) * 1.0::DOUBLE / any_value(trees) AS p FROM r JOIN t USING (run) WHERE NOT {TRIV} GROUP BY run, split_key),
+m AS (SELECT a.run AS run_a, b.run AS run_b, k.split_key, coalesce(pa.p, 0) AS p1, coalesce(pb.p, 0) AS p2 FROM t a JOIN t b ON a.run < b.run CROSS JOIN (SELECT DISTINCT split_key FROM p) k LEFT JOIN p pa ON pa.run = a.run AND pa.split_key = k.split_key LEFT JOIN p pb ON pb.run = b.run AND pb.split_key = k.split_key)
+SELECT run_a, run_b, round(avg(abs(p1 - p2) / sqrt(2)), 6) AS asdoss, round(max(abs(p1 - p2)), 6) AS max_difference, round(avg(abs(p1 - p2)), 6) AS mean_difference FROM m WHERE greatest(p1, p2) >= 0.1 GROUP BY ALL""")
+def compare_runs(spark, d):
+    """Three runs, each with each."""
+    s = br.splits(spark, d).withColumn("run", F.col("tree_id") % 3)
+    return rounded(sp.compare_runs(s, NTAX), "asdoss", "max_difference", "mean_difference")
+
+
+@query("SELECT s_suppkey AS tree_id, s_suppkey % 4 <> 1 AS same FROM supplier")
+def same_trees(spark, d):
+    """Every fourth tree has one length changed or one split less."""
+    s = br.splits(spark, d)
+    spoilt = s.where((F.col("tree_id") % 8 != 1) | (F.col("split_key") != 12)).withColumn("br_len", F.when((F.col("tree_id") % 4 == 1) & (F.col("split_key") == 4), F.col("br_len") + 0.5).otherwise(F.col("br_len")))
+    return sp.same_trees(s, spoilt)
+
+
+@query(S + SUPER + """, st AS (SELECT tree_id, count(*) AS st FROM pruned GROUP BY tree_id), h AS (SELECT mine.tree_id, count(p.key) AS hits, count(*) - count(p.key) AS misses FROM mine LEFT JOIN pruned p ON p.tree_id = mine.tree_id AND p.key = mine.key GROUP BY 1),
+v AS (SELECT coalesce(hits, 0) AS hits, coalesce(misses, 0) AS misses, st, pow(2.0, bit_count(mask) - 1) - (bit_count(mask) + 1) AS s FROM masks m JOIN st ON st.tree_id = m.tree_id LEFT JOIN h ON h.tree_id = m.tree_id),
+q AS (SELECT sum(hits) * 1.0::DOUBLE / sum(hits + misses) AS q FROM v)
+SELECT round(any_value(q), 6) AS q, round(sum(hits * ln(q / st) + misses * ln((1 - q) / (s - st))), 4) AS log_like FROM v, q""")
+def spa_best(spark, d):
+    return sp.spa_best(br.splits(spark, d), _masks(spark, d), _supertree(spark, d)).select(F.round("q", 6).alias("q"), F.round("log_like", 4).alias("log_like"))
+
+
+@query("SELECT s_suppkey AS tree_id, 15::BIGINT AS leaves FROM supplier")
+def supertree_input_trees(spark, d):
+    """How many leaves stay of 25 when two fifths go at random."""
+    from sparkclade.sources.formats import nodes_of
+
+    return nodes_of(tr.input_trees(br.trees(spark, d), 0.4)).where("is_leaf").groupBy("tree_id").agg(F.count("*").alias("leaves"))
+
+
+@query(P + ", s AS (SELECT dense_rank() OVER (ORDER BY pos) - 1 AS pos, tax, ch FROM plain) SELECT tax, pos, ch FROM s")
+def alignment_of_sequences(spark, d):
+    return recode.alignment_of(sites.sequences(br.plain(spark, d)))

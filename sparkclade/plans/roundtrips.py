@@ -52,6 +52,14 @@ def nexus_round_trip(spark, d):
     return _back(as_file(writers.nexus(_named(spark, d)), "a.nex"))
 
 
+@query(NAMED + "SELECT name, seq FROM named UNION ALL SELECT name, translate(seq, 'agct', 'rryy') FROM named")
+def nexus_parts_round_trip(spark, d):
+    """Two parts in one file: the alignment, and it recoded."""
+    a = _named(spark, d)
+    both = a.withColumn("part", F.lit("one")).unionByName(a.withColumn("seq", F.translate("seq", "agct", "rryy")).withColumn("part", F.lit("two")))
+    return formats.sequences_in(as_file(writers.nexus_parts(both, {"one": "dna", "two": "dna"}), "p.nex")).select("name", "seq")
+
+
 @query(READ_BACK)
 def clustal_read(spark, d):
     rows = _named(spark, d).select("tax_id", "name", F.posexplode(F.split(writers.wrapped(F.col("seq")), "\n")).alias("block", "chunk"))

@@ -43,6 +43,18 @@ def nexus(sequences: DataFrame, data_type: str = "dna", symbols: str | None = No
     return head.unionByName(rows).unionByName(end)
 
 
+def nexus_parts(sequences: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(k, value) of (part, tax_id, name, seq): one file of a characters block for each part of ``types``, in its order."""
+    out = None
+    for place, (part, kind) in enumerate(types.items()):
+        lines = nexus(sequences.where(F.col("part") == part), kind, data_block=False)
+        lines = lines if place == 0 else lines.withColumn("value", F.regexp_replace("value", "^#NEXUS\n", ""))
+        # Blocks follow each other; within one, lines keep their order.
+        lines = lines.select((F.lit(place * (1 << 40)) + F.least(F.col("k"), F.lit((1 << 39)))).alias("k"), "value")
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
 def molphy(sequences: DataFrame) -> DataFrame:
     head = sequences.agg(F.lit(-1).cast("long").alias("k"), F.concat_ws(" ", F.count("*").cast("string"), F.max(F.length("seq")).cast("string")).alias("value"))
     return head.unionByName(sequences.select(F.col("tax_id").cast("long").alias("k"), F.concat("name", F.lit("\n"), wrapped(F.col("seq"))).alias("value")))

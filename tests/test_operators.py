@@ -268,3 +268,22 @@ def test_ess_in_blocks(spark, monkeypatch):
     for run in "abcd":
         assert abs(got[run] - diagnostics.ess(np.array([v for r, _, v in rows if r == run]))) < 1e-6
     assert got["d"] == 0.0
+
+
+def test_mcmc_goes_on_from_its_last_samples(spark):
+    rng = np.random.default_rng(6)
+    model = lk.Model(gamma_shape=0.5, n_categories=2, p_invariant=0.1)
+    newick = "(A:0.1,B:0.3,(C:0.2,D:0.1):0.1);"
+    seqs = lk.simulate(parse_newick(newick), model, 120, rng)
+    patterns, n = np.unique(["".join(x) for x in zip(*(seqs[t] for t in "ABCD"))], return_counts=True)
+    run = lambda **more: lk.mcmc(spark, patterns.tolist(), n.tolist(), list("ABCD"), model, newick, runs=2, chains=2, generations=30, interval=10, **more)
+    first = run().cache()
+    second = run(resume=first)
+    rows = second.collect()
+    assert {r.gen for r in rows} == {40, 50, 60} and {r.name for r in rows} >= {"shape", "invariant", "comp_a"}
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, run(resume=first).collect()))
+    last = {(r.run, r.name): r.value for r in first.where("gen = 30").collect()}
+    assert lk.last_samples(first)[0][0] == 30 and lk.last_samples(first)[1][2]["shape"] == last[1, "shape"]
+    found = lk.posterior_predictive(first, model, 200)
+    assert found.count() == 6 and found.where("x_squared < 0").count() == 0
+    first.unpersist()
