@@ -24,7 +24,7 @@ MIN_SEEN = 100
 #: Tokens that the lower order weighs as prior: of a word its share among all, of a pair the word's probability.
 WORD_PRIOR, PAIR_PRIOR = 1e6, 1e3
 #: Bytes of text in a chunk; n-grams that a range adds up, repeats in other chunks included, 8 to 40 bytes each.
-CHUNK_BYTES, GRAMS_A_RANGE = 8_000_000, 4_000_000
+CHUNK_BYTES, GRAMS_A_RANGE = 6_000_000, 1_000_000
 #: Codes of the end of a text, which is also the context of its first word, and of the sum over all words.
 END, EVERY = 13, 5
 MIX = 0x9E3779B97F4A7C15
@@ -160,11 +160,16 @@ def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", tex
         return pa.Table.from_arrays([pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64()), pa.array([r for r, _, _ in some], pa.int64()), *blocks], names)
 
     def add(table: pa.Table) -> pa.Table:
-        held = {c: [unplaned(x.as_py()) for x in table.column(c)] for c in ("keys", "n", "t")}
-        _, which = np.unique(np.concatenate(held.pop("keys")), return_inverse=True)
-        ends = np.cumsum([0, *map(len, held["n"])])
-        sums = [np.bincount(which, np.concatenate(held.pop(c)).astype(np.float64)).astype(np.uint64)[which] for c in ("n", "t")]
-        blocks = [pa.array([planes(x[a:z]) for a, z in zip(ends, ends[1:])], pa.binary()) for x in sums]
+        # One column at a time is spelt out.
+        column = lambda c: [unplaned(x.as_py()) for x in table.column(c)]
+        keys = column("keys")
+        ends = np.cumsum([0, *map(len, keys)])
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        blocks = []
+        for c in ("n", "t"):
+            sums = np.bincount(which, np.concatenate(column(c)).astype(np.float64)).astype(np.uint64)[which]
+            blocks.append(pa.array([planes(sums[a:z]) for a, z in zip(ends, ends[1:])], pa.binary()))
         return pa.Table.from_arrays([table.column("chunk"), table.column("range"), *blocks], ["chunk", "range", "n", "t"])
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
