@@ -389,18 +389,18 @@ def strict_consensus(splits: DataFrame, n_tax: int) -> DataFrame:
     return split_table(splits).where((F.col("proportion") > 1 - 1e-9) & ~is_trivial(F.col("split_key"), n_tax)).select("split_key")
 
 
-def quartets(splits: DataFrame, n_tax: int) -> DataFrame:
+def quartets(splits: DataFrame, n_tax: int, with_first: int | None = None) -> DataFrame:
     """(tree_id, a, b, c, d, topology): resolved quartets a < b < c < d; topology 1 is ab|cd, 2 ac|bd, 3 ad|bc.
 
     A tree's splits are laid over all quartets at once, those of one first taxon at a time; cost is of the fourth power
-    in the taxa.
+    in the taxa, and of the third if only the quartets ``with_first`` taxon are asked for.
     """
     inner = splits.where(~is_trivial(F.col("split_key"), n_tax)).select("tree_id", "split_key")
 
     def expand(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         side = (np.unique(group["split_key"].to_numpy(np.int64))[:, None] >> np.arange(n_tax)) & 1
         out = []
-        for first in range(n_tax - 3):
+        for first in range(n_tax - 3) if with_first is None else (with_first,):
             rest = np.array(list(combinations(range(first + 1, n_tax), 3)), np.int32)
             topology = np.zeros(len(rest), np.int32)
             for s in side == 1:
@@ -417,14 +417,24 @@ def quartets(splits: DataFrame, n_tax: int) -> DataFrame:
     return inner.groupBy("tree_id").applyInPandas(expand, "tree_id long, a int, b int, c int, d int, topology int")
 
 
-def quartet_counts(splits: DataFrame, n_tax: int) -> DataFrame:
+def quartet_counts(splits: DataFrame, n_tax: int, with_first: int | None = None) -> DataFrame:
     """(a, b, c, d, topology, n): in how many trees each quartet is resolved so.
 
     Trees of one topology resolve the same quartets, so one of each is expanded and weighs as many as there are.
     """
     kinds = tree_probabilities(splits, n_tax).select(F.col("first_tree").alias("tree_id"), "n")
     some = splits.join(kinds.select("tree_id"), "tree_id", "left_semi")
-    return quartets(some, n_tax).join(kinds, "tree_id").groupBy("a", "b", "c", "d", "topology").agg(F.sum("n").alias("n"))
+    return quartets(some, n_tax, with_first).join(kinds, "tree_id").groupBy("a", "b", "c", "d", "topology").agg(F.sum("n").alias("n"))
+
+
+def triplet_counts(clades: DataFrame, n_tax: int) -> DataFrame:
+    """(a, b, c, topology, n) of rooted clades (tree_id, split_key): topology 1 is a|bc, 2 b|ac, 3 c|ab.
+
+    A rooted tree is an unrooted one with a leaf more, and its triplets are the quartets with that leaf.
+    """
+    wide = clades.select("tree_id", F.shiftleft("split_key", 1).alias("split_key"))
+    found = quartet_counts(wide, n_tax + 1, 0)
+    return found.select((F.col("b") - 1).alias("a"), (F.col("c") - 1).alias("b"), (F.col("d") - 1).alias("c"), "topology", "n")
 
 
 def quartet_distances(found: DataFrame) -> DataFrame:
@@ -436,16 +446,34 @@ def quartet_distances(found: DataFrame) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).join(met, ["i", "j"], "left").na.fill(0, ["same", "both"]).select("i", "j", (F.col("ni") + F.col("nj") - F.col("both") - F.col("same")).alias("different"))
 
 
-def leaf_stability(counts: DataFrame) -> DataFrame:
-    """(tax, ls_max, ls_diff, ls_ent) of ``quartet_counts``: means over the leaf's quartets of the greatest frequency of a
-    topology, its lead over the second, and one less their entropy by that of three equal ones."""
-    n = counts.groupBy("a", "b", "c", "d").agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
+def leaf_stability(counts: DataFrame, trees: int | None = None) -> DataFrame:
+    """(tax, ls_max, ls_diff, ls_ent) of ``quartet_counts`` or ``triplet_counts``: means over the leaf's quartets of the
+    greatest frequency of a topology, its lead over the second, and one less their entropy by that of three equal ones.
+
+    Frequencies are among the trees that resolve a quartet, or, if the number of ``trees`` is given, among all of them,
+    those that do not resolve it counting a third for each topology.  A quartet that no tree resolves has a stability of a
+    third, 0 and 0 in the second case, and none in the first.
+    """
+    members = [c for c in "abcd" if c in counts.columns]
+    n = counts.groupBy(*members).agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
     total = F.aggregate("ns", F.lit(0).cast("long"), lambda s, x: s + x)
-    q = n.withColumn("ps", F.transform("ns", lambda x: x / total))
-    ent = F.aggregate("ps", F.lit(0.0), lambda s, p: s - p * F.log(p))
+    if trees is None:
+        q = n.withColumn("ps", F.transform("ns", lambda x: x / total))
+    else:
+        three = F.concat("ns", F.array_repeat(F.lit(0).cast("long"), 3 - F.size("ns")))
+        q = n.withColumn("ps", F.transform(three, lambda x: (x + (F.lit(trees) - total) / 3) / F.lit(trees)))
+    ent = F.aggregate("ps", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log(p)).otherwise(0.0))
     q = q.withColumns({"mx": F.get("ps", F.lit(0)), "df": F.get("ps", F.lit(0)) - F.coalesce(F.get("ps", F.lit(1)), F.lit(0.0)), "en": 1 - ent / F.log(F.lit(3.0))})
-    each = q.withColumn("tax", F.explode(F.array("a", "b", "c", "d")))
-    return each.groupBy("tax").agg(F.avg("mx").alias("ls_max"), F.avg("df").alias("ls_diff"), F.avg("en").alias("ls_ent"))
+    each = q.withColumn("tax", F.explode(F.array(*members)))
+    found = each.groupBy("tax").agg(F.sum("mx").alias("mx"), F.sum("df").alias("df"), F.sum("en").alias("en"), F.count("*").alias("k"))
+    if trees is None:
+        return found.select("tax", (F.col("mx") / F.col("k")).alias("ls_max"), (F.col("df") / F.col("k")).alias("ls_diff"), (F.col("en") / F.col("k")).alias("ls_ent"))
+    # Every leaf is in as many quartets; those that no tree resolves are not among the counts.
+    every = n.agg(F.max(F.greatest(*members)).alias("top"), F.min(F.least(*members)).alias("low"))
+    taxa = F.col("top") - F.col("low") + 1
+    many = (taxa - 1) * (taxa - 2) / 2 if len(members) == 3 else (taxa - 1) * (taxa - 2) * (taxa - 3) / 6
+    whole = found.crossJoin(F.broadcast(every)).withColumn("many", many)
+    return whole.select("tax", ((F.col("mx") + (F.col("many") - F.col("k")) / 3) / F.col("many")).alias("ls_max"), (F.col("df") / F.col("many")).alias("ls_diff"), (F.col("en") / F.col("many")).alias("ls_ent"))
 
 
 def group_stability(counts: DataFrame, groups: DataFrame) -> DataFrame:

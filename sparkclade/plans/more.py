@@ -339,3 +339,19 @@ def supertree_input_trees(spark, d):
 @query(P + ", s AS (SELECT dense_rank() OVER (ORDER BY pos) - 1 AS pos, tax, ch FROM plain) SELECT tax, pos, ch FROM s")
 def alignment_of_sequences(spark, d):
     return recode.alignment_of(sites.sequences(br.plain(spark, d)))
+
+
+@query(S + CLADES + """, pr AS (SELECT tree_id, x.n_nationkey AS x, y.n_nationkey AS y, min_by(k, bit_count(k)) AS k FROM cl, nation x, nation y WHERE x.n_nationkey < y.n_nationkey AND (k >> x.n_nationkey) & 1 = 1 AND (k >> y.n_nationkey) & 1 = 1 GROUP BY ALL),
+tri AS (SELECT least(x, y, n_nationkey) AS a, greatest(x, y, n_nationkey) AS c, x + y + n_nationkey - least(x, y, n_nationkey) - greatest(x, y, n_nationkey) AS b, n_nationkey AS o, count(*)::DOUBLE AS n FROM pr, nation WHERE (k >> n_nationkey) & 1 = 0 GROUP BY ALL),
+t AS (SELECT count(DISTINCT tree_id)::DOUBLE AS t FROM splits), every AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, c.n_nationkey AS c, o.n_nationkey AS o FROM nation a, nation b, nation c, nation o WHERE a.n_nationkey < b.n_nationkey AND b.n_nationkey < c.n_nationkey AND o.n_nationkey IN (a.n_nationkey, b.n_nationkey, c.n_nationkey)),
+full_ AS (SELECT a, b, c, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY a, b, c) AS s FROM every LEFT JOIN tri USING (a, b, c, o)),
+p AS (SELECT a, b, c, (n + (t - s) / 3) / t AS p, row_number() OVER (PARTITION BY a, b, c ORDER BY n DESC) AS k FROM full_, t),
+m AS (SELECT a, b, c, max(p) AS mx, max(p) - max(p) FILTER (k = 2) AS df, 1 + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(3) AS en FROM p GROUP BY ALL)
+SELECT tax, round(avg(mx), 6) AS ls_max, round(avg(df), 6) + 0.0 AS ls_diff, round(avg(en), 6) + 0.0 AS ls_ent FROM (SELECT unnest([a, b, c]) AS tax, mx, df, en FROM m) GROUP BY tax""")
+def rooted_leaf_stability(spark, d):
+    """By triplets of the trees as rooted ones; unresolved ones count a third for each way."""
+    from sparkclade.sources.formats import clades_of
+
+    trees = br.trees(spark, d)
+    found = sp.leaf_stability(sp.triplet_counts(clades_of(trees, br.taxa(spark, d)), NTAX), trees.count())
+    return found.select("tax", F.round("ls_max", 6).alias("ls_max"), (F.round("ls_diff", 6) + F.lit(0.0)).alias("ls_diff"), (F.round("ls_ent", 6) + F.lit(0.0)).alias("ls_ent"))

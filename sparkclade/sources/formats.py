@@ -353,6 +353,25 @@ def splits_of(trees: DataFrame, taxa: list[str]) -> DataFrame:
     return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {kind}, split_key long, split string, br_len double")
 
 
+def clades_of(trees: DataFrame, taxa: list[str]) -> DataFrame:
+    """(tree_id, split_key): the clades of rooted trees (tree_id, newick) of up to 61 taxa, a bit a taxon."""
+    order = {n: i for i, n in enumerate(taxa)}
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for t, text in zip(f["tree_id"], f["newick"]):
+                nodes = parse_newick(text)
+                bits = [1 << order[n.name] if n.is_leaf else 0 for n in nodes]
+                rows += [(t, sum(bits[n.num : n.last + 1])) for n in nodes[1:]]
+            yield pd.DataFrame(rows, columns=["tree_id", "split_key"])
+
+    kind = trees.schema["tree_id"].dataType.simpleString()
+    return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {kind}, split_key long").distinct()
+
+
 def read_distances(spark: SparkSession, path: str) -> DataFrame:
     return distances_in(_files(spark, path))
 
