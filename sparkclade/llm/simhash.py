@@ -26,6 +26,9 @@ SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Variants that one task spells out at a time, about 16 bytes each.
 VARIANTS_A_GROUP = 4_000_000
+#: The same, with all white space one byte.
+LOWER_BLANK = bytes(32 if 9 <= b <= 13 else b for b in LOWER)
+ODD, POWERS = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 #: Cells in which shingles are counted to tell the common ones, a byte each.
 CELLS = 1 << 22
 
@@ -45,6 +48,46 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
 
 
+@functools.cache
+def hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, 0 for blanks; the powers that weigh bytes by their place, and those that undo them."""
+    numbers = np.random.default_rng(SEED).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    numbers[32] = 0
+    up, down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(POWERS - 1, x))), dtype=np.uint64) for x in (ODD, np.uint64(pow(int(ODD), -1, 1 << 64))))
+    return numbers, up, down
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * ODD
+    return h ^ h >> np.uint64(29)
+
+
+def run_hashes(text: str | None, width: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``width`` words of ``text``, in order; of all words if there are fewer.
+
+    The words are those of ``words_of``.  A word's hash is a sum over its bytes, a run's one over its words, each mixed; all
+    bytes are worked out together.  For verified pairs, whose shingles need no hash in particular.
+    """
+    b = np.frombuffer((text or "").encode().translate(LOWER_BLANK), np.uint8)
+    word = np.concatenate(([False], b != 32))
+    start = np.flatnonzero(word[1:] > word[:-1])
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    numbers, up, down = hash_tables()
+    if len(b) <= POWERS:
+        c = np.add.reduceat(numbers[b] * up[: len(b)], start) * down[start]
+    else:
+        # Places within the word; one of more bytes than there are powers uses them again.
+        place = np.arange(start[0], len(b)) - np.repeat(start, np.diff(start, append=len(b)))
+        c = np.add.reduceat(numbers[b[start[0] :]] * up[place % POWERS], start - start[0])
+    c = mixed(c)
+    n = max(1, len(c) - width + 1)
+    out = c[:n].copy()
+    for k in range(1, min(width, len(c))):
+        out = out * ODD + c[k : k + n]
+    return mixed(out)
+
+
 def majority(h: np.ndarray) -> int:
     """The number whose bits are those set in over half of ``h``; 0 for none."""
     bits = np.zeros(64, np.int64)
@@ -171,12 +214,13 @@ def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def similarity(a: str | None, b: str | None, width: int = 5) -> float:
     """Share of common shingles among all of two texts; two texts without words are alike."""
-    x, y = ({*shingle_hashes(words_of(t), width).tolist()} for t in (a, b))
-    return len(x & y) / len(x | y) if x or y else 1.0
+    x, y = (shingle_set(t, width) for t in (a, b))
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of(text), width))
+    return np.unique(run_hashes(text, width))
 
 
 def marked(texts: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
@@ -193,9 +237,9 @@ def marked(texts: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         for b in slices(batches):
             fps = []
             for t in b.column(3).to_pylist():
-                h = shingle_hashes(words_of(t), width)
+                h = run_hashes(t, width)
                 fps.append(majority(h))
-                at = np.unique(np.unique(h) % np.uint64(CELLS))
+                at = np.unique(h % np.uint64(CELLS))
                 seen[at] += seen[at] < 255
             none = pa.nulls(len(fps), pa.int32()), pa.nulls(len(fps), pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(fps, np.uint64).view(np.int64)), *none], names)
