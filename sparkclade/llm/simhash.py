@@ -315,7 +315,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: in
     ``pairs``: of ``fingerprint_pairs``, verified first.  ``sets``: (id, n, p) of ``prefixes``, for those that fingerprints
     miss.  Texts with a shingle of ``p`` in common are a bucket.  In each round some texts of a bucket represent it, and
     all others in it that no links join to them yet are verified against them.  The representatives then leave the
-    bucket, and the others meet new ones, four times as many each round, until links join all that a bucket holds.  So
+    bucket, and the others meet new ones, sixteen times as many each round, until links join all that a bucket holds.  So
     any two similar texts are joined, whoever represented them, and a group of copies is settled against one of them
     without meeting each other.
     """
@@ -351,7 +351,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: in
         links.append(verified(texts, asked[-1], width, least))
         left = stored(rows.drop("root").join(reps.select("h", F.col("r").alias("id")), ["h", "id"], "left_anti").select("h", "id", "n", "pos"), "buckets")
         forget(spark, rows, reps)
-        rows, many = joined(left), 4 * many
+        rows, many = joined(left), 16 * many
     forget(spark, *asked, texts)
     return functools.reduce(DataFrame.union, links)
 
