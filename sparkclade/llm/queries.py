@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, line_dedup, lm_scoring, mips, mixing, packing, simhash, substring_dedup, url_filter
+from . import ann, fill_in_middle, language, line_dedup, lm_scoring, mips, mixing, packing, resampling, sharding, simhash, substring_dedup, url_filter
 
 
 def tokenizer_path() -> str:
@@ -65,6 +65,22 @@ def op10_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mips.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op11_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assigned(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the outputs, and of the texts rebuilt from them."""
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pack, op2_mix, op3_language_id, op4_line_dedup, op5_substring_dedup, op6_lm_score, op7_simhash, op8_url_filter, op9_ann, op10_mips, pipeline)
+    found = (op1_pack, op2_mix, op3_language_id, op4_line_dedup, op5_substring_dedup, op6_lm_score, op7_simhash, op8_url_filter, op9_ann, op10_mips, op11_shard, op12_fill_in_middle, op13_importance, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -157,5 +173,21 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+OP12_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS d,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+told AS (
+  SELECT *, len(units)::BIGINT AS n, ('0x' || d[1:8])::BIGINT % (len(units) + 1) AS x, ('0x' || d[9:16])::BIGINT % (len(units) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || d[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || d[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (
+  SELECT *, array_to_string(units[1:least(x, y)], '') AS p, array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(units[greatest(x, y) + 1:], '') AS s FROM told)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_url_filter": op8_sql(), "op10_mips": OP10_SQL}
+    return {"op2_mix": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_url_filter": op8_sql(), "op10_mips": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
