@@ -389,6 +389,23 @@ def strict_consensus(splits: DataFrame, n_tax: int) -> DataFrame:
     return split_table(splits).where((F.col("proportion") > 1 - 1e-9) & ~is_trivial(F.col("split_key"), n_tax)).select("split_key")
 
 
+def resolved(side: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quartets of a tree of ``first`` and three later taxa: the three, and which of them (1, 2, 3) is ``first``'s mate.
+
+    ``side``: 0 or 1 by split and taxon.  Quartets that no split resolves are left out.
+    """
+    rest = np.array(list(combinations(range(first + 1, side.shape[1]), 3)), np.int32)
+    topology = np.zeros(len(rest), np.int32)
+    for s in side == 1:
+        a, (b, c, d) = s[first], s[rest].T
+        for k, mate in enumerate((b, c, d), 1):
+            # The first taxon and its mate on one side, the two others on the other.
+            alone = (b == a).astype(int) + (c == a) + (d == a) == 1
+            topology[alone & (mate == a)] = k
+    found = np.flatnonzero(topology)
+    return rest[found], topology[found]
+
+
 def quartets(splits: DataFrame, n_tax: int, with_first: int | None = None) -> DataFrame:
     """(tree_id, a, b, c, d, topology): resolved quartets a < b < c < d; topology 1 is ab|cd, 2 ac|bd, 3 ad|bc.
 
@@ -401,16 +418,8 @@ def quartets(splits: DataFrame, n_tax: int, with_first: int | None = None) -> Da
         side = (np.unique(group["split_key"].to_numpy(np.int64))[:, None] >> np.arange(n_tax)) & 1
         out = []
         for first in range(n_tax - 3) if with_first is None else (with_first,):
-            rest = np.array(list(combinations(range(first + 1, n_tax), 3)), np.int32)
-            topology = np.zeros(len(rest), np.int32)
-            for s in side == 1:
-                a, (b, c, d) = s[first], s[rest].T
-                for k, mate in enumerate((b, c, d), 1):
-                    # The first taxon and its mate on one side, the two others on the other.
-                    alone = (b == a).astype(int) + (c == a) + (d == a) == 1
-                    topology[alone & (mate == a)] = k
-            found = np.flatnonzero(topology)
-            out.append(pd.DataFrame({"a": first, "b": rest[found, 0], "c": rest[found, 1], "d": rest[found, 2], "topology": topology[found]}))
+            rest, topology = resolved(side, first)
+            out.append(pd.DataFrame({"a": first, "b": rest[:, 0], "c": rest[:, 1], "d": rest[:, 2], "topology": topology}))
         found = pd.concat(out)
         return found.assign(tree_id=key[0])[["tree_id", "a", "b", "c", "d", "topology"]]
 

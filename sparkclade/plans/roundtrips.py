@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.operators import pairs, recode, sites
-from sparkclade.sources import formats, samples, writers
+from sparkclade.sources import formats, samples, tree_files, writers
 
 from . import bridge as br
 from .catalog import C, P, S, query, rounded
@@ -291,3 +293,33 @@ def bipartition_log(spark, d):
     last = text.select((F.col("split_key") + (1 << 40)).alias("k"), F.concat(F.expr("substring(t, 16)"), F.lit("    "), F.col("n").cast("string"), F.lit("   1.0%")).alias("value"))
     marks = spark.createDataFrame([(-3, "some words"), (-2, "Bipartitions found in one or more trees:"), (-1, "         1111"), (1 << 40, "\n-----------")], "k long, value string")
     return samples.bipartitions(as_file(marks.union(first).union(last), "log")).select("split", "frequency")
+
+
+def _tree_files(spark, d) -> str:
+    """A folder of files of tree commands over two lines each, with semicolons in comments."""
+    from sparkclade.operators.lineage import folder
+
+    path = f"{folder(spark)}/trees-{uuid.uuid4().hex}"
+    line = F.concat(F.lit("tree t"), F.col("tree_id").cast("string"), F.lit(" [of a supplier; its number]\n  = [&U] "), F.col("newick"))
+    br.trees(spark, d).select(line.alias("value")).write.text(path)
+    return path
+
+
+def _splits_back(spark, d, trees: DataFrame) -> DataFrame:
+    named = trees.select(F.substring("name", 2, 20).cast("long").alias("tree_id"), "newick")
+    return rounded(formats.splits_of(named, br.taxa(spark, d)).select("tree_id", "split_key", "br_len"), "br_len")
+
+
+@query(S + "SELECT tree_id, split_key, round(br_len, 6) AS br_len FROM splits")
+def tree_files_round_trip(spark, d):
+    """Trees written to files and read back in parts."""
+    return _splits_back(spark, d, tree_files.read_trees(spark, _tree_files(spark, d)))
+
+
+@query(S + "SELECT tree_id, split_key, round(br_len, 6) AS br_len FROM splits")
+def tree_index_round_trip(spark, d):
+    """Trees written to files and read back through an index of runs of ten."""
+    path = _tree_files(spark, d)
+    tree_files.write_index(spark, path, f"{path}-index", 10)
+    tree_files.register(spark)
+    return _splits_back(spark, d, spark.read.format("trees").load(f"{path}-index"))
