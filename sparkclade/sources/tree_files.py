@@ -28,7 +28,7 @@ from .nexus_tokens import tokens, unquote
 MARKS = re.compile(rb"[\[\]']")
 #: Characters of a command, comments left out, that tell its kind.
 HEAD = 16
-TREE = re.compile(rb"\(|u?tree[\s*]")
+TREE = re.compile(rb"\(|u?tree[\s*']")
 #: Trees in a row of the index, and so the least that is read for any of them.
 TREES_A_RUN = 1_000
 #: Depth of comments, whether in a quote, and how the command began.
@@ -233,11 +233,12 @@ def commands(spark: SparkSession, path: str) -> DataFrame:
     return every.where((F.col("kind") != "other") | F.col("text").cast("string").rlike(r"\S"))
 
 
-NAMED = re.compile(r"(?is)\s*u?tree\s*\*?\s*('(?:[^']|'')*'|[^\s=]+)\s*=(.*)")
 
 
 #: Blanks and comments, one in another at most.
-BEFORE = re.compile(r"(?:\s|\[(?:[^\[\]]|\[[^\]]*\])*\])*")
+BLANKS = r"(?:\s|\[(?:[^\[\]]|\[[^\]]*\])*\])*"
+BEFORE = re.compile(BLANKS)
+NAMED = re.compile(rf"(?is)u?tree(?=[\s*'\[]){BLANKS}\*?{BLANKS}('(?:[^']|'')*'|[^\s=\[]+){BLANKS}=(.*)")
 
 
 def parsed(text: str, number: int) -> tuple[str, float, bool | None, str]:
