@@ -150,6 +150,17 @@ def stage(f: Callable) -> Callable:
     return run
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened as far as columns of a table have them already, in upper or lower case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, columns: list[str], f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns only, so that clashing extra columns never reach Python."""
     return df.select(*columns).mapInArrow(f, schema)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import forget, stored, unused
 
 MIN_CHARS = 50
 BLANKS = " \t\r"
@@ -53,15 +53,20 @@ def windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
     told = F.filter(F.transform(trimmed, lambda x, i: F.struct(i.alias("pos"), F.length(x).alias("n"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))), lambda x: x.n > 0)
     lines = barrier(docs.select("id", "th", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("end"), "text"), "lines", told).drop("text").where(F.size("lines") > 0)
-    ends = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.array(F.struct(i.alias("a"), (i + shortest(F.col("lines"), i, min_chars, False) - 1).alias("z")), F.struct((i - shortest(F.col("lines"), i, min_chars, True) + 1).alias("a"), i.alias("z"))))
-    both = F.filter(F.array_distinct(F.flatten(ends)), lambda w: w.a.isNotNull() & w.z.isNotNull())
-    spans = lines.select("id", "th", "end", "lines", F.explode(both).alias("w"))
-    held = F.slice("lines", F.col("w.a") + 1, F.col("w.z") - F.col("w.a") + 1)
-    least = F.array_min(F.transform(held, lambda x: F.struct(x.h.alias("h"), x.pos.alias("pos"))))
-    return spans.select(
-        "id", "th", F.get("lines", F.col("w.a")).pos.alias("from"), F.coalesce(F.get("lines", F.col("w.z") + 1).pos, F.col("end")).alias("to"),
-        least.alias("least"), F.xxhash64(F.transform(held, lambda x: x.g)).alias("ext"),
-    ).select("id", "th", "from", "to", F.col("least.h").alias("pick"), F.col("least.pos").alias("at"), "ext")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    # Where the window from each line on ends, and where that up to each line begins; the latter unless it is one of the former.
+    lines = barrier(lines, "ends", F.transform(every, lambda i: i + shortest(F.col("lines"), i, min_chars, False) - 1))
+    lines = barrier(lines, "begins", F.transform(every, lambda i: i - shortest(F.col("lines"), i, min_chars, True) + 1))
+    on = F.transform(every, lambda i: F.struct(i.alias("a"), F.get("ends", i).alias("z")))
+    upto = F.transform(every, lambda i: F.struct(F.get("begins", i).alias("a"), i.alias("z")))
+    upto = F.filter(upto, lambda w: w.a.isNotNull() & ~F.get("ends", w.a).eqNullSafe(w.z))
+    lines = barrier(lines, "both", F.concat(F.filter(on, lambda w: w.z.isNotNull()), upto))
+    # Each window takes its own lines along, few as they are, and not those of the text: work is in proportion to the lines.
+    taken = F.transform("both", lambda w: F.struct(F.slice("lines", w.a + 1, w.z - w.a + 1).alias("held"), F.coalesce(F.get("lines", w.z + 1).pos, F.col("end")).alias("to")))
+    spans = lines.select("id", "th", F.explode(taken).alias("w")).select("id", "th", "w.held", "w.to")
+    least = F.array_min(F.transform("held", lambda x: F.struct(x.h.alias("h"), x.pos.alias("pos"))))
+    found = spans.select("id", "th", F.get("held", F.lit(0)).pos.alias("from"), "to", least.alias("least"), F.xxhash64(F.transform("held", lambda x: x.g)).alias("ext"))
+    return found.select("id", "th", "from", "to", F.col("least.h").alias("pick"), F.col("least.pos").alias("at"), "ext")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -88,11 +93,12 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_i
     ``docs`` stay, whatever their names; an empty table gives an empty table.
     """
     own = [c for c in docs.columns if c != "removed_lines"]
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(text_col))
-    found = stored(windows(keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string").alias("text")), min_chars), "windows")
-    gone = repeated(found).select("id", "th", F.explode(F.sequence("from", F.col("to") - 1)).alias("pos")).groupBy("id", "th").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"id": "__i", "th": "__t"})
-    joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")), "left")
-    joined = barrier(joined, "__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(text_col), "\n")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_lines"))
+    key, hashed, id2, hash2, gone, lines = unused(docs.columns, "key", "hashed", "id2", "hash2", "gone", "lines")
+    keyed = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(hashed, F.xxhash64(text_col))
+    found = stored(windows(keyed.select(F.col(key).alias("id"), F.col(hashed).alias("th"), F.col(text_col).cast("string").alias("text")), min_chars), "windows")
+    spans = repeated(found).select("id", "th", F.explode(F.sequence("from", F.col("to") - 1)).alias("pos")).groupBy("id", "th").agg(F.collect_set("pos").alias(gone)).withColumnsRenamed({"id": id2, "th": hash2})
+    joined = keyed.join(spans, F.col(key).eqNullSafe(F.col(id2)) & (F.col(hashed) == F.col(hash2)), "left")
+    joined = barrier(joined, lines, F.when(F.col(gone).isNotNull(), F.split(F.col(text_col), "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], F.coalesce(F.size(gone), F.lit(0)).alias("removed_lines"))

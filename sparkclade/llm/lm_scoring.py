@@ -145,17 +145,19 @@ def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", tex
         doc_id = table.column("doc_id")
         return chunk, np.isin(doc_id.fill_null(0).to_numpy(), target) & doc_id.is_valid().to_numpy(zero_copy_only=False)
 
-    def cuts(keys: np.ndarray) -> np.ndarray:
+    def occupied(keys: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """Ranges that sorted ``keys`` lie in, and where those of each begin and end; work is that of the keys, however many ranges there are."""
         of = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-        return np.searchsorted(of, np.arange(ranges + 1).astype(np.uint64))
+        begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+        return of[begin].tolist(), begin.tolist(), np.append(begin[1:], len(of)).tolist()[: len(begin)]
 
     def send(table: pa.Table, target: pa.Table) -> pa.Table:
         names = ["chunk", "range", "keys", "n", "t"]
         if not table.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())], names)
         chunk, flag = read(table, target.column("id").to_numpy())
-        n, t, cut = chunk.counts(), chunk.counts(flag), cuts(chunk.keys)
-        some = [(r, a, z) for r, (a, z) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if z > a]
+        n, t = chunk.counts(), chunk.counts(flag)
+        some = list(zip(*occupied(chunk.keys)))
         blocks = [pa.array([planes(x[a:z]) for _, a, z in some], pa.binary()) for x in (chunk.keys, n, t)]
         return pa.Table.from_arrays([pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64()), pa.array([r for r, _, _ in some], pa.int64()), *blocks], names)
 

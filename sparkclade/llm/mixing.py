@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, stored, unused
 
 WEIGHTS = (3, 1, 2)
 BLANK = r"[\x20\x09-\x0D]*"
@@ -100,10 +100,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     """The mix itself: each row of ``docs`` once for each time that ``mix`` takes it whole, and once more cut to its
     first words if it takes a part.  Columns are those of ``docs``, rows without words are not taken, and nulls, ties,
     repeats and empty tables are as in ``mix``."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
-    taken = mix(rows, weights, share, id_col, text_col, source_col, "__row").where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    often = rows.join(taken.hint("merge"), "__row").withColumn("__n", F.explode(F.sequence(F.lit(1), times)))
+    row, size, took, nth = unused(docs.columns, "row", "size", "taken", "nth")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
+    found = mix(rows, weights, share, id_col, text_col, source_col, row).where("taken > 0").select(F.col(row), F.col("size").alias(size), F.col("taken").alias(took))
+    times = F.ceil(F.col(took) / F.col(size)).cast("int")
+    often = rows.join(found.hint("merge"), row).withColumn(nth, F.explode(F.sequence(F.lit(1), times)))
     text = F.col(text_col).cast("string")
-    cut = F.when(F.col("__n") * F.col("__size") > F.col("__taken"), first_words(text, (F.col("__taken") % F.col("__size")).cast("int"))).otherwise(text)
+    cut = F.when(F.col(nth) * F.col(size) > F.col(took), first_words(text, (F.col(took) % F.col(size)).cast("int"))).otherwise(text)
     return often.withColumn(text_col, cut).select(*docs.columns)

@@ -192,6 +192,15 @@ def queues(docs: DataFrame, text_col: str, source_col: str) -> list[str | None]
     return [r.source for r in top.collect()]
 
 
+def shared_weight(docs: DataFrame, source_col: str, own: list[str | None], weights: dict[str | None, float]) -> float:
+    """The weights of all sources without a queue of their own, which the shared one has together."""
+    spark = docs.sparkSession
+    listed = spark.createDataFrame([(s, max(0.0, float(w)), False) for s, w in weights.items() if s not in set(own)] + [(s, 0.0, True) for s in own], "name string, weight double, own boolean")
+    sources = docs.select(F.col(source_col).cast("string").alias("source")).distinct()
+    met = sources.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("name")), "left")
+    return float(met.agg(F.sum(F.when(F.col("own"), 0.0).otherwise(F.coalesce("weight", F.lit(1.0))))).first()[0] or 0.0)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, quantum: int = QUANTUM, with_ids: bool = False) -> DataFrame:
     """All tokens of ``docs`` in sequences of at most ``window`` ids: a row for each piece of a document.
 
@@ -201,7 +210,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, id_col: str =
     the last few is full and holds the sources in those proportions as far as they last, in turns of ``quantum`` tokens
     or more; the rest forms sequences of powers of two, so nothing is padded.  A source's queue is in the order of the
     input's rows.  Repeated rows are packed each; extra columns are ignored; an empty table gives an empty table.  Of
-    more than 4,096 sources, the largest 4,095 have queues of their own and all others share one.
+    more than 4,096 sources, the largest 4,095 have queues of their own and all others share one, with their weights' sum.
     """
     own = queues(docs, text_col, source_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
@@ -218,7 +227,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, id_col: str =
     names = {r.queue: json.loads(r.queue) for r in totals}
     totals.sort(key=lambda r: (names[r.queue]["shared"], "name" not in names[r.queue], names[r.queue].get("name", "")))
     number = {r.queue: i for i, r in enumerate(totals)}
-    wanted = None if weights is None else [max(0.0, weights.get(names[r.queue].get("name"), 1.0)) for r in totals]
+    wanted = None
+    if weights is not None:
+        shared = shared_weight(docs, source_col, own, weights) if own is not None else 0.0
+        wanted = [shared if names[r.queue]["shared"] else max(0.0, weights.get(names[r.queue].get("name"), 1.0)) for r in totals]
     stream = Stream(np.array([r.n for r in totals], np.int64), window, wanted, quantum)
     ahead = parts.withColumn("ahead", F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("queue", "part", F.coalesce("ahead", F.lit(0)).alias("ahead"))
     # A row a queue and part.  As a table its size is known: Spark broadcasts it only while it is small, and else shuffles.

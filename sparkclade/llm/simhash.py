@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_batches, slices, stored
+from .common import forget, map_batches, slices, stored, unused
 from .components import connected_components
 
 SEED = 42
@@ -261,8 +261,43 @@ def marked(texts: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     return found.where("part is null").select("id", "x", "y", "fp"), out
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A set of shingles as a map of bits, four a shingle and up to 4 KB; bit i stands for the hashes that end in i."""
+    bits = np.zeros(1 << min(15, max(8, (4 * len(h)).bit_length())), bool)
+    bits[h % np.uint64(len(bits))] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def common_at_most(n: int, x: bytes, m: int, y: bytes) -> int:
+    """A bound of the shingles that two sets of ``n`` and ``m`` share, by their sketches: each bit that the other lacks is
+    of one at least that it lacks.  The wider map is folded to the other's width."""
+    a, b, width = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * min(len(x), len(y))
+    for half in (8 * max(len(x), len(y)) >> k for k in range(1, 16)):
+        if half < width:
+            break
+        if len(x) > len(y):
+            a = a & (1 << half) - 1 | a >> half
+        else:
+            b = b & (1 << half) - 1 | b >> half
+    return min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+
+
+def likely(asked: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``asked`` (a, b) whose sketches in ``sets`` (id, n, bits) leave room for ``least``: no similar pair goes."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")).hint("merge")
+
+    def run(batches):
+        for b in batches:
+            cells = [b.column(i).to_pylist() for i in range(2, 6)]
+            ok = [common_at_most(n, x, m, y) >= least / (1 + least) * (n + m) - 1e-6 for n, x, m, y in zip(*cells)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return map_batches(asked.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "n_a", "bits_a", "n_b", "bits_b"], run, "a long, b long")
+
+
 def prefixes(texts: DataFrame, common: np.ndarray, width: int, least: float) -> DataFrame:
-    """(id, n, p) of (id long, text): how many shingles it has, and the rarest of them by ``common`` of ``marked``.
+    """(id, n, p, bits) of (id long, text): how many shingles it has, the rarest of them by ``common`` of ``marked``, and
+    their sketch.
 
     All shingles are ordered alike in every text.  A text of n shingles shares at least ``least`` * n of them with any
     that is similar, so among its first n - ceil(least * n) + 1 and those of the other there is one in common: none is missed.
@@ -272,15 +307,16 @@ def prefixes(texts: DataFrame, common: np.ndarray, width: int, least: float) ->
     def run(batches):
         common = shared.value
         for b in slices(batches):
-            n, p = [], []
+            n, p, bits = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_set(t, width)
                 n.append(len(h))
                 first = h[np.lexsort((h, common[h % np.uint64(CELLS)]))][: len(h) - int(np.ceil(least * len(h) - 1e-6)) + 1]
                 p.append(first.view(np.int64) if len(h) else np.zeros(1, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64()))], ["id", "n", "p"])
+                bits.append(sketch(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "n", "p", "bits"])
 
-    return map_batches(texts, ["id", "text"], run, "id long, n int, p array<long>")
+    return map_batches(texts, ["id", "text"], run, "id long, n int, p array<long>, bits binary")
 
 
 def fingerprint_pairs(marks: DataFrame, radius: int) -> DataFrame:
@@ -312,10 +348,10 @@ def verified(texts: DataFrame, asked: DataFrame, width: int, least: float) -> Da
 def similar_links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(a long, b long), a < b: links among ``texts`` (id long, text), all verified to share ``least`` of their shingles.
 
-    ``pairs``: of ``fingerprint_pairs``, verified first.  ``sets``: (id, n, p) of ``prefixes``, for those that fingerprints
-    miss.  Texts with a shingle of ``p`` in common are a bucket.  In each round some texts of a bucket represent it, and
+    ``pairs``: of ``fingerprint_pairs``, verified first.  ``sets``: of ``prefixes``, for those that fingerprints miss.  Texts with a shingle of ``p`` in common are a bucket.  In each round some texts of a bucket represent it, and
     all others in it that no links join to them yet are verified against them.  The representatives then leave the
-    bucket, and the others meet new ones, sixteen times as many each round, until links join all that a bucket holds.  So
+    bucket, and the others meet new ones, sixteen times as many each round, until links join all that a bucket holds.
+    Sketches tell pairs that are too unlike before any text is moved, so pages of one template cost some bytes a pair.  So
     any two similar texts are joined, whoever represented them, and a group of copies is settled against one of them
     without meeting each other.
     """
@@ -326,6 +362,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: in
     # The texts that meet any other are put aside once, all rounds read those alone.
     ids = met.select("id").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     texts = stored(texts.join(ids.hint("merge"), "id", "left_semi"), "texts")
+    sketches = stored(sets.select("id", "n", "bits").join(met.select("id").distinct(), "id", "left_semi"), "sketches")
     asked, links, many = [pairs], [verified(texts, pairs, width, least)], 1
 
     def joined(rows: DataFrame) -> DataFrame:
@@ -348,11 +385,11 @@ def similar_links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: in
         for earlier in asked:
             new = new.join(earlier, ["a", "b"], "left_anti")
         asked.append(stored(new, "candidates"))
-        links.append(verified(texts, asked[-1], width, least))
+        links.append(verified(texts, stored(likely(asked[-1], sketches, least), "likely"), width, least))
         left = stored(rows.drop("root").join(reps.select("h", F.col("r").alias("id")), ["h", "id"], "left_anti").select("h", "id", "n", "pos"), "buckets")
         forget(spark, rows, reps)
         rows, many = joined(left), 16 * many
-    forget(spark, *asked, texts)
+    forget(spark, *asked, texts, sketches)
     return functools.reduce(DataFrame.union, links)
 
 
@@ -364,13 +401,14 @@ def keep_one(docs: DataFrame, text_col: str = "text", width: int = 5, least: flo
     with all its columns.  Null and empty texts are one text; texts of equal words are alike.  Columns of ``docs`` may
     have any names; an empty table gives an empty table.
     """
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select(F.col("__row").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    row, kept = unused(docs.columns, "row", "kept")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks, common = marked(texts, width)
     # Equal texts, by two hashes of their own seeds: groups of copies meet as numbers, combined before the shuffle.
     first = stored(marks.groupBy("x", "y").agg(F.min(F.struct("id", "fp")).alias("m")).select("m.id", "m.fp"), "first")
     sets = stored(prefixes(texts, common, width, least).join(first.select("id"), "id", "left_semi"), "prefixes")
     roots = connected_components(similar_links(texts, sets, fingerprint_pairs(first, radius), width, least))
     later = roots.where("node <> root").select(F.col("node").alias("id"))
-    stay = stored(first.select("id").join(later, "id", "left_anti").select(F.col("id").alias("__first")), "stay")
-    return numbered.join(stay.hint("merge"), F.col("__row") == F.col("__first"), "left_semi").drop("__row")
+    stay = stored(first.select("id").join(later, "id", "left_anti").select(F.col("id").alias(kept)), "stay")
+    return numbered.join(stay.hint("merge"), F.col(row) == F.col(kept), "left_semi").select(*docs.columns)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, stored, unused
 
 MIN_WORDS = 25
 #: Where a sentence ends; joined, the sentences give the text again.
@@ -98,16 +98,18 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
 
     The first occurrence, by document id and place, stays.  Words are compared in lower case, whatever the white space
     between them.  A null or empty text has no span; one that loses nothing is returned as it is.  A null id counts as
-    the least.  Rows alike in id and text are one document and get the same result.  All columns of ``docs`` stay.
+    the least.  Rows alike in id and text are one document and get the same result; of one id, texts go by their hash.  All
+    columns of ``docs`` stay, whatever their names; an empty table gives an empty table.
     """
     own = [c for c in docs.columns if c not in ("removed_sentences", "removed")]
     least = -(1 << 63)
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(least))).withColumn("__th", F.xxhash64(text_col))
-    found = stored(occurrences(keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string").alias("text")), min_words), "spans")
+    key, hashed, id2, hash2, gone = unused(docs.columns, "key", "hashed", "id2", "hash2", "gone")
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(least))).withColumn(hashed, F.xxhash64(text_col))
+    found = stored(occurrences(keyed.select(F.col(key).alias("id"), F.col(hashed).alias("th"), F.col(text_col).cast("string").alias("text")), min_words), "spans")
     order = Window.partitionBy("h1", "h2").orderBy("id", "th", "first")
     met = found.where("not known").withColumn("nth", F.dense_rank().over(order)).where("nth > 1").drop("nth")
-    gone = met.union(found.where("known")).groupBy("id", "th").agg(F.collect_set(F.struct("first", "after")).alias("__gone")).withColumnsRenamed({"id": "__i", "th": "__t"})
-    joined = keyed.join(gone, (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")), "left").select(*own, "__gone")
+    spans_gone = met.union(found.where("known")).groupBy("id", "th").agg(F.collect_set(F.struct("first", "after")).alias(gone)).withColumnsRenamed({"id": id2, "th": hash2})
+    joined = keyed.join(spans_gone, (F.col(key) == F.col(id2)) & (F.col(hashed) == F.col(hash2)), "left").select(*own, gone)
 
     def cut(batches):
         at = own.index(text_col)

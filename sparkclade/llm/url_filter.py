@@ -24,27 +24,41 @@ FOLD = str.maketrans(UPPER, LOWER)
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def pieces(parsed) -> list[str | None]:
+def pieces(parsed, flags: int = 0) -> list[str | None]:
     """A parsed pattern as what stands one after another for certain: a letter or digit, ``""`` for something that is neither
-    or an end of the text, None for anything else, or for nothing."""
+    or an end of the text, None for anything else, or for nothing.  ``flags`` hold where it begins."""
     out: list[str | None] = []
+    blind = bool(flags & re.I)
     for op, value in parsed:
         if op is sre.LITERAL:
-            out.append(chr(value) if chr(value) in LETTERS else "")
+            out.append(literal(chr(value), flags))
         elif op is sre.AT:
             out.append("" if value in (sre.AT_BEGINNING, sre.AT_BEGINNING_STRING, sre.AT_END, sre.AT_END_STRING, sre.AT_BOUNDARY) else None)
         elif op is sre.IN:
-            out.append(None if any(in_class(value, c) for c in LETTERS) else "")
+            # Without regard to case a class may hold a letter by its capital, or by a character beyond ASCII.
+            letters = LETTERS + UPPER if blind else LETTERS
+            wide = blind and any(x > 127 for kind, v in value for x in (v if kind is sre.RANGE else (v,)) if isinstance(x, int) and kind in (sre.LITERAL, sre.RANGE))
+            out.append(None if wide or any(in_class(value, c) for c in letters) else "")
         elif op is sre.SUBPATTERN:
-            out += pieces(value[-1])
+            out += pieces(value[-1], (flags | value[1]) & ~value[2])
         elif op is sre.BRANCH:
             # What parts tokens in every branch parts them.
-            out.append("" if all(pieces(x) == [""] for x in value[1]) else None)
+            out.append("" if all(pieces(x, flags) == [""] for x in value[1]) else None)
         else:
             out.append(None)
     return out
 
 
+def literal(c: str, flags: int) -> str | None:
+    """The piece of one character.  Without regard to case, i, k and s have partners beyond ASCII, whose tokens differ."""
+    if not flags & re.I:
+        return c if c in LETTERS else ""
+    low = c.lower() if c.isascii() else c
+    if not c.isascii() or low in "iks" and not flags & re.A:
+        return None
+    return low if low in LETTERS else ""
+
+
 def in_class(items, c: str) -> bool:
     """Whether a character class may hold ``c``."""
     hit = False
@@ -62,7 +76,8 @@ def in_class(items, c: str) -> bool:
 def literal_tokens(pattern: str) -> tuple[str, ...]:
     """The whole runs of a-z0-9 that a lower-case text cannot lack if ``pattern`` is found in it; there may be none."""
     out, run, open_ = [], "", False
-    for piece in pieces(sre_parse(pattern, re.S)):
+    parsed = sre_parse(pattern, re.S)
+    for piece in pieces(parsed, parsed.state.flags):
         if piece:
             run += piece
             continue
