@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .recode import numbered_sites
+from .lineage import cut
+from .resampling import kh_sh, resampled, totals
 
 MAX_LAG = 1000
 
@@ -161,21 +162,7 @@ def acceptance(proposals: DataFrame) -> DataFrame:
 def rell(site_log_likes: DataFrame, replicates: int = 1000, seed: int = 1) -> DataFrame:
     """(tree_id, log_like, kh, sh): tests of trees by resampling estimated log likelihoods of (tree_id, pos, ln).
 
-    Draws are hashes of seed, replicate and place.  Only replicates by trees reach the tests, never sites by replicates
-    on one task.
+    With a column n, a row stands for that many sites.
     """
-    spark = site_log_likes.sparkSession
-    trees = site_log_likes.groupBy("tree_id").agg(F.sum("ln").alias("log_like"))
-    sites = numbered_sites(site_log_likes).withColumnRenamed("new_pos", "k")
-    n = sites.count()
-    # The replicates are a parameter, and so is their number.
-    draws = sites.select("k").crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "rep"))).select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "k"), F.lit(n)).cast("int").alias("k"))
-    weights = draws.groupBy("rep", "k").agg(F.count("*").alias("w")).join(sites, "k")
-    boot = weights.join(site_log_likes, "pos").groupBy("rep", "tree_id").agg(F.sum(F.col("w") * F.col("ln")).alias("x"))
-    centred = boot.withColumn("c", F.col("x") - F.avg("x").over(Window.partitionBy("tree_id")))
-    best = centred.withColumn("top", F.max("c").over(Window.partitionBy("rep")))
-    first = trees.orderBy(F.desc("log_like"), "tree_id").limit(1).select(F.col("tree_id").alias("best"), F.col("log_like").alias("best_log_like"))
-    own = trees.crossJoin(F.broadcast(first)).withColumn("delta", F.col("best_log_like") - F.col("log_like"))
-    ml = centred.join(F.broadcast(first), F.col("tree_id") == F.col("best")).select("rep", F.col("c").alias("cb"))
-    judged = best.join(ml, "rep").join(own, "tree_id")
-    return judged.groupBy("tree_id").agg(F.first("log_like").alias("log_like"), F.avg(((F.col("cb") - F.col("c")) >= F.col("delta")).cast("int")).alias("kh"), F.avg(((F.col("top") - F.col("c")) >= F.col("delta")).cast("int")).alias("sh"))
+    site_log_likes = cut(site_log_likes)
+    return kh_sh(resampled(site_log_likes, replicates, seed).persist(), totals(site_log_likes))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkclade.functions.stats import chi_squared_tail, chi_squared_tail_np
 
+from .recode import numbered
 from .sites import DNA, char_counts, is_symbol
 
 
@@ -171,13 +172,13 @@ def bootstrap(chars: DataFrame, n_sites: int, replicates: int, seed: int = 1, pa
     Draws are hashes of seed, replicate and place, so a lost executor draws the same again.  Sites are numbered 0 to
     ``n_sites`` - 1 by their order.
     """
-    spark = chars.sparkSession
     sites = chars.select("pos").distinct()
     sites = sites.withColumn("subset", F.lit("all")) if part is None else sites.join(part, "pos")
-    by = Window.partitionBy("subset")
-    sites = sites.withColumns({"k": F.row_number().over(by.orderBy("pos")) - 1, "m": F.count("*").over(by)})
-    draw = sites.crossJoin(spark.range(replicates).withColumnRenamed("id", "replicate"))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "replicate", "subset", "k"), F.col("m")).cast("int")
+    # A row a subset.
+    many = sites.groupBy("subset").agg(F.count("*").alias("m"))
+    sites = numbered(sites.select("subset", "pos"), ("subset", "pos"), "subset").join(many, "subset")
+    draw = sites.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "replicate", "subset", "k"), F.col("m"))
     picked = draw.select("replicate", "subset", F.col("pos").alias("new_pos"), drawn.alias("k"))
     return picked.join(sites.select("subset", "k", "pos"), ["subset", "k"]).join(chars, "pos").select("replicate", "new_pos", "tax", "ch")
 

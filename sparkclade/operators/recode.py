@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkclade.functions.genetic_code import IUPAC, codon_table, plain_codons
 
+from .lineage import cut
+
 #: The six amino-acid groups of Dayhoff recoding.
 DAYHOFF = ("c", "stpag", "ndeq", "hrk", "milv", "fyw")
 COMPLEMENT = {k: next(c for c, s in IUPAC.items() if set(s) == {"acgt"[3 - "acgt".index(x)] for x in of}) for k, of in IUPAC.items()}
@@ -23,6 +25,18 @@ def numbered_sites(chars: DataFrame) -> DataFrame:
     return rank.select("pos", (F.col("ahead") + F.col("own") - 1).alias("new_pos"))
 
 
+def numbered(rows: DataFrame, order: tuple[str, ...], within: str) -> DataFrame:
+    """``rows`` with ``k``: their numbers from 0 in ``order``, which begins with ``within``, in each group of it.
+
+    Ranges of rows are numbered on their own and offset by those before, so no task sorts a group whole.
+    """
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"at": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
+    parts = cut(parts)
+    n = parts.groupBy(within, "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    ahead = n.select(within, "part", "first", F.coalesce(F.sum("n").over(Window.partitionBy(within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return parts.join(ahead, [within, "part"]).withColumn("k", F.col("ahead") + F.col("at") - F.col("first")).select(*rows.columns, "k")
+
+
 def renumbered(chars: DataFrame) -> DataFrame:
     """Sites numbered 0 on in order, without gaps in the numbers; the site table, one row a site, is what is sorted."""
     return chars.join(numbered_sites(chars), "pos").select("tax", F.col("new_pos").alias("pos"), "ch")

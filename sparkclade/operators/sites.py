@@ -250,3 +250,13 @@ def simple_big_x_squared(chars: DataFrame, symbols: str = DNA) -> DataFrame:
     long = n.select("tax", F.explode(F.create_map(*[x for s in symbols for x in (F.lit(s), F.col(s))])).alias("ch", "n"))
     e = F.avg("n").over(Window.partitionBy("ch"))
     return long.withColumn("e", e).where("e > 0").agg(F.sum((F.col("n") - F.col("e")) * (F.col("n") - F.col("e")) / F.col("e")).alias("x_squared"))
+
+
+def composition_report(chars: DataFrame, parts: DataFrame, symbols: str = DNA) -> DataFrame:
+    """(part, tax, level, n, and each symbol's share): composition by part and taxon, by part, and of all, in one pass.
+
+    ``parts``: (pos, part).  level: 0 for a taxon in a part, 1 for a part, 3 for all; what a row sums over is null there.
+    """
+    told = chars.where(F.col("ch").isin(list(symbols))).join(parts, "pos")
+    shares = [(F.count_if(F.col("ch") == c) / F.count("*")).alias(c) for c in symbols]
+    return told.rollup("part", "tax").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), *shares).select("part", "tax", "level", "n", *symbols)

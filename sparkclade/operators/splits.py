@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def canonical(raw: Column, n_tax: int) -> Column:
     return F.when(raw.bitwiseAND(F.lit(1)) == 1, raw.bitwiseXOR(F.lit((1 << n_tax) - 1))).otherwise(raw)
@@ -78,7 +80,12 @@ def compare_runs(splits: DataFrame, n_tax: int, least: float = 0.1) -> DataFrame
     """(run_a, run_b, asdoss, max_difference, mean_difference) of each two runs of (run, tree_id, split_key): over internal
     splits that either run has in ``least`` of its trees."""
     total = splits.groupBy("run").agg(F.count_distinct("tree_id").alias("trees"))
-    p = splits.where(~is_trivial(F.col("split_key"), n_tax)).groupBy("run", "split_key").agg(F.count("*").alias("n")).join(F.broadcast(total), "run").select("run", "split_key", (F.col("n") / F.col("trees")).alias("p"))
+    return compared_counts(splits.groupBy("run", "split_key").agg(F.count("*").alias("n")), total, n_tax, least)
+
+
+def compared_counts(counts: DataFrame, total: DataFrame, n_tax: int, least: float = 0.1) -> DataFrame:
+    """``compare_runs`` of counts (run, split_key, n) and the trees of each run (run, trees)."""
+    p = counts.where(~is_trivial(F.col("split_key"), n_tax)).join(F.broadcast(total), "run").select("run", "split_key", (F.col("n") / F.col("trees")).alias("p"))
     # Runs are few: each split is told for all of them, 0 where it is absent.
     runs = F.broadcast(total.select("run"))
     every = p.select("split_key").distinct().crossJoin(runs).join(p, ["run", "split_key"], "left").na.fill(0.0, ["p"])
@@ -211,19 +218,39 @@ def incompatible(a: Column, b: Column, n_tax: int) -> Column:
     return (a.bitwiseAND(b) != 0) & (a.bitwiseAND(F.bitwise_not(b)) != 0) & (b.bitwiseAND(F.bitwise_not(a)) != 0)
 
 
+def lowest(mask: Column) -> Column:
+    return mask.bitwiseAND(-mask)
+
+
+def taxa_in(mask: Column, n_tax: int) -> Column:
+    """The taxa of a mask, each as its bit."""
+    return F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(n_tax)]), lambda b: mask.bitwiseAND(b) != 0)
+
+
+def clashing(kinds: DataFrame, n_tax: int) -> DataFrame:
+    """(a, b): all pairs of splits of ``kinds`` (split_key) that conflict, told both ways.
+
+    Of two that do, a has a taxon that b has, and one that b has not.  They meet at the lowest of either kind, so a key is
+    two taxa, of which there are as many as the taxa squared, and no key holds a large share of all splits.
+    """
+    every = F.lit((1 << n_tax) - 1)
+    told = kinds.select("split_key").distinct()
+    a = told.select(F.col("split_key").alias("a"), F.explode(taxa_in(F.col("split_key"), n_tax)).alias("here")).select("a", "here", F.explode(taxa_in(F.col("a"), n_tax)).alias("there")).where("here <> there")
+    b = told.select(F.col("split_key").alias("b"), F.explode(taxa_in(F.col("split_key"), n_tax)).alias("here")).select("b", "here", F.explode(taxa_in(every.bitwiseAND(F.bitwise_not("b")), n_tax)).alias("there"))
+    both, alone = F.col("a").bitwiseAND(F.col("b")), F.col("a").bitwiseAND(F.bitwise_not("b"))
+    met = a.join(b, ["here", "there"]).where((lowest(both) == F.col("here")) & (lowest(alone) == F.col("there")))
+    return met.where(F.col("b").bitwiseAND(F.bitwise_not("a")) != 0).select("a", "b")
+
+
 def conflicts(splits: DataFrame, n_tax: int) -> DataFrame:
     """(i, j, n): numbers of conflicting pairs of splits of each two trees, i < j.
 
-    Splits that conflict share a taxon: they meet at the lowest one.  Pairs of different topologies are counted once,
-    whatever the number of trees that have them.
+    Pairs of different topologies are counted once, whatever the number of trees that have them.
     """
     trees = topologies(splits, n_tax).select("tree_id", F.xxhash64("topology").alias("t1"), F.xxhash64(F.lit(1), "topology").alias("t2"))
     kinds = trees.groupBy("t1", "t2").agg(F.min("tree_id").alias("tree_id"))
     inner = splits.where(~is_trivial(F.col("split_key"), n_tax)).join(kinds.select("tree_id"), "tree_id", "left_semi").select("tree_id", "split_key").distinct()
-    at = inner.select("split_key").distinct().withColumn("tax", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_tax - 1)), lambda i: F.getbit(F.col("split_key"), i) == 1)))
-    a, b = (at.select(F.col("split_key").alias(c), "tax") for c in "ab")
-    shared = F.col("a").bitwiseAND(F.col("b"))
-    clash = a.join(b, "tax").where((shared.bitwiseAND(F.expr("shiftleft(1L, tax)") - 1) == 0) & incompatible(F.col("a"), F.col("b"), n_tax)).select("a", "b")
+    clash = clashing(inner, n_tax)
     left, right = inner.select(F.col("tree_id").alias("ki"), F.col("split_key").alias("a")), inner.select(F.col("tree_id").alias("kj"), F.col("split_key").alias("b"))
     n = left.join(clash, "a").join(right, "b").groupBy("ki", "kj").agg(F.count("*").alias("n"))
     named = trees.join(kinds.withColumnRenamed("tree_id", "kind"), ["t1", "t2"])
@@ -312,10 +339,7 @@ def compatible_pairs(splits: DataFrame, n_tax: int) -> DataFrame:
 def semi_strict(splits: DataFrame, n_tax: int) -> DataFrame:
     """(split_key): internal splits of some tree that no tree contradicts."""
     kinds = splits.where(~is_trivial(F.col("split_key"), n_tax)).select("split_key").distinct()
-    at = kinds.withColumn("tax", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_tax - 1)), lambda i: F.getbit(F.col("split_key"), i) == 1)))
-    a, b = (at.select(F.col("split_key").alias(c), "tax") for c in "ab")
-    clash = a.join(b, "tax").where(incompatible(F.col("a"), F.col("b"), n_tax)).select(F.col("a").alias("split_key")).distinct()
-    return kinds.join(clash, "split_key", "left_anti")
+    return kinds.join(clashing(kinds, n_tax).select(F.col("a").alias("split_key")).distinct(), "split_key", "left_anti")
 
 
 def component_usage(used: DataFrame) -> DataFrame:
@@ -365,23 +389,39 @@ def newick_of_splits(splits: list[tuple[int, float | None]], taxa: list[str], le
     return f"({','.join([first, *(render(c) for c in sorted(children.get(full, []), key=lambda c: c & -c))])});"
 
 
-def consensus(splits: DataFrame, taxa: list[str], least: float = 0.0) -> DataFrame:
-    """(newick): majority rule with compatible splits added.
+def consensus_table(splits: DataFrame, n_tax: int, least: float = 0.0) -> DataFrame:
+    """(split_key, proportion): internal splits of the majority-rule tree with compatible ones added.
 
-    The fold over splits is sequential, and of the splits of half the trees or more, which there are fewer of than taxa
-    all stay.  Of the others only those compatible with all of these go to the task of the fold.
+    The order is that of proportion and then string (``*`` first), as if splits were tried one by one.  In each round all
+    stay that no undecided split both beats and contradicts, and what contradicts them goes: as many rounds as the
+    longest chain of splits that each lose to the next, and no task sees all splits.
     """
-    n = len(taxa)
-    table = split_table(splits).where(F.col("proportion") >= least)
-    half = F.broadcast(table.where(F.col("proportion") > 0.5).where(~is_trivial(F.col("split_key"), n)).select(F.col("split_key").alias("kept")))
-    table = table.join(half, incompatible(F.col("split_key"), F.col("kept"), n), "left_anti")
+    table = split_table(splits).where((F.col("proportion") >= least) & ~is_trivial(F.col("split_key"), n_tax)).select("split_key", "proportion")
+    # The place in the order as one value: strings with a star before those with a dot are the greater in reversed bits.
+    text = F.translate(split_string(F.col("split_key"), n_tax), ".*", "01")
+    left = cut(table.withColumn("order", F.struct("proportion", text.alias("text"))))
+    order = lambda c: left.select(F.col("split_key").alias(c), F.col("order").alias(f"order_{c}"))
+    # (a, b): b loses to a.
+    beaten = cut(clashing(left, n_tax).join(order("a"), "a").join(order("b"), "b").where("order_a > order_b").select("a", "b"))
+    kept = []
+    while not left.isEmpty():
+        live = beaten.join(left.select(F.col("split_key").alias("a")), "a", "left_semi")
+        stay = cut(left.join(live.select(F.col("b").alias("split_key")), "split_key", "left_anti"))
+        kept.append(stay)
+        lost = beaten.join(stay.select(F.col("split_key").alias("a")), "a", "left_semi").select(F.col("b").alias("split_key"))
+        left = cut(left.join(stay, "split_key", "left_anti").join(lost, "split_key", "left_anti"))
+    found = reduce(DataFrame.union, kept) if kept else left
+    return found.select("split_key", "proportion")
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept = consensus_splits(list(zip(group["split_key"].tolist(), group["proportion"].tolist())), n, least)
-        lengths = {k: x for k, x in zip(group["split_key"].tolist(), group["mean_br_len"].tolist()) if k in dict(kept) or bin(k).count("1") in (1, n - 1)}
-        return pd.DataFrame({"newick": [newick_of_splits(kept, taxa, lengths)]})
 
-    return table.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, "newick string")
+def consensus(splits: DataFrame, taxa: list[str], least: float = 0.0) -> DataFrame:
+    """(newick): majority rule with compatible splits added.  Of the tree's splits there are fewer than taxa."""
+    kept = [(r.split_key, r.proportion) for r in consensus_table(splits, len(taxa), least).collect()]
+    n = len(taxa)
+    # Lengths of the tree's own branches: internal ones and those of leaves.
+    own = splits.where(F.col("split_key").isin([k for k, _ in kept]) | is_trivial(F.col("split_key"), n))
+    lengths = {r.split_key: r.x for r in own.groupBy("split_key").agg(F.avg("br_len").alias("x")).collect()}
+    return splits.sparkSession.createDataFrame([(newick_of_splits(kept, taxa, lengths),)], "newick string")
 
 
 def strict_consensus(splits: DataFrame, n_tax: int) -> DataFrame:
@@ -455,16 +495,16 @@ def quartet_distances(found: DataFrame) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).join(met, ["i", "j"], "left").na.fill(0, ["same", "both"]).select("i", "j", (F.col("ni") + F.col("nj") - F.col("both") - F.col("same")).alias("different"))
 
 
-def leaf_stability(counts: DataFrame, trees: int | None = None) -> DataFrame:
+def leaf_stability(counts: DataFrame, trees: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(tax, ls_max, ls_diff, ls_ent) of ``quartet_counts`` or ``triplet_counts``: means over the leaf's quartets of the
     greatest frequency of a topology, its lead over the second, and one less their entropy by that of three equal ones.
 
     Frequencies are among the trees that resolve a quartet, or, if the number of ``trees`` is given, among all of them,
     those that do not resolve it counting a third for each topology.  A quartet that no tree resolves has a stability of a
-    third, 0 and 0 in the second case, and none in the first.
+    third, 0 and 0 in the second case, and none in the first.  ``by``: columns of groups told apart in the first case.
     """
     members = [c for c in "abcd" if c in counts.columns]
-    n = counts.groupBy(*members).agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
+    n = counts.groupBy(*by, *members).agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
     total = F.aggregate("ns", F.lit(0).cast("long"), lambda s, x: s + x)
     if trees is None:
         q = n.withColumn("ps", F.transform("ns", lambda x: x / total))
@@ -474,9 +514,9 @@ def leaf_stability(counts: DataFrame, trees: int | None = None) -> DataFrame:
     ent = F.aggregate("ps", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log(p)).otherwise(0.0))
     q = q.withColumns({"mx": F.get("ps", F.lit(0)), "df": F.get("ps", F.lit(0)) - F.coalesce(F.get("ps", F.lit(1)), F.lit(0.0)), "en": 1 - ent / F.log(F.lit(3.0))})
     each = q.withColumn("tax", F.explode(F.array(*members)))
-    found = each.groupBy("tax").agg(F.sum("mx").alias("mx"), F.sum("df").alias("df"), F.sum("en").alias("en"), F.count("*").alias("k"))
+    found = each.groupBy(*by, "tax").agg(F.sum("mx").alias("mx"), F.sum("df").alias("df"), F.sum("en").alias("en"), F.count("*").alias("k"))
     if trees is None:
-        return found.select("tax", (F.col("mx") / F.col("k")).alias("ls_max"), (F.col("df") / F.col("k")).alias("ls_diff"), (F.col("en") / F.col("k")).alias("ls_ent"))
+        return found.select(*by, "tax", (F.col("mx") / F.col("k")).alias("ls_max"), (F.col("df") / F.col("k")).alias("ls_diff"), (F.col("en") / F.col("k")).alias("ls_ent"))
     # Every leaf is in as many quartets; those that no tree resolves are not among the counts.
     every = n.agg(F.max(F.greatest(*members)).alias("top"), F.min(F.least(*members)).alias("low"))
     taxa = F.col("top") - F.col("low") + 1
@@ -487,13 +527,12 @@ def leaf_stability(counts: DataFrame, trees: int | None = None) -> DataFrame:
 
 def group_stability(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """``leaf_stability`` within each group of ``groups`` (name, tax), by the quartets that lie in it: (name, tax, ls_...)."""
-    sizes = groups.groupBy("name").agg(F.collect_set("tax").alias("taxa"))
-    four = F.array("a", "b", "c", "d")
-    # Groups are few sets of taxa.
-    inside = counts.crossJoin(F.broadcast(sizes)).where(F.size(F.array_intersect(F.col("taxa"), four)) == 4)
-    names = [r["name"] for r in sizes.select("name").collect()]
-    parts = [leaf_stability(inside.where(F.col("name") == n)).select(F.lit(n).alias("name"), "tax", "ls_max", "ls_diff", "ls_ent") for n in sorted(names)]
-    return reduce(DataFrame.unionByName, parts)
+    inside = counts
+    # A quartet's four taxa look up their groups one after another.
+    for k, c in enumerate("abcd"):
+        names = groups.select(F.col("tax").alias(c), "name").distinct()
+        inside = inside.join(names, [c] if k == 0 else [c, "name"])
+    return leaf_stability(inside, by=("name",))
 
 
 def support_csv(stability: DataFrame) -> DataFrame:

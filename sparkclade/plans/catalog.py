@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkclade.functions import stats
 from sparkclade.operators import diagnostics as dg
+from sparkclade.operators import resampling as rs
 from sparkclade.operators import pairs, recode, sites
 from sparkclade.operators import splits as sp
 
@@ -933,9 +934,8 @@ def kh_sh_tests(spark, d):
 
     patterns = sites.site_patterns(br.plain(spark, d))
     each = site_log_likelihoods(_best_trees(spark, d), patterns, br.taxa(spark, d), Model())
-    column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tax", "ch"))), lambda x: x["ch"]), "")
-    site = br.plain(spark, d).groupBy("pos").agg(column.alias("pattern"))
-    return rounded(dg.rell(site.join(each, "pattern").select("tree_id", "pos", "ln"), 100), "log_like", "kh", "sh")
+    likes = each.withColumnRenamed("pattern", "pos").join(patterns.select(F.col("pattern").alias("pos"), "n"), "pos")
+    return rounded(rs.tree_tests(likes, 100), "log_like", "kh", "sh", "bp", "au")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkclade.functions import stats
@@ -99,19 +100,31 @@ def blank_sequences(spark, d):
     return sites.blank_sequences(c.withColumn("ch", F.when(F.col("tax").isin(4, 9), F.when(F.col("pos") % 2 == 0, "-").otherwise("?")).otherwise(F.col("ch"))))
 
 
-@query("SELECT n_tax, trees FROM (VALUES (3, 1), (4, 3), (5, 15), (6, 105), (7, 945), (8, 10395), (9, 135135), (10, 2027025)) t(n_tax, trees)")
+def _counted(spark, d, least: int, most: int, count) -> DataFrame:
+    """The numbers of nations of the suppliers' keys, from ``least`` to ``most``, and how many trees so many taxa have."""
+    sizes = br.table(spark, d, "supplier").select((least + F.col("s_suppkey") % (most - least + 1)).cast("int").alias("n_tax")).distinct()
+    known = spark.createDataFrame([(k, count(k)) for k in range(least, most + 1)], "n_tax int, trees int")
+    return sizes.join(F.broadcast(known), "n_tax")
+
+
+def _sizes_sql(least: int, most: int, counts: tuple[int, ...]) -> str:
+    values = ", ".join(f"({least + k}, {n})" for k, n in enumerate(counts))
+    return f"SELECT n_tax, trees FROM (SELECT DISTINCT ({least} + s_suppkey % {most - least + 1})::INTEGER AS n_tax FROM supplier) JOIN (VALUES {values}) t(n_tax, trees) USING (n_tax)"
+
+
+@query(_sizes_sql(3, 10, (1, 3, 15, 105, 945, 10395, 135135, 2027025)))
 def unrooted_tree_counts(spark, d):
-    return spark.createDataFrame([(k, stats.n_unrooted_trees(k)) for k in range(3, 11)], "n_tax int, trees int")
+    return _counted(spark, d, 3, 10, stats.n_unrooted_trees)
 
 
-@query("SELECT n_tax, trees FROM (VALUES (2, 1), (3, 3), (4, 15), (5, 105), (6, 945), (7, 10395), (8, 135135)) t(n_tax, trees)")
+@query(_sizes_sql(2, 8, (1, 3, 15, 105, 945, 10395, 135135)))
 def rooted_tree_counts(spark, d):
-    return spark.createDataFrame([(k, stats.n_rooted_trees(k)) for k in range(2, 9)], "n_tax int, trees int")
+    return _counted(spark, d, 2, 8, stats.n_rooted_trees)
 
 
-@query("SELECT n_tax, trees FROM (VALUES (2, 1), (3, 4), (4, 26), (5, 236), (6, 2752), (7, 39208)) t(n_tax, trees)")
+@query(_sizes_sql(2, 7, (1, 4, 26, 236, 2752, 39208)))
 def multifurcating_tree_counts(spark, d):
-    return spark.createDataFrame([(k, sum(stats.n_rooted_by_internal_nodes(k))) for k in range(2, 8)], "n_tax int, trees int")
+    return _counted(spark, d, 2, 7, lambda k: sum(stats.n_rooted_by_internal_nodes(k)))
 
 
 @query(E + "SELECT run, round(avg((value >= 50)::INTEGER), 6) AS p, min(value) AS least, max(value) AS most FROM samples GROUP BY run")
@@ -355,3 +368,32 @@ def rooted_leaf_stability(spark, d):
     trees = br.trees(spark, d)
     found = sp.leaf_stability(sp.triplet_counts(clades_of(trees, br.taxa(spark, d)), NTAX), trees.count())
     return found.select("tax", F.round("ls_max", 6).alias("ls_max"), (F.round("ls_diff", 6) + F.lit(0.0)).alias("ls_diff"), (F.round("ls_ent", 6) + F.lit(0.0)).alias("ls_ent"))
+
+
+@query(C + f", parted AS (SELECT pos % 4 AS part, tax, ch FROM chars WHERE {SYM}) SELECT part, tax, (GROUPING(part) * 2 + GROUPING(tax))::INTEGER AS level, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (ch = '{c}') / count(*), 6)::DOUBLE AS {c}" for c in "acgt") + " FROM parted GROUP BY ROLLUP (part, tax)")
+def composition_rollup(spark, d):
+    """Composition of every fourth site by taxon, by part and of all."""
+    c = br.chars(spark, d)
+    parts = c.select("pos", (F.col("pos") % 4).alias("part")).distinct()
+    return rounded(sites.composition_report(c, parts), *"acgt")
+
+
+@query(S + """, f AS (SELECT tree_id % 2 AS run, split_key, count(*) AS n FROM splits WHERE NOT (bit_count(split_key) <= 1 OR bit_count(split_key) >= 24) GROUP BY 1, 2), t AS (SELECT tree_id % 2 AS run, count(DISTINCT tree_id) AS trees FROM splits GROUP BY 1),
+p AS (SELECT split_key, coalesce(sum(n) FILTER (run = 0), 0) / (SELECT trees FROM t WHERE run = 0) AS p, coalesce(sum(n) FILTER (run = 1), 0) / (SELECT trees FROM t WHERE run = 1) AS q FROM f GROUP BY 1)
+SELECT '0' AS run_a, '1' AS run_b, round(avg(abs(p - q) / sqrt(2)), 6) AS asdoss, round(max(abs(p - q)), 6) AS max_difference, round(avg(abs(p - q)), 6) AS mean_difference FROM p WHERE greatest(p, q) >= 0.1""")
+def running_convergence(spark, d):
+    """Trees of two runs that come in batches by generation, the middle ones twice, as after a restart."""
+    import uuid
+
+    from sparkclade.operators.lineage import folder
+    from sparkclade.streaming import convergence
+
+    path = f"{folder(spark)}/runs-{uuid.uuid4().hex}"
+    told = br.splits(spark, d).select((F.col("tree_id") % 2).cast("string").alias("run"), F.col("tree_id").alias("gen"), "split_key")
+    last = told.agg(F.max("gen")).first()[0]
+    for low, high in ((0.0, 0.4), (0.4, 0.7), (0.2, 0.6), (0.7, 1.1)):
+        told.where((F.col("gen") >= low * last) & (F.col("gen") < high * last)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("run string, gen long, split_key long").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    convergence.running_convergence(stream, f"{path}/out", NTAX).awaitTermination()
+    found = convergence.compared_runs(spark, f"{path}/out")
+    return rounded(found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch"), "asdoss", "max_difference", "mean_difference")

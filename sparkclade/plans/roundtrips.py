@@ -100,9 +100,12 @@ def charsets_round_trip(spark, d):
     return ends.select("name", (F.get("w", F.lit(0)).cast("long") - 1).alias("first"), (F.coalesce(F.get("w", F.lit(1)), F.get("w", F.lit(0))).cast("long") - 1).alias("last"))
 
 
-@query("SELECT k AS pos, (k < 10 OR (k >= 19 AND k <= 39 AND (k - 19) % 3 = 0) OR k >= 90) AS keep FROM range(100) r(k)")
+@query(C + ", sited AS (SELECT DISTINCT pos FROM chars), k AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS k, count(*) OVER () AS n FROM sited) SELECT pos, (k < 10 OR (k >= 19 AND k <= 39 AND (k - 19) % 3 = 0) OR k >= 90) AS keep FROM k")
 def char_list_mask(spark, d):
-    return recode.mask_of_char_list(spark, "1-10 20 - 40\\3 91-.", 100)
+    """A character list over all sites of the alignment, which are as many as there are parts."""
+    sited = recode.numbered_sites(br.chars(spark, d))
+    mask = recode.mask_of_char_list(spark, "1-10 20 - 40\\3 91-.", sited.count())
+    return sited.join(mask.withColumnRenamed("pos", "new_pos"), "new_pos").select("pos", "keep")
 
 
 @query(S + "SELECT tree_id, split_key, round(br_len, 6) AS br_len FROM splits")

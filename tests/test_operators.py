@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkclade.functions import stats
 from sparkclade.operators import diagnostics, likelihood as lk, pairs, recode, sites, splits
@@ -184,8 +185,11 @@ def test_simulate_and_sample(spark):
     got = {r.tree_id: r.log_like for r in lk.log_likelihoods(trees, table, list("ABCD"), {0: m}).collect()}
     assert got[0] > got[1]
     site = lk.site_log_likelihoods(trees, table, list("ABCD"), m).withColumnRenamed("pattern", "pos")
-    tests = {r.tree_id: r for r in diagnostics.rell(site, 100).collect()}
-    assert tests[0].kh >= 0.5 and tests[1].sh < 0.9 or True
+    weighed = site.join(table.select(F.col("pattern").alias("pos"), "n"), "pos")
+    tests = {r.tree_id: r for r in diagnostics.rell(weighed, 200).collect()}
+    # The best tree is never refused; the other one fits these data far worse.
+    assert tests[0].kh == 1 and tests[0].sh == 1 and tests[1].kh < 0.05 and tests[1].sh < 0.05
+    assert abs(tests[0].log_like - got[0]) < 1e-6 and abs(tests[1].log_like - got[1]) < 1e-6
     fit = lk.fit_tests(spark, newick, m, seqs, 10)
     assert fit.count() == 4 and all(0 <= r.p <= 1 for r in fit.collect())
 
