@@ -183,8 +183,11 @@ def bootstrap(chars: DataFrame, n_sites: int, replicates: int, seed: int = 1, pa
     return picked.join(sites.select("subset", "k", "pos"), ["subset", "k"]).join(chars, "pos").select("replicate", "new_pos", "tax", "ch")
 
 
-def neighbour_joining(distances: DataFrame) -> DataFrame:
-    """(set, newick): the neighbour-joining tree of each set of a table (set, i, j, d); one task a set."""
+def neighbour_joining(distances: DataFrame, weighed: bool = False) -> DataFrame:
+    """(set, newick): the neighbour-joining tree of each set of a table (set, i, j, d); one task a set.
+
+    ``weighed``: distances to a new node are weighed to the least variance (BIONJ), where plain joining takes the mean.
+    """
 
     def join(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*g["i"], *g["j"]})
@@ -192,25 +195,30 @@ def neighbour_joining(distances: DataFrame) -> DataFrame:
         d = np.zeros((len(names),) * 2)
         for i, j, x in zip(g["i"], g["j"], g["d"]):
             d[at[i], at[j]] = d[at[j], at[i]] = x
-        return pd.DataFrame([(key[0], nj_newick([str(n) for n in names], d))], columns=["set", "newick"])
+        return pd.DataFrame([(key[0], nj_newick([str(n) for n in names], d, weighed))], columns=["set", "newick"])
 
     kind = distances.schema["set"].dataType.simpleString()
     return distances.groupBy("set").applyInPandas(join, f"set {kind}, newick string")
 
 
-def nj_newick(names: list[str], d: np.ndarray) -> str:
-    """Saitou and Nei's joining, least Q first, ties by place."""
+def nj_newick(names: list[str], d: np.ndarray, weighed: bool = False) -> str:
+    """Saitou and Nei's joining, least Q first, ties by place; ``weighed``: Gascuel's variances, in proportion to distances."""
     labels, d = list(names), d.astype(float).copy()
+    v = d.copy()
     while len(labels) > 3:
         n, r = len(labels), d.sum(1)
         q = (n - 2) * d - r[:, None] - r[None, :]
         np.fill_diagonal(q, np.inf)
         i, j = sorted(np.unravel_index(int(np.argmin(q)), q.shape))
         a = d[i, j] / 2 + (r[i] - r[j]) / (2 * (n - 2))
-        new = (d[i] + d[j] - d[i, j]) / 2
+        share = 0.5
+        if weighed and v[i, j] > 0:
+            share = min(1.0, max(0.0, 0.5 + (v[j].sum() - v[i].sum()) / (2 * (n - 2) * v[i, j])))
+        new = share * (d[i] - a) + (1 - share) * (d[j] - d[i, j] + a)
         label = f"({labels[i]}:{a:.10g},{labels[j]}:{d[i, j] - a:.10g})"
         keep = [k for k in range(n) if k not in (i, j)]
-        d = np.block([[d[np.ix_(keep, keep)], new[keep][:, None]], [new[keep][None, :], np.zeros((1, 1))]])
+        joined = share * v[i] + (1 - share) * v[j] - share * (1 - share) * v[i, j]
+        d, v = (np.block([[x[np.ix_(keep, keep)], y[keep][:, None]], [y[keep][None, :], np.zeros((1, 1))]]) for x, y in ((d, new), (v, joined)))
         labels = [labels[k] for k in keep] + [label]
     if len(labels) == 3:
         a, b, c = d[0, 1], d[0, 2], d[1, 2]

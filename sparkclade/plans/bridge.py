@@ -101,8 +101,8 @@ def taxa(spark: SparkSession, sf_dir: str) -> list[str]:
     return [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
 
 
-def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tree_id long, newick string) of the splits, leaves by name."""
+def trees(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """(tree_id long, newick string) of the splits, leaves by name; of the trees ``only`` (tree_id), if given."""
     import pandas as pd
 
     from sparkclade.operators.splits import newick_of_splits
@@ -113,4 +113,6 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         lengths = dict(zip(g["split_key"].tolist(), g["br_len"].tolist()))
         return pd.DataFrame([(key[0], newick_of_splits([(k, None) for k in lengths], names, lengths))], columns=["tree_id", "newick"])
 
-    return splits(spark, sf_dir).groupBy("tree_id").applyInPandas(build, "tree_id long, newick string")
+    told = splits(spark, sf_dir)
+    told = told if only is None else told.join(only, "tree_id", "left_semi")
+    return told.groupBy("tree_id").applyInPandas(build, "tree_id long, newick string")

@@ -915,10 +915,9 @@ def _patterns(spark, d):
     return sites.site_patterns(br.plain(spark, d)).select(F.lit(0).alias("part_id"), "pattern", "n")
 
 
-def _best_trees(spark, d):
+def _first_trees(spark, d):
     """The first tree of each topology."""
-    first = sp.tree_probabilities(br.splits(spark, d), NTAX).select(F.col("first_tree").alias("tree_id"))
-    return br.trees(spark, d).join(first, "tree_id", "left_semi")
+    return br.trees(spark, d, sp.tree_probabilities(br.splits(spark, d), NTAX).select(F.col("first_tree").alias("tree_id")))
 
 
 @query()
@@ -933,7 +932,7 @@ def kh_sh_tests(spark, d):
     from sparkclade.operators.likelihood import Model, site_log_likelihoods
 
     patterns = sites.site_patterns(br.plain(spark, d))
-    each = site_log_likelihoods(_best_trees(spark, d), patterns, br.taxa(spark, d), Model())
+    each = site_log_likelihoods(_first_trees(spark, d), patterns, br.taxa(spark, d), Model())
     likes = each.withColumnRenamed("pattern", "pos").join(patterns.select(F.col("pattern").alias("pos"), "n"), "pos")
     return rounded(rs.tree_tests(likes, 100), "log_like", "kh", "sh", "bp", "au")
 

@@ -122,3 +122,18 @@ def test_running_convergence(spark, tmp_path):
     assert abs(last.asdoss - want.asdoss) < 1e-12 and abs(last.max_difference - want.max_difference) < 1e-12
     first = sp.compare_runs(spark.createDataFrame([r for r in rows if r[1] < 10], "run string, tree_id long, split_key long"), 7).first()
     assert abs(found.where("batch = 0").first().asdoss - first.asdoss) < 1e-12
+
+
+def test_weighed_joining():
+    """Path lengths give their tree back under either weighing; of others, the new node's distances have the least variance."""
+    from sparkclade.sources.newick import parse_newick, split_keys
+
+    names = list("ABCDE")
+    length = {"A": 0.1, "B": 0.4, "C": 0.2, "D": 0.7, "E": 0.3}
+    inner = {frozenset("AB"): 0.15, frozenset("ABC"): 0.25}
+    d = np.array([[0 if x == y else length[x] + length[y] + sum(v for k, v in inner.items() if (x in k) != (y in k)) for y in names] for x in names])
+    for weighed in (False, True):
+        found = {k: x for _, _, k, x in split_keys(parse_newick(pairs.nj_newick(names, d, weighed)), {c: i for i, c in enumerate(names)})}
+        assert abs(found[24] - 0.25) < 1e-9 and abs(found[28] - 0.15) < 1e-9 and abs(found[2] - 0.4) < 1e-9 and abs(found[8] - 0.7) < 1e-9
+    noisy = d + np.array([[0, 0, 3, 1, 2], [0, 0, 1, 2, 0], [3, 1, 0, 1, 1], [1, 2, 1, 0, 0], [2, 0, 1, 0, 0]]) * 0.02
+    assert pairs.nj_newick(names, noisy, True) != pairs.nj_newick(names, noisy)
