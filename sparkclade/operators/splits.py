@@ -446,11 +446,22 @@ def resolved(side: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return rest[found], topology[found]
 
 
-def quartets(splits: DataFrame, n_tax: int, with_first: int | None = None) -> DataFrame:
+#: Multipliers of a quartet's taxa, and of their sum, for a hash of 32 bits that SQL can work out too.
+SPREAD, GOLDEN = (7919, 104729, 1299709, 15485863), 2654435761
+
+
+def in_sample(first: int, rest: np.ndarray, fraction: float, seed: int = 0) -> np.ndarray:
+    """Whether each quartet of ``first`` and three taxa is in a sample: by hash of the four, so the same of every tree."""
+    code = first * SPREAD[0] + rest.astype(np.int64) @ np.array(SPREAD[1:], np.int64) + seed
+    return (code * GOLDEN) % (1 << 32) < fraction * (1 << 32)
+
+
+def quartets(splits: DataFrame, n_tax: int, with_first: int | None = None, fraction: float = 1.0) -> DataFrame:
     """(tree_id, a, b, c, d, topology): resolved quartets a < b < c < d; topology 1 is ab|cd, 2 ac|bd, 3 ad|bc.
 
     A tree's splits are laid over all quartets at once, those of one first taxon at a time; cost is of the fourth power
-    in the taxa, and of the third if only the quartets ``with_first`` taxon are asked for.
+    in the taxa, and of the third if only the quartets ``with_first`` taxon are asked for.  Of ``fraction`` of them
+    (``in_sample``) alone are rows made.
     """
     inner = splits.where(~is_trivial(F.col("split_key"), n_tax)).select("tree_id", "split_key")
 
@@ -459,6 +470,9 @@ def quartets(splits: DataFrame, n_tax: int, with_first: int | None = None) -> Da
         out = []
         for first in range(n_tax - 3) if with_first is None else (with_first,):
             rest, topology = resolved(side, first)
+            if fraction < 1:
+                some = in_sample(first, rest, fraction)
+                rest, topology = rest[some], topology[some]
             out.append(pd.DataFrame({"a": first, "b": rest[:, 0], "c": rest[:, 1], "d": rest[:, 2], "topology": topology}))
         found = pd.concat(out)
         return found.assign(tree_id=key[0])[["tree_id", "a", "b", "c", "d", "topology"]]
@@ -466,14 +480,14 @@ def quartets(splits: DataFrame, n_tax: int, with_first: int | None = None) -> Da
     return inner.groupBy("tree_id").applyInPandas(expand, "tree_id long, a int, b int, c int, d int, topology int")
 
 
-def quartet_counts(splits: DataFrame, n_tax: int, with_first: int | None = None) -> DataFrame:
+def quartet_counts(splits: DataFrame, n_tax: int, with_first: int | None = None, fraction: float = 1.0) -> DataFrame:
     """(a, b, c, d, topology, n): in how many trees each quartet is resolved so.
 
     Trees of one topology resolve the same quartets, so one of each is expanded and weighs as many as there are.
     """
     kinds = tree_probabilities(splits, n_tax).select(F.col("first_tree").alias("tree_id"), "n")
     some = splits.join(kinds.select("tree_id"), "tree_id", "left_semi")
-    return quartets(some, n_tax, with_first).join(kinds, "tree_id").groupBy("a", "b", "c", "d", "topology").agg(F.sum("n").alias("n"))
+    return quartets(some, n_tax, with_first, fraction).join(kinds, "tree_id").groupBy("a", "b", "c", "d", "topology").agg(F.sum("n").alias("n"))
 
 
 def triplet_counts(clades: DataFrame, n_tax: int) -> DataFrame:
@@ -525,6 +539,21 @@ def leaf_stability(counts: DataFrame, trees: int | None = None, by: tuple[str, .
     return whole.select("tax", ((F.col("mx") + (F.col("many") - F.col("k")) / 3) / F.col("many")).alias("ls_max"), (F.col("df") / F.col("many")).alias("ls_diff"), (F.col("en") / F.col("many")).alias("ls_ent"))
 
 
+def sampled_stability(splits: DataFrame, n_tax: int, fraction: float) -> DataFrame:
+    """(tax, n, ls_max, ls_diff, and the error of each): leaf stability by a sample of ``fraction`` of the quartets.
+
+    n: the leaf's quartets in the sample.  An error is the standard error of a mean over a part of all quartets drawn
+    without replacement, and 0 where the sample is all of them; null with a single quartet.
+    """
+    counts = quartet_counts(splits, n_tax, None, fraction)
+    n = counts.groupBy(*"abcd").agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
+    total = F.aggregate("ns", F.lit(0).cast("long"), lambda s, x: s + x)
+    q = n.select(*"abcd", (F.get("ns", F.lit(0)) / total).alias("mx"), ((F.get("ns", F.lit(0)) - F.coalesce(F.get("ns", F.lit(1)), F.lit(0))) / total).alias("df"))
+    each = q.withColumn("tax", F.explode(F.array(*"abcd")))
+    error = lambda c: F.stddev_samp(c) * F.sqrt((1 - F.lit(float(fraction))) / F.count("*"))
+    return each.groupBy("tax").agg(F.count("*").alias("n"), F.avg("mx").alias("ls_max"), F.avg("df").alias("ls_diff"), error("mx").alias("ls_max_error"), error("df").alias("ls_diff_error"))
+
+
 def group_stability(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """``leaf_stability`` within each group of ``groups`` (name, tax), by the quartets that lie in it: (name, tax, ls_...)."""
     inside = counts

@@ -287,3 +287,19 @@ def test_consensus_in_rounds(spark):
     assert {r.split_key: r.proportion for r in sp.consensus_table(rows, 9).collect()} == pytest.approx(want)
     clash = {(r.a, r.b) for r in sp.clashing(rows, 9).collect()}
     assert clash == {(a, b) for a in table for b in table if a & b and a & ~b and b & ~a}
+
+
+def test_sampled_stability(spark):
+    """All quartets: the measure itself, without error; a third of them: within the stated error, nearly always."""
+    from sparkclade.operators import splits as sp
+
+    rng = random.Random(21)
+    trees = [random_tree(rng, range(14)) for _ in range(3)]
+    rows = spark.createDataFrame([(t, k) for t, keys in enumerate(trees) for k in keys], "tree_id long, split_key long")
+    whole = {r.tax: r for r in sp.leaf_stability(sp.quartet_counts(rows, 14)).collect()}
+    full = {r.tax: r for r in sp.sampled_stability(rows, 14, 1.0).collect()}
+    assert all(abs(full[t].ls_max - r.ls_max) < 1e-12 and abs(full[t].ls_diff - r.ls_diff) < 1e-12 and full[t].ls_max_error == 0 for t, r in whole.items())
+    some = sp.sampled_stability(rows, 14, 1 / 3).collect()
+    assert 14 == len(some) and 0.25 * 286 * 14 < sum(r.n for r in some) < 0.42 * 286 * 14
+    off = [abs(r.ls_max - whole[r.tax].ls_max) / r.ls_max_error for r in some]
+    assert max(off) < 4.5 and sum(x < 2.5 for x in off) >= 12
