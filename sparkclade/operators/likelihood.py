@@ -486,6 +486,10 @@ def accepted(ln_ratio: float, rng: np.random.Generator) -> bool:
     return ln_ratio >= 0 or (ln_ratio > -100 and rng.random() < np.exp(ln_ratio))
 
 
+#: Share of invariant sites at most; rows of samples that a task hands on at once.
+MOST_INVARIANT, ROWS_AT_ONCE = 0.999, 10_000
+
+
 class Chain:
     """One Metropolis-Hastings chain over lengths, topology, composition, rates and gamma shape."""
 
@@ -495,6 +499,12 @@ class Chain:
         self.log_like = self.engine.log_like(self.nodes)
         self.tried: dict[tuple[str, bool], int] = {}
 
+    @property
+    def ln_prior(self) -> float:
+        """Log of the prior's density, but for a constant: exponential lengths and shape, the rest flat."""
+        lengths = sum(n.length if n.length is not None else 0.1 for n in self.nodes[1:])
+        return -self.prior * lengths - (self.engine.model.gamma_shape or 0.0)
+
     def step(self) -> None:
         moves = ["length"] * 6 + ["topology"] * 2 + ["composition", "rates"] + (["shape"] if self.engine.model.gamma_shape is not None else []) + (["invariant"] if self.engine.model.p_invariant else [])
         move = moves[self.rng.integers(len(moves))]
@@ -516,7 +526,8 @@ class Chain:
         elif move == "invariant":
             # A flat prior and a step that is as likely back: reflected at the ends.
             p = abs(m.p_invariant + 0.1 * (self.rng.random() - 0.5))
-            engine = Likelihood(*self.data, replace(m, p_invariant=min(max(p, 1e-9), 0.999)))
+            p = p if p <= MOST_INVARIANT else 2 * MOST_INVARIANT - p
+            engine = Likelihood(*self.data, replace(m, p_invariant=max(p, 1e-12)))
         else:
             old = np.asarray(m.compositions[0] if move == "composition" else m.rates[0], float)
             old = old / old.sum()
@@ -532,6 +543,14 @@ class Chain:
             self.nodes, self.engine, self.log_like = nodes, engine, now
 
 
+def exchanged(a: Chain, b: Chain, rng: np.random.Generator) -> bool:
+    """Whether two chains change temperatures.  What is heated is the posterior, so priors count in the exchange as well."""
+    if not accepted((a.beta - b.beta) * (b.log_like + b.ln_prior - a.log_like - a.ln_prior), rng):
+        return False
+    a.beta, b.beta = b.beta, a.beta
+    return True
+
+
 def last_samples(samples: DataFrame) -> dict[int, tuple[int, str, dict[str, float]]]:
     """By run: the last generation, its tree and its parameters; a row a run and parameter."""
     top = samples.groupBy("run").agg(F.max("gen").alias("gen"))
@@ -575,6 +594,7 @@ def mcmc(spark, patterns: list[str], weights: list[float], taxa: list[str], mode
     last one, all its chains from there.
     """
     last = last_samples(resume) if resume is not None else {}
+    names = ["run", "gen", "log_like", "newick", "name", "value"]
 
     def run(frames):
         for f in frames:
@@ -589,10 +609,8 @@ def mcmc(spark, patterns: list[str], weights: list[float], taxa: list[str], mode
                         c.step()
                     if chains > 1:
                         i = int(rng.integers(chains - 1))
-                        a, b = own[i], own[i + 1]
-                        if accepted((a.beta - b.beta) * (b.log_like - a.log_like), rng):
-                            a.beta, b.beta = b.beta, a.beta
-                            own[i], own[i + 1] = b, a
+                        if exchanged(own[i], own[i + 1], rng):
+                            own[i], own[i + 1] = own[i + 1], own[i]
                     if g % interval == 0:
                         cold, m = own[0], own[0].engine.model
                         values = {f"comp_{s}": p for s, p in zip(m.symbols, m.compositions[0])} | {f"rate_{k}": x for k, x in enumerate(m.rates[0])}
@@ -600,6 +618,9 @@ def mcmc(spark, patterns: list[str], weights: list[float], taxa: list[str], mode
                         values |= {"invariant": m.p_invariant} if m.p_invariant else {}
                         text = write_newick(cold.nodes)
                         rows += [(int(r), g, cold.log_like, text, k, float(x)) for k, x in values.items()]
-                yield pd.DataFrame(rows, columns=["run", "gen", "log_like", "newick", "name", "value"])
+                        if len(rows) >= ROWS_AT_ONCE:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                yield pd.DataFrame(rows, columns=names)
 
     return spark.range(runs, numPartitions=runs).mapInPandas(run, "run long, gen long, log_like double, newick string, name string, value double")

@@ -194,6 +194,22 @@ def test_simulate_and_sample(spark):
     assert fit.count() == 4 and all(0 <= r.p <= 1 for r in fit.collect())
 
 
+def test_heated_chains_keep_the_cold_ones_prior():
+    """Without data the cold chain samples lengths from their prior, of mean 0.1, however hot the others are."""
+    rng = np.random.default_rng(5)
+    model, newick = lk.Model(p_invariant=0.4), "(A:0.1,B:0.1,C:0.1);"
+    own = [lk.Chain(["aaa"], [0.0], list("ABC"), model, parse_newick(newick), rng, 9.0 * k) for k in range(2)]
+    lengths, shares = [], []
+    for _ in range(9000):
+        for c in own:
+            c.step()
+        if lk.exchanged(own[0], own[1], rng):
+            own.reverse()
+        lengths += [n.length for n in own[0].nodes[1:]]
+        shares.append(own[0].engine.model.p_invariant)
+    assert 0.085 < np.mean(lengths) < 0.115 and 0 < min(shares) < 0.4 < max(shares) <= lk.MOST_INVARIANT
+
+
 def test_streaming_summary(spark, tmp_path):
     from sparkclade.streaming import samples
 
