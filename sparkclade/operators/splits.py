@@ -1,6 +1,6 @@
 """Set algebra on tree splits: ``splits`` (tree_id, split_key, br_len) with canonical keys (bit 0 clear), leaves included.
 
-Keys are longs for up to 62 taxa; all comparisons are equi joins on the key.
+Keys are longs for up to 62 taxa and arrays of longs beyond (``taxon_sets``); all comparisons are equi joins on the key.
 """
 
 from __future__ import annotations
@@ -14,20 +14,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .taxon_sets import as_int, for_taxa, gathered, in_column, members, memberships, of_text
 
 
 def canonical(raw: Column, n_tax: int) -> Column:
-    return F.when(raw.bitwiseAND(F.lit(1)) == 1, raw.bitwiseXOR(F.lit((1 << n_tax) - 1))).otherwise(raw)
+    sets = for_taxa(n_tax)
+    return F.when(sets.holds(raw, F.lit(0)), sets.without(sets.literal((1 << n_tax) - 1, n_tax), raw)).otherwise(raw)
 
 
 def split_string(key: Column, n_tax: int) -> Column:
     """``.`` and ``*`` by taxon."""
+    if n_tax > 62:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n_tax - 1)), lambda i: F.when(for_taxa(n_tax).holds(key, i), "*").otherwise(".")), "")
     return F.concat(*[F.when(key.bitwiseAND(F.lit(1 << i)) != 0, "*").otherwise(".") for i in range(n_tax)])
 
 
 def key_of_string(text: Column, n_tax: int) -> Column:
-    bits = [F.when(F.substring(text, i + 1, 1) == "*", F.lit(1 << i)).otherwise(F.lit(0).cast("long")) for i in range(n_tax)]
-    return reduce(lambda a, b: a + b, bits)
+    return of_text(text, n_tax)
 
 
 def key_of_names(names: list[str], taxa: list[str]) -> int:
@@ -36,12 +39,13 @@ def key_of_names(names: list[str], taxa: list[str]) -> int:
     return raw ^ ((1 << len(taxa)) - 1) if raw & 1 else raw
 
 
-def clade_size(key: Column) -> Column:
-    return F.bit_count(key)
+def clade_size(key: Column, n_tax: int = 62) -> Column:
+    return for_taxa(n_tax).size(key)
 
 
 def is_trivial(key: Column, n_tax: int) -> Column:
-    return (F.bit_count(key) <= 1) | (F.bit_count(key) >= n_tax - 1)
+    size = clade_size(key, n_tax)
+    return (size <= 1) | (size >= n_tax - 1)
 
 
 def split_table(splits: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -108,16 +112,16 @@ def asdoss(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(d / F.sqrt(F.lit(2.0))).alias("asdoss"), F.max(d).alias("max_difference"), F.avg(d).alias("mean_difference"))
 
 
-#: Trees of a block; each two blocks are compared in a task of their own.
-TREES_A_BLOCK = 250
+#: Trees, or splits of many taxa, of a block; each two blocks are compared in a task of their own.
+TREES_A_BLOCK, SPLITS_A_BLOCK = 250, 1_000
 
 
-def blocks_of_pairs(trees: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``trees`` (tree_id, ...) dealt to each two blocks of trees, as the one and as the other: (one, other, ...).
+def blocks_of_pairs(trees: DataFrame, *keep: str, size: int = TREES_A_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``trees`` (tree_id, ...) dealt to each two blocks of ``size`` trees, as the one and as the other: (one, other, ...).
 
     All pairs of trees meet by an equi join on the blocks, whatever their number; nothing is broadcast.
     """
-    n = trees.agg((F.floor(F.approx_count_distinct("tree_id") / TREES_A_BLOCK) + 1).cast("int").alias("blocks"))
+    n = trees.agg((F.floor(F.approx_count_distinct("tree_id") / size) + 1).cast("int").alias("blocks"))
     dealt = trees.crossJoin(F.broadcast(n)).withColumn("own", F.pmod(F.xxhash64("tree_id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     names = ["one", "other", *keep]
@@ -130,7 +134,9 @@ def tree_pairs(splits: DataFrame) -> DataFrame:
     What is in one tree alone follows from the trees' own totals.  A split that all trees have would be a key of as many
     pairs as there are, so blocks of trees meet as matrices of lengths by tree and split.
     """
-    left, right = blocks_of_pairs(splits, "tree_id", "split_key", "br_len")
+    # Within a task a split of many taxa is known by its text.
+    named = splits.withColumn("split_key", F.col("split_key").cast("string")) if in_column(splits, "split_key").wide else splits
+    left, right = blocks_of_pairs(named, "tree_id", "split_key", "br_len")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         keys = np.intersect1d(a["split_key"], b["split_key"])
@@ -176,7 +182,12 @@ def tree_lengths(splits: DataFrame) -> DataFrame:
 
 
 def trees_with_split(splits: DataFrame, key: int) -> DataFrame:
-    return splits.where(F.col("split_key") == key).select("tree_id").distinct()
+    """``key``: a canonical key, as a number whatever the number of taxa."""
+    sets = in_column(splits, "split_key")
+    wanted = sets.literal(key, max(key.bit_length(), 1))
+    # Words beyond the last one that is not 0 are 0 in the key too.
+    same = (F.slice("split_key", 1, F.size(wanted)) == wanted) & (sets.size(F.col("split_key")) == key.bit_count()) if sets.wide else F.col("split_key") == wanted
+    return splits.where(same).select("tree_id").distinct()
 
 
 def consistent_trees(splits: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -215,16 +226,8 @@ def track_splits(splits: DataFrame, order: DataFrame, tracked: DataFrame, window
 
 def incompatible(a: Column, b: Column, n_tax: int) -> Column:
     """Whether two splits cannot be in one tree; canonical keys leave taxon 0 out, so three of four cells are to be looked at."""
-    return (a.bitwiseAND(b) != 0) & (a.bitwiseAND(F.bitwise_not(b)) != 0) & (b.bitwiseAND(F.bitwise_not(a)) != 0)
-
-
-def lowest(mask: Column) -> Column:
-    return mask.bitwiseAND(-mask)
-
-
-def taxa_in(mask: Column, n_tax: int) -> Column:
-    """The taxa of a mask, each as its bit."""
-    return F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(n_tax)]), lambda b: mask.bitwiseAND(b) != 0)
+    sets = for_taxa(n_tax)
+    return sets.some(sets.both(a, b)) & sets.some(sets.without(a, b)) & sets.some(sets.without(b, a))
 
 
 def clashing(kinds: DataFrame, n_tax: int) -> DataFrame:
@@ -233,13 +236,31 @@ def clashing(kinds: DataFrame, n_tax: int) -> DataFrame:
     Of two that do, a has a taxon that b has, and one that b has not.  They meet at the lowest of either kind, so a key is
     two taxa, of which there are as many as the taxa squared, and no key holds a large share of all splits.
     """
-    every = F.lit((1 << n_tax) - 1)
+    sets = for_taxa(n_tax)
+    if sets.wide:
+        return clashing_blocks(kinds, n_tax)
+    every = sets.literal((1 << n_tax) - 1, n_tax)
     told = kinds.select("split_key").distinct()
-    a = told.select(F.col("split_key").alias("a"), F.explode(taxa_in(F.col("split_key"), n_tax)).alias("here")).select("a", "here", F.explode(taxa_in(F.col("a"), n_tax)).alias("there")).where("here <> there")
-    b = told.select(F.col("split_key").alias("b"), F.explode(taxa_in(F.col("split_key"), n_tax)).alias("here")).select("b", "here", F.explode(taxa_in(every.bitwiseAND(F.bitwise_not("b")), n_tax)).alias("there"))
-    both, alone = F.col("a").bitwiseAND(F.col("b")), F.col("a").bitwiseAND(F.bitwise_not("b"))
-    met = a.join(b, ["here", "there"]).where((lowest(both) == F.col("here")) & (lowest(alone) == F.col("there")))
-    return met.where(F.col("b").bitwiseAND(F.bitwise_not("a")) != 0).select("a", "b")
+    a = told.select(F.col("split_key").alias("a"), F.explode(members(F.col("split_key"), n_tax)).alias("here")).select("a", "here", F.explode(members(F.col("a"), n_tax)).alias("there")).where("here <> there")
+    b = told.select(F.col("split_key").alias("b"), F.explode(members(F.col("split_key"), n_tax)).alias("here")).select("b", "here", F.explode(members(sets.without(every, F.col("b")), n_tax)).alias("there"))
+    met = a.join(b, ["here", "there"]).where((sets.first(sets.both(F.col("a"), F.col("b"))) == F.col("here")) & (sets.first(sets.without(F.col("a"), F.col("b"))) == F.col("there")))
+    return met.where(sets.some(sets.without(F.col("b"), F.col("a")))).select("a", "b")
+
+
+def clashing_blocks(kinds: DataFrame, n_tax: int) -> DataFrame:
+    """``clashing`` of splits of many taxa, which would meet at the square of their taxa: each two blocks of splits are
+    compared as matrices by split and taxon, and the number of shared taxa tells which conflict."""
+    told = kinds.select(F.xxhash64("split_key").alias("tree_id"), "split_key").distinct()
+    left, right = blocks_of_pairs(told, "split_key", size=SPLITS_A_BLOCK)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        # Numbers of taxa are small whole numbers, so exact in floats, which multiply faster.
+        x, y = (memberships(t["split_key"], n_tax, each=True).astype(np.float32) for t in (a, b))
+        shared = x @ y.T
+        i, j = np.nonzero((shared > 0) & (shared < x.sum(1)[:, None]) & (shared < y.sum(1)[None, :]))
+        return pd.DataFrame({"a": a["split_key"].to_numpy()[i], "b": b["split_key"].to_numpy()[j]})
+
+    return left.groupBy("one", "other").cogroup(right.groupBy("one", "other")).applyInPandas(compare, "a array<long>, b array<long>")
 
 
 def conflicts(splits: DataFrame, n_tax: int) -> DataFrame:
@@ -262,22 +283,28 @@ def mrp(splits: DataFrame, taxa: DataFrame, tree_taxa: DataFrame, n_tax: int) ->
     """(tree_id, split_key, tax, ch): matrix representation: 1 in the clade, 0 in the tree, ? not in the tree."""
     inner = splits.where(~is_trivial(F.col("split_key"), n_tax)).select("tree_id", "split_key")
     cells = inner.crossJoin(F.broadcast(taxa.select("tax"))).join(tree_taxa.select("tree_id", "tax", F.lit(True).alias("here")), ["tree_id", "tax"], "left")
-    inside = F.getbit("split_key", F.col("tax")) == 1
+    inside = for_taxa(n_tax).holds(F.col("split_key"), F.col("tax"))
     return cells.select("tree_id", "split_key", "tax", F.when(F.col("here").isNull(), "?").when(inside, "1").otherwise("0").alias("ch"))
 
 
+def cut_to_taxa(told: DataFrame) -> DataFrame:
+    """(tree_id, key) of (tree_id, split_key, mask): internal splits cut to the taxa ``mask``, named by the part without
+    the lowest of them."""
+    sets, mask = in_column(told, "mask"), F.col("mask")
+    inside = sets.both(F.col("split_key"), mask)
+    key = F.when(sets.holds(inside, sets.first(mask)), sets.without(mask, inside)).otherwise(inside)
+    size = sets.size(F.col("key"))
+    return told.select("tree_id", "mask", key.alias("key")).where((size > 1) & (size < sets.size(mask) - 1)).select("tree_id", "key").distinct()
+
+
 def supertree_distances(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame) -> DataFrame:
     """(tree_id, sd): symmetric difference of each input tree and the supertree (split_key) cut to its taxa.
 
-    ``tree_masks`` (tree_id, mask): the taxa of each tree.  A split cut to a tree's taxa is named by the part without the
-    lowest of them.
+    ``tree_masks`` (tree_id, mask): the taxa of each tree.
     """
-    low = F.col("mask").bitwiseAND(-F.col("mask"))
-    cut = lambda k: F.when((k.bitwiseAND(F.col("mask"))).bitwiseAND(low) != 0, k.bitwiseAND(F.col("mask")).bitwiseXOR(F.col("mask"))).otherwise(k.bitwiseAND(F.col("mask")))
-    some = (F.bit_count("key") > 1) & (F.bit_count("key") < F.bit_count("mask") - 1)
-    own = splits.join(tree_masks, "tree_id").withColumn("key", cut(F.col("split_key"))).where(some).select("tree_id", "key").distinct()
+    own = cut_to_taxa(splits.join(tree_masks, "tree_id"))
     # The supertree has at most twice as many splits as there are taxa.
-    pruned = tree_masks.crossJoin(F.broadcast(supertree.select("split_key"))).withColumn("key", cut(F.col("split_key"))).where(some).select("tree_id", "key").distinct()
+    pruned = cut_to_taxa(tree_masks.crossJoin(F.broadcast(supertree.select("split_key"))))
     one = own.withColumn("a", F.lit(1)).join(pruned.withColumn("b", F.lit(1)), ["tree_id", "key"], "full").where("a is null or b is null")
     return tree_masks.select("tree_id").join(one.groupBy("tree_id").agg(F.count("*").alias("sd")), "tree_id", "left").na.fill(0, ["sd"])
 
@@ -287,14 +314,16 @@ def judged_support(splits: DataFrame, tree_masks: DataFrame, supertree: DataFram
     to (r) each supertree split."""
     inner = splits.join(tree_masks, "tree_id")
     pairs = tree_masks.crossJoin(F.broadcast(supertree.select("split_key")))
-    cut = F.col("split_key").bitwiseAND(F.col("mask"))
-    pairs = pairs.withColumn("inside", cut).withColumn("outside", F.col("mask").bitwiseAND(F.bitwise_not("split_key")))
-    relevant = (F.bit_count("inside") > 1) & (F.bit_count("outside") > 1)
-    mine = inner.select("tree_id", F.col("split_key").bitwiseAND(F.col("mask")).alias("b"), F.col("mask").alias("m")).distinct()
+    sets = in_column(tree_masks, "mask")
+    key, mask, inside, outside, b, m = (F.col(c) for c in ("split_key", "mask", "inside", "outside", "b", "m"))
+    pairs = pairs.withColumn("inside", sets.both(key, mask)).withColumn("outside", sets.without(mask, key))
+    relevant = (sets.size(inside) > 1) & (sets.size(outside) > 1)
+    mine = inner.select("tree_id", sets.both(key, mask).alias("b"), mask.alias("m")).distinct()
     met = pairs.where(relevant).join(mine, "tree_id")
-    other = F.col("m").bitwiseAND(F.bitwise_not("b"))
-    same = (F.col("b") == F.col("inside")) | (F.col("b") == F.col("outside"))
-    clash = (F.col("inside").bitwiseAND(F.col("b")) != 0) & (F.col("inside").bitwiseAND(other) != 0) & (F.col("outside").bitwiseAND(F.col("b")) != 0) & (F.col("outside").bitwiseAND(other) != 0)
+    same = (b == inside) | (b == outside)
+    meet = lambda x, y: sets.some(sets.both(x, y))
+    # None of the four parts is empty.
+    clash = meet(inside, b) & sets.some(sets.without(inside, b)) & meet(outside, b) & sets.some(sets.without(outside, b))
     judged = met.groupBy("tree_id", "split_key").agg(F.max(same).alias("same"), F.max(clash).alias("clash"))
     kind = F.when(F.col("same").isNull(), "r").when(F.col("same"), "s").when(F.col("clash"), "q").otherwise("p")
     return pairs.select("tree_id", "split_key").join(judged, ["tree_id", "split_key"], "left").select("tree_id", "split_key", kind.alias("kind"))
@@ -317,13 +346,13 @@ def weighted_support(judged: DataFrame) -> DataFrame:
     return t.select("split_key", "ws", "wp", ratio(s - q, s + q).alias("wv"), ratio(s - q + p, s + q + p).alias("wv_plus"), ratio(s - q - p, s + q + p).alias("wv_minus"))
 
 
-def reverse_mrp(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reverse_mrp(matrix: DataFrame, n_tax: int = 62) -> tuple[DataFrame, DataFrame]:
     """Splits (tree_id, split_key) and taxa (tree_id, mask) of the trees that a matrix (tree_id, split_key, tax, ch) represents.
 
     Columns are named by (tree_id, split_key); only their characters are read.
     """
-    bit = F.expr("shiftleft(1L, cast(tax as int))")
-    columns = matrix.groupBy("tree_id", "split_key").agg(F.sum(F.when(F.col("ch") == "1", bit).otherwise(0)).alias("ones"), F.sum(F.when(F.col("ch") != "?", bit).otherwise(0)).alias("mask"))
+    of = lambda c: gathered(F.when(c, F.col("tax")), n_tax)
+    columns = matrix.groupBy("tree_id", "split_key").agg(of(F.col("ch") == "1").alias("ones"), of(F.col("ch") != "?").alias("mask"))
     # All columns of a tree have the same taxa.
     masks = columns.groupBy("tree_id").agg(F.max("mask").alias("mask"), F.assert_true(F.min("mask") == F.max("mask"), "columns of one tree differ in taxa").alias("ok")).select("tree_id", "mask")
     return columns.select("tree_id", F.col("ones").alias("split_key")).distinct(), masks
@@ -416,11 +445,12 @@ def consensus_table(splits: DataFrame, n_tax: int, least: float = 0.0) -> DataFr
 
 def consensus(splits: DataFrame, taxa: list[str], least: float = 0.0) -> DataFrame:
     """(newick): majority rule with compatible splits added.  Of the tree's splits there are fewer than taxa."""
-    kept = [(r.split_key, r.proportion) for r in consensus_table(splits, len(taxa), least).collect()]
     n = len(taxa)
+    table = consensus_table(splits, n, least)
+    kept = [(as_int(r.split_key), r.proportion) for r in table.collect()]
     # Lengths of the tree's own branches: internal ones and those of leaves.
-    own = splits.where(F.col("split_key").isin([k for k, _ in kept]) | is_trivial(F.col("split_key"), n))
-    lengths = {r.split_key: r.x for r in own.groupBy("split_key").agg(F.avg("br_len").alias("x")).collect()}
+    own = splits.join(table, "split_key", "left_semi").unionByName(splits.where(is_trivial(F.col("split_key"), n)))
+    lengths = {as_int(r.split_key): r.x for r in own.groupBy("split_key").agg(F.avg("br_len").alias("x")).collect()}
     return splits.sparkSession.createDataFrame([(newick_of_splits(kept, taxa, lengths),)], "newick string")
 
 
@@ -466,7 +496,7 @@ def quartets(splits: DataFrame, n_tax: int, with_first: int | None = None, fract
     inner = splits.where(~is_trivial(F.col("split_key"), n_tax)).select("tree_id", "split_key")
 
     def expand(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        side = (np.unique(group["split_key"].to_numpy(np.int64))[:, None] >> np.arange(n_tax)) & 1
+        side = memberships(group["split_key"], n_tax)
         out = []
         for first in range(n_tax - 3) if with_first is None else (with_first,):
             rest, topology = resolved(side, first)
@@ -495,7 +525,12 @@ def triplet_counts(clades: DataFrame, n_tax: int) -> DataFrame:
 
     A rooted tree is an unrooted one with a leaf more, and its triplets are the quartets with that leaf.
     """
-    wide = clades.select("tree_id", F.shiftleft("split_key", 1).alias("split_key"))
+    if n_tax < 62:
+        one_more = F.shiftleft("split_key", 1)
+    else:
+        text = F.concat(F.lit("."), split_string(F.col("split_key"), n_tax))
+        one_more = of_text(text, n_tax + 1)
+    wide = clades.select("tree_id", one_more.alias("split_key"))
     found = quartet_counts(wide, n_tax + 1, 0)
     return found.select((F.col("b") - 1).alias("a"), (F.col("c") - 1).alias("b"), (F.col("d") - 1).alias("c"), "topology", "n")
 
@@ -577,14 +612,11 @@ def leaf_ranks(stability: DataFrame) -> DataFrame:
 def spa_counts(splits: DataFrame, tree_masks: DataFrame, supertree: DataFrame) -> DataFrame:
     """(tree_id, hits, misses, st, every): of each input tree the splits that the supertree cut to its taxa has and has not,
     how many that has, and how many there could be."""
-    low = F.col("mask").bitwiseAND(-F.col("mask"))
-    cut = lambda k: F.when((k.bitwiseAND(F.col("mask"))).bitwiseAND(low) != 0, k.bitwiseAND(F.col("mask")).bitwiseXOR(F.col("mask"))).otherwise(k.bitwiseAND(F.col("mask")))
-    some = (F.bit_count("key") > 1) & (F.bit_count("key") < F.bit_count("mask") - 1)
-    own = splits.join(tree_masks, "tree_id").withColumn("key", cut(F.col("split_key"))).where(some).select("tree_id", "key").distinct()
-    pruned = tree_masks.crossJoin(F.broadcast(supertree.select("split_key"))).withColumn("key", cut(F.col("split_key"))).where(some).select("tree_id", "key").distinct()
+    own = cut_to_taxa(splits.join(tree_masks, "tree_id"))
+    pruned = cut_to_taxa(tree_masks.crossJoin(F.broadcast(supertree.select("split_key"))))
     hit = own.join(pruned.withColumn("hit", F.lit(1)), ["tree_id", "key"], "left").groupBy("tree_id").agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
     have = pruned.groupBy("tree_id").agg(F.count("*").alias("st"))
-    n = F.bit_count("mask")
+    n = in_column(tree_masks, "mask").size(F.col("mask"))
     every = tree_masks.join(hit, "tree_id", "left").join(have, "tree_id", "left").na.fill(0, ["hits", "misses", "st"])
     return every.select("tree_id", "hits", "misses", "st", (F.pow(F.lit(2.0), n - 1) - (n + 1)).alias("every"))
 
@@ -613,9 +645,12 @@ def rf_log_like(distances: DataFrame, beta: float) -> DataFrame:
 def common_intersections(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
     """(inside, outside): what two sets of splits (inside, outside) of different trees share, each side at least ``least``
     and no statement within another: the profile of a reduced strict consensus."""
+    sets = in_column(a, "inside")
     x, y = a.select(F.col("inside").alias("ai"), F.col("outside").alias("ao")), b.select(F.col("inside").alias("bi"), F.col("outside").alias("bo"))
-    met = x.join(y, (F.bit_count(F.col("ai").bitwiseAND(F.col("bi"))) >= least) & (F.bit_count(F.col("ao").bitwiseAND(F.col("bo"))) >= least))
-    found = met.select(F.col("ai").bitwiseAND(F.col("bi")).alias("inside"), F.col("ao").bitwiseAND(F.col("bo")).alias("outside")).distinct()
+    inside, outside = sets.both(F.col("ai"), F.col("bi")), sets.both(F.col("ao"), F.col("bo"))
+    met = x.join(y, (sets.size(inside) >= least) & (sets.size(outside) >= least))
+    found = met.select(inside.alias("inside"), outside.alias("outside")).distinct()
     wider = found.select(F.col("inside").alias("wi"), F.col("outside").alias("wo"))
-    within = (F.col("inside").bitwiseAND(F.bitwise_not("wi")) == 0) & (F.col("outside").bitwiseAND(F.bitwise_not("wo")) == 0) & ((F.col("inside") != F.col("wi")) | (F.col("outside") != F.col("wo")))
+    none = lambda a, b: ~sets.some(sets.without(F.col(a), F.col(b)))
+    within = none("inside", "wi") & none("outside", "wo") & ((F.col("inside") != F.col("wi")) | (F.col("outside") != F.col("wo")))
     return found.join(wider, within, "left_anti")

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkclade.operators.taxon_sets import of_text
+
 from .newick import parse_newick, split_keys
 from .nexus_tokens import tokens, unquote
 
@@ -329,7 +331,7 @@ def nodes_of(trees: DataFrame) -> DataFrame:
 
 
 def splits_of(trees: DataFrame, taxa: list[str]) -> DataFrame:
-    """(tree_id, split_key, split, br_len): a row a branch; keys as longs for up to 62 taxa, as strings for any number.
+    """(tree_id, split_key, split, br_len): a row a branch; keys as longs for up to 62 taxa, as arrays of longs beyond.
 
     The two branches at a bifurcating root are one split: its lengths add up and it counts once.
     """
@@ -346,11 +348,12 @@ def splits_of(trees: DataFrame, taxa: list[str]) -> DataFrame:
                 found: dict[int, float | None] = {}
                 for _, _, key, length in split_keys(parse_newick(text), order):
                     found[key] = length if found.get(key) is None else found[key] + (length or 0.0)
-                rows += [(t, k if len(order) <= 62 else None, split_text(k, len(order)), x) for k, x in found.items()]
-            yield pd.DataFrame(rows, columns=["tree_id", "split_key", "split", "br_len"]).astype({"split_key": "Int64"})
+                rows += [(t, split_text(k, len(order)), x) for k, x in found.items()]
+            yield pd.DataFrame(rows, columns=["tree_id", "split", "br_len"])
 
     kind = trees.schema["tree_id"].dataType.simpleString()
-    return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {kind}, split_key long, split string, br_len double")
+    found = trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {kind}, split string, br_len double")
+    return found.select("tree_id", of_text(F.col("split"), len(taxa)).alias("split_key"), "split", "br_len")
 
 
 def clades_of(trees: DataFrame, taxa: list[str]) -> DataFrame:

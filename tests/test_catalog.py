@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from sparkclade.plans import catalog, combined, more, roundtrips  # noqa: F401
+from sparkclade.plans import catalog, combined, more, roundtrips, wide  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
