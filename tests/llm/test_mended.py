@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,18 @@ def test_sample_is_the_least_hashes(spark):
     assert [r.vec_id for r in ann.least_hashed(rows, 500, 20_000).collect()] == want
     same = spark.range(20_000).select(F.lit(7).cast("long").alias("vec_id"))
     assert ann.least_hashed(same, 500, 20_000).count() == 500
+
+
+# -- nearest neighbours
+
+
+def test_queries_are_dealt_in_bounded_frames():
+    """A query that asks many lists is its vector as often, so frames are bounded by components, not by rows."""
+    rng = np.random.default_rng(3)
+    v, c = rng.standard_normal((700, 64)), rng.standard_normal((500, 64)).astype(np.float32)
+    frame = pd.DataFrame({"query": np.arange(700), "vec_id": np.arange(700) * 100, "v": list(v)})
+    got = list(ann.dealt(iter([frame, frame[:0]]), c, 500, True))
+    assert max(len(f) for f in got) * 64 <= ann.CELLS_A_FRAME
+    every = pd.concat(got)
+    assert len(every) == 700 * 500 and every.groupby("query")["list"].nunique().eq(500).all()
+    assert (every["vec_id"] == every["query"] * 100).all()
