@@ -127,3 +127,24 @@ def test_quartets(spark):
     splits = splits_of(spark.createDataFrame([(1, text + ";")], "tree_id long, newick string"), names)
     got = sp.quartets(splits, 70, 0)
     assert got.count() == 69 * 68 * 67 // 6 and {r.topology for r in got.select("topology").distinct().collect()} == {1}
+
+
+def test_tables_are_made_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    """A small file's one task would hold all that its rows become; groups by its key need no other shuffle."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from sparkclade.plans import bridge, wide
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    monkeypatch.setattr(bridge, "SITES_A_TASK", 20)
+    monkeypatch.setattr(bridge, "TREES_A_TASK", 2)
+    for t, key in ((bridge.chars, "pos"), (bridge.plain, "pos"), (bridge.splits, "tree_id"), (wide.splits, "tree_id"), (wide.leaves, "tree_id")):
+        made = t(spark, d)
+        per_task = made.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(key).alias("n"), F.count("*").alias("rows"))
+        assert per_task.count() > 1, t
+        plan = made.groupBy(key).count()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, t
