@@ -93,8 +93,10 @@ def ladder_order(nodes: DataFrame) -> DataFrame:
 def map_trees(trees: DataFrame, f: Callable[[list[Node], random.Random], list[Node]], seed: int = 0, lengths: bool = True) -> DataFrame:
     """``f`` on each tree of (tree_id, newick); its random numbers depend on seed and tree only."""
 
+    from sparkclade.sources.formats import few_trees
+
     def run(frames):
-        for frame in frames:
+        for frame in few_trees(frames):
             yield frame.assign(newick=[write_newick(f(parse_newick(x), random.Random(f"{seed}:{t}")), lengths) for t, x in zip(frame["tree_id"], frame["newick"])])
 
     kind = trees.schema["tree_id"].dataType.simpleString()

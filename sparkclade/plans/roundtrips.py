@@ -201,7 +201,7 @@ def _tree_lines(spark, d, layout: str) -> DataFrame:
         from sparkclade.operators.trees import rename_leaves
         from sparkclade.sources.newick import parse_newick, write_newick
 
-        for f in frames:
+        for f in formats.few_trees(frames):
             yield f.assign(newick=[write_newick(rename_leaves(parse_newick(x), numbers)) for x in f["newick"]])
 
     trees = br.trees(spark, d).mapInPandas(run, "tree_id long, newick string")

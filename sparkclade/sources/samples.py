@@ -59,10 +59,11 @@ def translated(samples: DataFrame, names: dict[str, str]) -> DataFrame:
     """``samples`` with the leaves' numbers replaced by ``names``."""
     from sparkclade.operators.trees import rename_leaves
 
+    from .formats import few_trees
     from .newick import parse_newick, write_newick
 
     def run(frames):
-        for f in frames:
+        for f in few_trees(frames):
             yield f.assign(newick=[write_newick(rename_leaves(parse_newick(x), names)) for x in f["newick"]])
 
     return samples.select("run", "gen", "newick").mapInPandas(run, "run int, gen long, newick string")

@@ -158,3 +158,17 @@ def test_jplace_and_distances(spark, tmp_path):
     d = formats.read_distances(spark, str(tmp_path / "d.phy"))
     assert {(r.name_i, r.name_j, r.d) for r in d.collect()} == {("x", "x", 0.0), ("x", "y", 0.5), ("y", "x", 0.5), ("y", "y", 0.0)}
     assert [r.value for r in writers.distances_phylip(d).orderBy("k").collect()] == ["2", "x 0.000000 0.500000", "y 0.500000 0.000000"]
+
+
+def test_trees_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A batch of trees is not held as nodes at once: what Python hands on comes in small frames, of all trees."""
+    import pandas as pd
+
+    from sparkclade.sources import formats
+
+    frame = pd.DataFrame({"tree_id": range(1001), "newick": "((a,b),c,d);"})
+    got = list(formats.few_trees(iter([frame, frame[:0]])))
+    assert max(map(len, got)) <= formats.TREES_A_FRAME and pd.concat(got).equals(frame)
+    trees = spark.range(1001).selectExpr("id as tree_id", "'((a,b),c,d);' as newick").coalesce(1)
+    assert formats.nodes_of(trees).count() == 6 * 1001
+    assert formats.splits_of(trees, list("abcd")).count() == 5 * 1001
