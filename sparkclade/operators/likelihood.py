@@ -364,36 +364,78 @@ def optimised(trees: DataFrame, patterns: DataFrame, taxa: list[str], model: Mod
 # -- simulation
 
 
-def simulate(nodes: list[Node], model: Model, n_sites: int, rng: np.random.Generator) -> dict[str, str]:
-    """Sequences of the leaves, evolved from a root of the model's composition."""
-    k = len(model.symbols)
+#: Sites that are made at once: what a worker holds does not grow with an alignment's length.
+SITES_AT_ONCE = 50_000
+
+
+def simulated(nodes: list[Node], model: Model, n_sites: int, rng: np.random.Generator, first: int, last: int) -> dict[str, str]:
+    """Sites ``first`` to before ``last`` of the ``n_sites`` that ``simulate`` makes.
+
+    Every site has its own numbers of the generator, a PCG64: half a word for its category, then a word each for whether
+    it is invariant, for its root and for each node.  All sites' words for one of these follow each other, so the others'
+    are leapt over.  Categories are drawn without rejection, as numpy's are if their number is a power of two.
+    """
+    k, bits, many = len(model.symbols), rng.bit_generator, last - first
     rates = discrete_gamma(model.gamma_shape, model.n_categories) if model.n_categories > 1 else np.ones(1)
-    category = rng.integers(0, len(rates), n_sites)
-    still = rng.random(n_sites) < model.p_invariant
-    states = {0: rng.choice(k, n_sites, p=model.compositions[model.node_composition.get(0, 0)])}
-    out = {}
+    category = np.zeros(many, int)
+    if len(rates) > 1:
+        bits.advance(first // 2)
+        words = bits.random_raw((last + 1) // 2 - first // 2)
+        halves = np.stack([words & 0xFFFFFFFF, words >> 32], 1).ravel()[first % 2 :][:many]
+        category = (halves * len(rates) >> 32).astype(int)
+        bits.advance((n_sites + 1) // 2 - (last + 1) // 2)
+
+    def drawn(draw):
+        bits.advance(first)
+        out = draw(many)
+        bits.advance(n_sites - last)
+        return out
+
+    still = drawn(rng.random) < model.p_invariant
+    pi = model.compositions[model.node_composition.get(0, 0)]
+    states = {0: drawn(lambda n: rng.choice(k, n, p=pi))}
+    out, symbols = {}, np.array(list(model.symbols))
     for n in nodes[1:]:
         name = n.name if n.is_leaf else n.num
         proc = Process(model.compositions[model.node_composition.get(name, 0)], model.rates[model.node_rates.get(name, 0)])
         t = (n.length if n.length is not None else 0.1) * model.relative_rate / (1 - model.p_invariant)
         upto = np.array([np.cumsum(proc.p(t * r) / proc.p(t * r).sum(1, keepdims=True), 1) for r in rates])
-        drawn = (rng.random(n_sites)[:, None] > upto[category, states[n.parent]]).sum(1)
-        states[n.num] = np.where(still, states[n.parent], np.minimum(drawn, k - 1))
+        above = (drawn(rng.random)[:, None] > upto[category, states[n.parent]]).sum(1)
+        own = np.where(still, states[n.parent], np.minimum(above, k - 1))
         if n.is_leaf:
-            out[n.name] = "".join(np.array(list(model.symbols))[states[n.num]])
+            out[n.name] = "".join(symbols[own].tolist())
+        else:
+            states[n.num] = own
     return out
 
 
+def simulate(nodes: list[Node], model: Model, n_sites: int, rng: np.random.Generator) -> dict[str, str]:
+    """Sequences of the leaves, evolved from a root of the model's composition."""
+    start, parts = rng.bit_generator.state, []
+    for first in range(0, max(n_sites, 1), SITES_AT_ONCE):
+        rng.bit_generator.state = start
+        parts.append(simulated(nodes, model, n_sites, rng, first, min(first + SITES_AT_ONCE, n_sites)))
+    return {name: "".join(p[name] for p in parts) for name in parts[0]}
+
+
 def simulations(spark, newick: str, model: Model, n_sites: int, replicates: int, seed: int = 1) -> DataFrame:
-    """(replicate, name, seq): a task a replicate; its random numbers depend on seed and replicate only."""
+    """(replicate, name, seq): a task some sites of a replicate; a site's random numbers depend on seed, replicate, the
+    number of sites and its place only."""
+    each = SITES_AT_ONCE
+    blocks = max(1, -(-n_sites // each))
 
     def run(frames):
+        nodes = parse_newick(newick)
         for f in frames:
-            for r in f["id"]:
-                seqs = simulate(parse_newick(newick), model, n_sites, np.random.default_rng([seed, int(r)]))
-                yield pd.DataFrame({"replicate": int(r), "name": list(seqs), "seq": list(seqs.values())})
-
-    return spark.range(replicates).mapInPandas(run, "replicate long, name string, seq string")
+            for r, block in (divmod(int(i), blocks) for i in f["id"]):
+                seqs = simulated(nodes, model, n_sites, np.random.default_rng([seed, r]), block * each, min((block + 1) * each, n_sites))
+                yield pd.DataFrame({"replicate": r, "block": block, "name": list(seqs), "seq": list(seqs.values())})
+
+    many = replicates * blocks
+    made = spark.range(0, many, 1, max(many, 1)).mapInPandas(run, "replicate long, block long, name string, seq string")
+    # A sequence is one value of the result; its parts meet in built-in functions.
+    parts = F.array_sort(F.collect_list(F.struct("block", "seq")))
+    return made.groupBy("replicate", "name").agg(F.array_join(F.transform(parts, lambda p: p["seq"]), "").alias("seq"))
 
 
 def ancestral_draw(engine: Likelihood, nodes: list[Node], rng: np.random.Generator) -> str:

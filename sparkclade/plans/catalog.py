@@ -938,7 +938,8 @@ def kh_sh_tests(spark, d):
 def simulated_alignments(spark, d):
     from sparkclade.operators.likelihood import Model, simulations
 
-    newick = br.trees(spark, d).where("tree_id = 1").first().newick
+    only = br.table(spark, d, "supplier").where("s_suppkey = 1").select(F.col("s_suppkey").alias("tree_id"))
+    newick = br.trees(spark, d, only).first().newick
     return simulations(spark, newick, Model(gamma_shape=0.5, n_categories=4), br.table(spark, d, "part").count(), 4)
 
 

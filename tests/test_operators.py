@@ -234,6 +234,42 @@ def test_protein_models():
     assert abs(q[3, 1] / q[7, 2] - rates[3 * 2 // 2 + 1] / rates[7 * 6 // 2 + 2]) < 1e-9
 
 
+def test_simulation_by_blocks_of_sites(spark, monkeypatch):
+    """As many tasks as the sites need, and sequences as one generator draws them for all sites at once."""
+    text, n = "(A:0.1,B:0.3,(C:0.2,D:0.1):0.2);", 301
+
+    def whole(model, rng):
+        rates = lk.discrete_gamma(model.gamma_shape, model.n_categories) if model.n_categories > 1 else np.ones(1)
+        category = rng.integers(0, len(rates), n)
+        still = rng.random(n) < model.p_invariant
+        states, out = {0: rng.choice(4, n, p=model.compositions[0])}, {}
+        for node in parse_newick(text)[1:]:
+            p = lk.Process(model.compositions[0], model.rates[0]).p
+            t = node.length / (1 - model.p_invariant)
+            upto = np.array([np.cumsum(p(t * r) / p(t * r).sum(1, keepdims=True), 1) for r in rates])
+            new = np.minimum((rng.random(n)[:, None] > upto[category, states[node.parent]]).sum(1), 3)
+            states[node.num] = np.where(still, states[node.parent], new)
+            if node.is_leaf:
+                out[node.name] = "".join("acgt"[k] for k in states[node.num])
+        return out, rng.random()
+
+    pi = (0.4, 0.1, 0.2, 0.3)
+    for model in (lk.Model(compositions=(pi,)), lk.Model(compositions=(pi,), gamma_shape=0.5, n_categories=4, p_invariant=0.2), lk.Model(gamma_shape=0.5, n_categories=3)):
+        for at_once in (7, 100, 301, 1000):
+            monkeypatch.setattr(lk, "SITES_AT_ONCE", at_once)
+            rng = np.random.default_rng([5, 1])
+            assert (lk.simulate(parse_newick(text), model, n, rng), rng.random()) == whole(model, np.random.default_rng([5, 1]))
+        monkeypatch.setattr(lk, "SITES_AT_ONCE", 70)
+        got = lk.simulations(spark, text, model, n, 2, seed=5)
+        rows = {(r.replicate, r.name): r.seq for r in got.collect()}
+        assert rows == {(k, t): s for k in range(2) for t, s in whole(model, np.random.default_rng([5, k]))[0].items()}
+        assert "splits=Some(10)" in got._jdf.queryExecution().toString()
+    assert lk.simulate(parse_newick(text), lk.Model(), 0, np.random.default_rng(1)) == dict.fromkeys("ABCD", "")
+    assert {r.seq for r in lk.simulations(spark, text, lk.Model(), 0, 1).collect()} == {""}
+    # Sites far on in an alignment that no worker could hold.
+    assert {len(s) for s in lk.simulated(parse_newick(text), model, 10**12, np.random.default_rng(1), 10**11 + 1, 10**11 + 51).values()} == {50}
+
+
 def test_newton_lengths():
     """Against the closed form of two sequences, and against a search along each branch in turn."""
     m = lk.Model()
