@@ -148,3 +148,22 @@ def test_tables_are_made_by_as_many_tasks_as_they_need(spark, monkeypatch):
         assert per_task.count() > 1, t
         plan = made.groupBy(key).count()._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1, t
+
+
+def test_trees_stay_where_they_were_dealt(spark, monkeypatch):
+    """Splits and masks of wide trees are made by as many tasks as the trees need, and meet there without a further shuffle."""
+    import os
+
+    from sparkclade.plans import bridge, wide
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    monkeypatch.setattr(bridge, "TREES_A_TASK", 2)
+    splits, masks = wide.splits(spark, d), wide.masks(spark, d)
+    most = masks.groupBy(F.spark_partition_id().alias("task")).count().agg(F.count("*").alias("tasks"), F.max("count").alias("rows")).first()
+    assert most.tasks > 1 and most.rows < masks.count()
+    cut = sp.cut_to_taxa(splits.join(masks, "tree_id"))
+    for made, dealings in ((splits.select("tree_id").distinct(), 1), (cut, 2)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == dealings, plan
